@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import intervals, nested
+from ..operators import drift, intervals, nested
+from ..session import write_out
 from ..sources.tables import table
 
 LIST_KEYS = ("videos", "pace_over_time", "key_shot_positions", "slots")
@@ -29,6 +30,29 @@ def p4_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nested.repeated_groups(nested.path_triples(table(spark, sf_dir, "artifact_doc"), list_keys=LIST_KEYS))
 
 
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every schema change of a file against the file before it in its stream."""
+    files = table(spark, sf_dir, "index_file")
+    values = write_out(drift.path_values(files), "p5-values")
+    # unreadable files are passed over: only files that gave rows have a place in their stream
+    readable = files.select("stream_id", "written_at", "file_id").join(values.select("file_id").distinct(), "file_id", "left_semi")
+    return drift.schema_changes(values, drift.previous_file(readable))
+
+
+def p5_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Library entries of all files as one typed table with the casts that failed."""
+    values = drift.path_values(table(spark, sf_dir, "index_file")).where("startswith(path, 'entries[].')")
+    columns = [
+        ("relative_path", ["entries[].relative_path"], "string"),
+        ("content_digest", ["entries[].content_digest"], "string"),
+        ("size_bytes", ["entries[].size_bytes"], "bigint"),
+        ("duration_seconds", ["entries[].duration_seconds", "entries[].duration"], "double"),
+        ("motion_score", ["entries[].motion_score"], "double"),
+        ("scene_category", ["entries[].scene_category", "entries[].environment"], "string"),
+    ]
+    return drift.consistent_table(values, columns)
+
+
 def _all_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
     ms = intervals.whole_ms
     used = table(spark, sf_dir, "usage_interval").select(
@@ -46,7 +70,7 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return intervals.periods_and_gaps(_all_intervals(spark, sf_dir), ["origin", "run_id", "asset_id"])
 
 
-QUERIES = {"p4_found": p4_found, "p4_slots": p4_slots, "p4_groups": p4_groups, "p6_found": p6_found}
+QUERIES = {"p4_found": p4_found, "p4_slots": p4_slots, "p4_groups": p4_groups, "p5_found": p5_found, "p5_table": p5_table, "p6_found": p6_found}
 
 _P6_SQL = """
 WITH iv AS (
