@@ -6,7 +6,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import table
-from . import nearest
+from . import fingerprints, lshforest, nearest
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pairs of catalog entries in one group of alike entries."""
+    rec = fingerprints.prepared(table(spark, sf_dir, "catalog_entry"), "entry_id")
+    return lshforest.group_pairs(lshforest.groups(rec)).select(F.col("a").alias("entry_id_a"), F.col("b").alias("entry_id_b"))
+
+
+def p1_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per catalog entry with its group; entries alike to none are groups of their own."""
+    entries = table(spark, sf_dir, "catalog_entry")
+    found = lshforest.groups(fingerprints.prepared(entries, "entry_id"))
+    return entries.select("entry_id").join(found.withColumnRenamed("id", "entry_id"), "entry_id", "left").select("entry_id", F.coalesce("comp", "entry_id").alias("group_id"))
 
 
 def _cuts_and_events(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -24,4 +37,4 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest.nearest_in_time(cuts, events).select(F.col("left_id").alias("cut_id"), F.col("right_id").alias("event_id"))
 
 
-QUERIES = {"p3_found": p3_found}
+QUERIES = {"p1_found": p1_found, "p1_groups": p1_groups, "p3_found": p3_found}
