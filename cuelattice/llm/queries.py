@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import table
-from . import fingerprints, lshforest, nearest
+from . import fingerprints, graphindex, lshforest, nearest
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,6 +22,17 @@ def p1_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return entries.select("entry_id").join(found.withColumnRenamed("id", "entry_id"), "entry_id", "left").select("entry_id", F.coalesce("comp", "entry_id").alias("group_id"))
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which candidates repeat which accepted records, batch by batch."""
+
+    def pid(df: DataFrame) -> DataFrame:
+        return df.withColumn("pid", F.when(F.col("pixabay_id") != 0, F.col("pixabay_id")))
+
+    cat = fingerprints.prepared(pid(table(spark, sf_dir, "catalog_entry")), "entry_id", extra=("pid",))
+    cand = fingerprints.prepared(pid(table(spark, sf_dir, "candidate_batch")), "candidate_id", extra=("pid", "batch_no"))
+    return graphindex.repeats(cat, cand)
+
+
 def _cuts_and_events(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     key = F.when(F.col("track_key") != "", F.col("track_key")).alias("entity")
     cuts = table(spark, sf_dir, "cut_record").select(
@@ -37,4 +48,4 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest.nearest_in_time(cuts, events).select(F.col("left_id").alias("cut_id"), F.col("right_id").alias("event_id"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_groups": p1_groups, "p3_found": p3_found}
+QUERIES = {"p1_found": p1_found, "p1_groups": p1_groups, "p2_found": p2_found, "p3_found": p3_found}
