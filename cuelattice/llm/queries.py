@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import write_out
 from ..sources.tables import table
-from . import fingerprints, graphindex, lshforest, nearest
+from . import fingerprints, graphindex, leakage, lshforest, mixing, nearest
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,4 +49,48 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest.nearest_in_time(cuts, events).select(F.col("left_id").alias("cut_id"), F.col("right_id").alias("event_id"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_groups": p1_groups, "p2_found": p2_found, "p3_found": p3_found}
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold a passage of an evaluation item, with the item."""
+    return leakage.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_item")).select("doc_id", "item_id").distinct()
+
+
+def p7_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per item: documents it leaked to, exactly or nearly (weighted shingle similarity of 0.8 or more)."""
+    found = leakage.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_item"), least=0.8)
+    return found.groupBy("item_id").agg(F.count_distinct("doc_id").alias("docs"), F.count_distinct(F.when(F.col("best") == 1.0, F.col("doc_id"))).alias("exact_docs"), F.sum("windows").alias("windows"))
+
+
+def _counted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.token_counts(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sources of the mix that fall short of their share even at their cap."""
+    return mixing.short_sources(write_out(mixing.source_sizes(_counted(spark, sf_dir), table(spark, sf_dir, "mix_target")), "p8-sizes"))
+
+
+def p8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mix: each document that occurs in it, and how often."""
+    counted = write_out(_counted(spark, sf_dir), "p8-counted")
+    sizes = mixing.source_sizes(counted, table(spark, sf_dir, "mix_target"))
+    return mixing.sample(counted, mixing.water_fill(mixing.plan_rows(sizes))).select("doc_id", F.col("s").alias("source"), "n_tokens", "times")
+
+
+def p8_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shares reached by the mix, source by source."""
+    counted = write_out(_counted(spark, sf_dir), "p8-counted")
+    sizes = write_out(mixing.source_sizes(counted, table(spark, sf_dir, "mix_target")), "p8-sizes")
+    return mixing.report(mixing.sample(counted, mixing.water_fill(mixing.plan_rows(sizes))), sizes)
+
+
+QUERIES = {
+    "p1_found": p1_found,
+    "p1_groups": p1_groups,
+    "p2_found": p2_found,
+    "p3_found": p3_found,
+    "p7_found": p7_found,
+    "p7_report": p7_report,
+    "p8_found": p8_found,
+    "p8_mix": p8_mix,
+    "p8_report": p8_report,
+}
