@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..session import write_out
 from ..sources.tables import table
-from . import fingerprints, graphindex, leakage, lshforest, mixing, nearest
+from . import fingerprints, graphindex, leakage, lshforest, mixing, nearest, subjects
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -83,6 +83,25 @@ def p8_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.report(mixing.sample(counted, mixing.water_fill(mixing.plan_rows(sizes))), sizes)
 
 
+def _subjects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = leakage.item_blocks(table(spark, sf_dir, "eval_item"), "item_id", "question")
+    if len(items) > 1:
+        raise ValueError(f"test items of more than {leakage.ITEM_BYTES} bytes")
+    feat, model = subjects.fit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "subject_label"), table(spark, sf_dir, "subject_area"), items[0])
+    return subjects.assigned(feat, model)
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Subject areas of the documents that have no hand label."""
+    labelled = table(spark, sf_dir, "subject_label").select("doc_id").where("doc_id is not null").distinct()
+    return _subjects(spark, sf_dir).join(labelled, "doc_id", "left_anti").select("doc_id", "subject")
+
+
+def p9_makeup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Make-up of the corpus by area: documents and sentences of each."""
+    return _subjects(spark, sf_dir).groupBy("subject").agg(F.count("*").alias("docs"), F.sum("sentences").alias("sentences"))
+
+
 QUERIES = {
     "p1_found": p1_found,
     "p1_groups": p1_groups,
@@ -93,4 +112,6 @@ QUERIES = {
     "p8_found": p8_found,
     "p8_mix": p8_mix,
     "p8_report": p8_report,
+    "p9_found": p9_found,
+    "p9_makeup": p9_makeup,
 }
