@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import problems
+from . import problems, sequences
 
-_MODULES = (problems,)
+_MODULES = (problems, sequences)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
