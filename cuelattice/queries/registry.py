@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import problems, sequences
+from . import catalogs, problems, sequences
 
-_MODULES = (problems, sequences)
+_MODULES = (problems, sequences, catalogs)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
