@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import catalogs, problems, sequences
+from . import catalogs, problems, programs, scoring, sequences
 
-_MODULES = (problems, sequences, catalogs)
+_MODULES = (problems, sequences, catalogs, scoring, programs)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
