@@ -53,10 +53,10 @@ def density(df: DataFrame, key: str, at: str, reach: int) -> DataFrame:
 
 def robust_normalise(df: DataFrame, key: str, value: str, lo: float, hi: float) -> DataFrame:
     """``df`` with ``level``: values between two percentiles (nearest rank) scaled to [0, 1] and clipped; 0 if flat."""
-    n = df.groupBy(key, value).agg(F.count("*").alias("k"))
+    n = df.groupBy(key, value).agg(F.count("*").alias("_k"))
     w = Window.partitionBy(key).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    n = n.withColumn("upto", F.sum("k").over(w)).withColumn("all", F.sum("k").over(Window.partitionBy(key)))
-    at = lambda q: F.min(F.when(F.col("upto") >= F.ceil(F.col("all") * q), F.col(value)))
+    n = n.withColumn("_upto", F.sum("_k").over(w)).withColumn("_all", F.sum("_k").over(Window.partitionBy(key)))
+    at = lambda q: F.min(F.when(F.col("_upto") >= F.ceil(F.col("_all") * q), F.col(value)))
     r = n.groupBy(key).agg(at(lo).alias("lo"), at(hi).alias("hi"))
     x = (F.col(value) - F.col("lo")) / (F.col("hi") - F.col("lo"))
     return df.join(r, key).withColumn("level", rounded(F.when(F.col("hi") > F.col("lo"), F.greatest(F.lit(0.0), F.least(F.lit(1.0), x))).otherwise(0.0))).drop("lo", "hi")

@@ -42,10 +42,11 @@ def upper_median(df: DataFrame, value: str, by: Sequence[str]) -> DataFrame:
 
     Counts of distinct values stand for the rows, so a group costs its distinct values only.
     """
-    n = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("k"))
+    n = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("_k"))
     w = Window.partitionBy(*by).orderBy(value)
-    n = n.withColumn("upto", F.sum("k").over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("all", F.sum("k").over(Window.partitionBy(*by)))
-    return n.where((F.col("upto") > F.floor(F.col("all") / 2)) & (F.col("upto") - F.col("k") <= F.floor(F.col("all") / 2))).select(*by, F.col(value).alias("upper_mid"))
+    n = n.withColumn("_upto", F.sum("_k").over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("_all", F.sum("_k").over(Window.partitionBy(*by)))
+    half = F.floor(F.col("_all") / 2)
+    return n.where((F.col("_upto") > half) & (F.col("_upto") - F.col("_k") <= half)).select(*by, F.col(value).alias("upper_mid"))
 
 
 def transitions(pairs: DataFrame, src: str, dst: str, by: Sequence[str] = ()) -> DataFrame:
