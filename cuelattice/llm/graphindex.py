@@ -8,8 +8,8 @@ walks a beam over the graph from the nearest entries. Each shard's window and be
 widened until sampled queries at the full distance reach the target recall of an exhaustive
 search. What is met is reranked exactly.
 
-A new batch adds one shard; compaction follows a fixed schedule (2^k batches merge into one shard
-when the k-th bit of the batch counter carries), so a batch reads O(log batches) shards and the
+A new batch adds one shard; compaction follows a fixed schedule (four
+shards of one level merge into one of the next as the batch counter in base 4 carries), so a batch reads O(log batches) shards and the
 catalog's shards, which are never rebuilt. Acceptance is then settled in order.
 """
 
@@ -31,7 +31,7 @@ from .lshforest import permuted
 SHARD_VALUES = 1_000_000
 QUERY_BLOCK = 1_000_000
 LINKS, FAR_LINKS = 6, 2
-TARGET_RECALL = 0.97  # of one value at the full distance; records share at least two such values
+TARGET_RECALL = 0.9  # of one value at the full distance; alike records share two such values or nearer ones
 SAMPLE = 192
 EXHAUSTIVE = 2048  # up to so many values a shard is searched whole
 #: Widths from narrow to wide: sorted orders, window as a right shift of the shard's size, beam, hops.
@@ -46,7 +46,7 @@ def _orders(n: int) -> np.ndarray:
 
 
 def build_graph(values: np.ndarray) -> np.ndarray:
-    """(n, LINKS + FAR_LINKS) neighbour positions of sorted distinct values."""
+    """(n, LINKS) positions of each value's nearest, of sorted distinct values; far links are drawn by ``far_links``."""
     n = len(values)
     near, reach = [], 5
     for order in _orders(WIDTHS[-1][0] + 3)[-3:]:
@@ -56,17 +56,21 @@ def build_graph(values: np.ndarray) -> np.ndarray:
         for off in (*range(-reach, 0), *range(1, reach + 1)):
             near.append(o[np.clip(place + off, 0, n - 1)])
     ids = np.stack(near, 1)
-    out = np.empty((n, LINKS + FAR_LINKS), np.int32)
+    out = np.empty((n, LINKS), np.int32)
     for lo in range(0, n, 100_000):
         c = ids[lo : lo + 100_000]
         d = np.bitwise_count(values[c] ^ values[lo : lo + len(c), None])
         d[c == np.arange(lo, lo + len(c), dtype=np.int32)[:, None]] = 65
         best = np.argpartition(d, min(LINKS, d.shape[1] - 1), axis=1)[:, :LINKS]
-        out[lo : lo + len(c), :LINKS] = np.take_along_axis(c, best, 1)
-    out[:, LINKS:] = np.random.default_rng(SEED).integers(0, n, (n, FAR_LINKS))
+        out[lo : lo + len(c)] = np.take_along_axis(c, best, 1)
     return out
 
 
+def far_links(n: int) -> np.ndarray:
+    """(n, FAR_LINKS) seeded far links; they needn't be stored."""
+    return np.random.default_rng(SEED).integers(0, n, (n, FAR_LINKS), dtype=np.int32)
+
+
 def exhaustive(values: np.ndarray, queries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """All (query position, value position) within ``MAX_BITS``."""
     qs, vs = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
@@ -83,6 +87,7 @@ def search_graph(values: np.ndarray, graph: np.ndarray, queries: np.ndarray, wid
     if n <= EXHAUSTIVE:
         return exhaustive(values, queries)
     trees, shift, ef, hops = WIDTHS[width]
+    graph = np.concatenate([graph, far_links(n)], 1)
     window = max(8, n >> shift)
     met = [np.zeros(0, np.int64)]
     entry = np.empty((len(queries), 2 * trees), np.int32)
@@ -184,19 +189,28 @@ def build_shards(values: DataFrame) -> DataFrame:
 
 
 def search_shards(index: DataFrame, queries: DataFrame) -> DataFrame:
-    """(vq, vh): query values and history values within ``MAX_BITS`` from (shard, v) queries."""
+    """(vq, vh, old): query values and history values within ``MAX_BITS`` from (shard, v) queries.
+
+    ``old`` is 1 for shards below 0, which hold the catalog. Other shards hold the queries' own
+    collection: there a value's meeting with itself says nothing and is left out, and a pair
+    comes with the smaller value first.
+    """
 
     def search(key: tuple, ind: pd.DataFrame, qs: pd.DataFrame) -> pd.DataFrame:
         if not len(ind) or not len(qs):
-            return pd.DataFrame({"vq": np.zeros(0, np.int64), "vh": np.zeros(0, np.int64)})
+            return pd.DataFrame({"vq": np.zeros(0, np.int64), "vh": np.zeros(0, np.int64), "old": np.zeros(0, np.int32)})
         row = ind.iloc[0]
         v = np.frombuffer(row["vals"], np.uint64)
-        graph = np.frombuffer(row["graph"], np.int32).reshape(-1, LINKS + FAR_LINKS)
+        graph = np.frombuffer(row["graph"], np.int32).reshape(-1, LINKS)
         q = np.unique(np.concatenate([np.frombuffer(b, np.uint64) for b in qs["vals"]]))
         qi, vi = search_graph(v, graph, q, int(row["width"]))
-        return pd.DataFrame({"vq": q[qi].view(np.int64), "vh": v[vi].view(np.int64)})
+        vq, vh = q[qi].view(np.int64), v[vi].view(np.int64)
+        old = int(row["shard"]) < 0
+        if not old:
+            vq, vh = np.minimum(vq, vh)[vq != vh], np.maximum(vq, vh)[vq != vh]
+        return pd.DataFrame({"vq": vq, "vh": vh, "old": np.full(len(vq), int(old), np.int32)})
 
-    return index.groupBy("shard").cogroup(_blobs(queries).groupBy("shard")).applyInPandas(search, "vq bigint, vh bigint")
+    return index.groupBy("shard").cogroup(_blobs(queries).groupBy("shard")).applyInPandas(search, "vq bigint, vh bigint, old int")
 
 
 def segment_of(v: Column, segments: int) -> Column:
@@ -209,17 +223,27 @@ _LEVEL = 1 << 40
 
 
 def shards_read(rank: int) -> list[int]:
-    """Shards that the batch of this rank (from 0) reads: its own and those of all batches before."""
-    return [rank] + [j * _LEVEL + (rank >> j) - 1 for j in range(rank.bit_length()) if rank >> j & 1]
+    """Shards that the batch of this rank (from 0) reads: its own and those of all batches before.
+
+    Four shards of one level make one of the next, so at most three a level are read.
+    """
+    out = [rank]
+    level = 0
+    while rank >> 2 * level:
+        here = rank >> 2 * level
+        out.extend(level * _LEVEL + b for b in range(here - here % 4, here))
+        level += 1
+    return out
 
 
 def shards_written(rank: int, batches: int) -> list[int]:
     """Shards that hold this batch: its own, and at each level the merged one that later batches read."""
-    out = [rank]
-    for j in range(1, max(1, batches - 1).bit_length()):
-        block = rank >> j
-        if block % 2 == 0 and (block + 1) << j < batches:
-            out.append(j * _LEVEL + block)
+    out, level = [rank], 1
+    while 1 << 2 * level < batches:
+        block = rank >> 2 * level
+        if block % 4 != 3 and (block + 1) << 2 * level < batches:
+            out.append(level * _LEVEL + block)
+        level += 1
     return out
 
 
@@ -231,7 +255,8 @@ def _flat(classes: DataFrame) -> DataFrame:
 def class_links(left: DataFrame, right: DataFrame, met: DataFrame) -> DataFrame:
     """(a, b): all pairs of a left and a right class (id, ms, hashes) that are alike by content.
 
-    ``met``: (va, vb) close values of the two sides. Heavy value pairs are not expanded; classes
+    ``met``: (va, vb) close values of the two sides. Where both sides are the same table, ``met``
+    has each pair of different values once and pairs of classes come out once, smaller id first. Heavy value pairs are not expanded; classes
     that meet over heavy values alone meet by their profiles, within duration cells.
     """
     fl, fr = _flat(left), _flat(right)
@@ -239,15 +264,24 @@ def class_links(left: DataFrame, right: DataFrame, met: DataFrame) -> DataFrame:
     pr = pl if right is left else write_out(fr.select("id", "ms", "n", F.explode(F.array_distinct("hashes")).alias("v")), "graph-right")
     ka = pl.groupBy(F.col("v").alias("va")).agg(F.count("*").alias("ka"))
     kb = pr.groupBy(F.col("v").alias("vb")).agg(F.count("*").alias("kb"))
-    weighed = write_out(met.select("va", "vb").distinct().join(ka, "va").join(kb, "vb"), "graph-values")
+    same = right is left
+    if same:
+        met = met.select("va", "vb").unionByName(ka.where("ka > 1").select("va", F.col("va").alias("vb")))
+    weighed = write_out(met.select("va", "vb").join(ka, "va").join(kb, "vb"), "graph-values")
     light = weighed.where(F.col("ka") * F.col("kb") <= fp.HEAVY).select("va", "vb")
     both = light.join(pl.select(F.col("v").alias("va"), F.col("id").alias("a"), F.col("ms").alias("ma"), F.col("n").alias("na")), "va")
     both = both.join(pr.select(F.col("v").alias("vb"), F.col("id").alias("b"), F.col("ms").alias("mb"), F.col("n").alias("nb")), "vb")
-    both = both.where(fp.durations_fit(F.col("ma"), F.col("mb")) & (F.least("na", "nb") * 5 >= F.greatest("na", "nb") * 3)).select("a", "b").distinct()
+    both = both.where(fp.durations_fit(F.col("ma"), F.col("mb")) & (F.least("na", "nb") * 5 >= F.greatest("na", "nb") * 3))
+    if same:
+        both = both.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    both = both.select("a", "b").distinct()
     lists = both.join(fl.select(F.col("id").alias("a"), F.col("hashes").alias("ha")), "a").join(fr.select(F.col("id").alias("b"), F.col("hashes").alias("hb")), "b")
     links = fp.verified(lists, ("a", "b"))
     heavy = write_out(weighed.where(F.col("ka") * F.col("kb") > fp.HEAVY).select("va", "vb"), "graph-heavy")
-    return links.unionByName(_heavy_links(fl, fr, heavy)).distinct()
+    if not same:
+        return links.unionByName(_heavy_links(fl, fr, heavy)).distinct()
+    heavy = heavy.unionByName(heavy.where("va <> vb").select(F.col("vb").alias("va"), F.col("va").alias("vb")))
+    return links.unionByName(_heavy_links(fl, fr, heavy).where("a < b")).distinct()
 
 
 def _heavy_links(fl: DataFrame, fr: DataFrame, heavy: DataFrame) -> DataFrame:
@@ -335,8 +369,8 @@ def repeats(catalog: DataFrame, cands: DataFrame) -> DataFrame:
     cat = write_out(catalog, "p2-catalog")
     cand = write_out(cands.withColumn("ord", F.struct("batch_no", "id")), "p2-candidates")
     ok = "ms is not null and size(hashes) > 0"
-    cat_cls = write_out(cat.where(ok).groupBy("ms", "hashes").agg(F.min("id").alias("id")), "p2-catalog-classes")
-    can_cls = write_out(cand.where(ok).groupBy("ms", "hashes").agg(F.min("id").alias("id")), "p2-candidate-classes")
+    cat_cls = write_out(cat.where(ok).groupBy("ms", "hashes").agg(F.min("id").alias("id"), F.count("*").alias("k")), "p2-catalog-classes")
+    can_cls = write_out(cand.where(ok).groupBy("ms", "hashes").agg(F.min("id").alias("id"), F.count("*").alias("k")), "p2-candidate-classes")
     # shards of the catalog, and one for each batch with its scheduled merges
     cv = cat_cls.select(F.explode("hashes").alias("v")).distinct()
     segments = max(1, math.ceil(cv.count() / SHARD_VALUES))
@@ -351,25 +385,24 @@ def repeats(catalog: DataFrame, cands: DataFrame) -> DataFrame:
     history = cv.select(shard0.alias("shard"), "v").unionByName(bv.select(F.explode("writes").alias("shard"), "v"))
     index = write_out(build_shards(history), "p2-index")
     every = bv.select("v").distinct().select(F.explode(F.array(*[F.lit(-1 - i).cast("long") for i in range(segments)])).alias("shard"), "v")
-    queries = every.withColumn("own", F.lit(False)).unionByName(bv.select(F.explode("reads").alias("shard"), "v").withColumn("own", F.lit(True)))
-    met = write_out(search_shards(index, queries).distinct(), "p2-met")
-    in_cat = cv.select(F.col("v").alias("vb"))
-    to_cat = class_links(can_cls, cat_cls, met.select(F.col("vq").alias("va"), F.col("vh").alias("vb")).join(in_cat, "vb", "left_semi"))
-    in_can = bv.select("v").distinct()
-    mine = met.join(in_can.select(F.col("v").alias("vh")), "vh", "left_semi")
-    mine = mine.select(F.col("vq").alias("va"), F.col("vh").alias("vb")).unionByName(mine.select(F.col("vh").alias("va"), F.col("vq").alias("vb")))
-    among = write_out(class_links(can_cls, can_cls, mine).where("a <> b"), "p2-among")
-    cand = write_out(_with_class(cand, can_cls), "p2-candidates-classed")
-    cat_c = _with_class(cat, cat_cls)
+    queries = every.unionByName(bv.select(F.explode("reads").alias("shard"), "v"))
+    met = write_out(search_shards(index, queries), "p2-met")
+    to_cat = class_links(can_cls, cat_cls, met.where("old = 1").select(F.col("vq").alias("va"), F.col("vh").alias("vb")))
+    # one pair of values may be met in several batch shards
+    among = class_links(can_cls, can_cls, met.where("old = 0").select(F.col("vq").alias("va"), F.col("vh").alias("vb")).distinct())
+    among = write_out(among, "p2-among")
+    cand = write_out(_with_class(cand, can_cls, ok), "p2-candidates-classed")
     # links to the catalog
     by_id = cand.where("pid is not null").select(F.col("id").alias("x"), "pid").join(cat.where("pid is not null").select("pid", F.col("id").alias("y")), "pid").select("x", "y")
     by_sha = cand.where("sha is not null").select(F.col("id").alias("x"), "sha").join(cat.where("sha is not null").select("sha", F.col("id").alias("y")), "sha").select("x", "y")
-    members = cat_c.where("c is not null").select(F.col("c").alias("b"), F.col("id").alias("y"))
-    by_content = cand.where("c is not null").select(F.col("c").alias("a"), F.col("id").alias("x")).join(to_cat, "a").join(members, "b").select("x", "y")
+    # a class of one is its own member; only larger ones are looked up
+    links = write_out(cand.where("c is not null").select(F.col("c").alias("a"), F.col("id").alias("x")).join(to_cat, "a").select("x", F.col("b").alias("y")), "p2-content")
+    more = cat.where(ok).join(cat_cls.where("k > 1").select("ms", "hashes", F.col("id").alias("b")), ["ms", "hashes"]).select("b", F.col("id").alias("m"))
+    by_content = links.unionByName(links.join(more, F.col("y") == F.col("b")).select("x", F.col("m").alias("y")))
     old = write_out(by_id.unionByName(by_sha).unionByName(by_content).distinct(), "p2-old")
     # acceptance among the rest, and links to what was accepted
     rest = cand.join(old.select(F.col("x").alias("id")).distinct(), "id", "left_anti")
-    edges = among.select(F.col("a").alias("c"), F.col("b").alias("d"))
+    edges = among.select(F.col("a").alias("c"), F.col("b").alias("d")).unionByName(among.select(F.col("b").alias("c"), F.col("a").alias("d")))
     accepted = settle(rest.select("id", "ord", F.col("pid").alias("p"), F.col("sha").alias("s"), "c"), edges)
     acc = write_out(cand.join(accepted.select("id"), "id", "left_semi"), "p2-accepted")
     x = cand.select(F.col("id").alias("x"), F.col("ord").alias("ox"), "pid", "sha", "c")
@@ -386,5 +419,7 @@ def repeats(catalog: DataFrame, cands: DataFrame) -> DataFrame:
     )
 
 
-def _with_class(rows: DataFrame, classes: DataFrame) -> DataFrame:
-    return rows.join(classes.withColumnRenamed("id", "c"), ["ms", "hashes"], "left")
+def _with_class(rows: DataFrame, classes: DataFrame, ok: str) -> DataFrame:
+    """``rows`` with ``c``, the least id of the same content; only contents that repeat are looked up."""
+    many = classes.where("k > 1").select("ms", "hashes", F.col("id").alias("c0"))
+    return rows.join(many, ["ms", "hashes"], "left").withColumn("c", F.expr(f"case when {ok} then coalesce(c0, id) end")).drop("c0")
