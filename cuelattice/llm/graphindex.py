@@ -372,7 +372,8 @@ def repeats(catalog: DataFrame, cands: DataFrame) -> DataFrame:
     cat_cls = write_out(cat.where(ok).groupBy("ms", "hashes").agg(F.min("id").alias("id"), F.count("*").alias("k")), "p2-catalog-classes")
     can_cls = write_out(cand.where(ok).groupBy("ms", "hashes").agg(F.min("id").alias("id"), F.count("*").alias("k")), "p2-candidate-classes")
     # shards of the catalog, and one for each batch with its scheduled merges
-    cv = cat_cls.select(F.explode("hashes").alias("v")).distinct()
+    # (values repeat here; the shards keep each once)
+    cv = cat_cls.select(F.explode("hashes").alias("v"))
     segments = max(1, math.ceil(cv.count() / SHARD_VALUES))
     shard0 = -1 - segment_of(F.col("v"), segments)
     # batch numbers are metadata: one row a batch
@@ -380,11 +381,11 @@ def repeats(catalog: DataFrame, cands: DataFrame) -> DataFrame:
     spark = cat.sparkSession
     plan = [(b, shards_read(r), shards_written(r, len(ranks))) for b, r in ranks.items()]
     plan_df = spark.createDataFrame(plan, "bn bigint, reads array<bigint>, writes array<bigint>")
-    bv = cand.where(ok).select(F.col("batch_no").alias("bn0"), F.explode("hashes").alias("v")).distinct()
+    bv = cand.where(ok).select(F.col("batch_no").alias("bn0"), F.explode("hashes").alias("v"))
     bv = write_out(bv.join(F.broadcast(plan_df), F.col("bn0").eqNullSafe(F.col("bn"))).select("v", "reads", "writes"), "p2-batch-values")
     history = cv.select(shard0.alias("shard"), "v").unionByName(bv.select(F.explode("writes").alias("shard"), "v"))
     index = write_out(build_shards(history), "p2-index")
-    every = bv.select("v").distinct().select(F.explode(F.array(*[F.lit(-1 - i).cast("long") for i in range(segments)])).alias("shard"), "v")
+    every = bv.select(F.explode(F.array(*[F.lit(-1 - i).cast("long") for i in range(segments)])).alias("shard"), "v")
     queries = every.unionByName(bv.select(F.explode("reads").alias("shard"), "v"))
     met = write_out(search_shards(index, queries), "p2-met")
     to_cat = class_links(can_cls, cat_cls, met.where("old = 1").select(F.col("vq").alias("va"), F.col("vh").alias("vb")))
