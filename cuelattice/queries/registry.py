@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import catalogs, problems, programs, scoring, sequences
+from . import catalogs, more, problems, programs, scoring, sequences
 
-_MODULES = (problems, sequences, catalogs, scoring, programs)
+_MODULES = (problems, sequences, catalogs, scoring, programs, more)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
