@@ -27,7 +27,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -40,6 +40,8 @@ NODE_AIM = 512  # values a node may hold on average: the shortest prefix that is
 NODE_MAX = 8192
 ROOT_AIM = 1_000_000  # values in one task
 SEED = 20_240_607
+#: Logarithm of the ratio of the longest to the shortest duration of a cell: under half of what may differ.
+CELL = -0.495 * math.log(1 - fp.MAX_PERCENT / 100)
 
 
 def meet_probability(depth: int, bits: int = fp.MAX_BITS) -> float:
@@ -232,44 +234,33 @@ def _profile_links(flat: DataFrame, heavy: DataFrame) -> DataFrame:
 
     A record's profile is its length and the multiset of its hashes that take part in a heavy
     pair; only records with at least three fifths heavy members can need this path. Two profiles that pair
-    up in enough members make all their records alike whose durations fit, so links between
-    neighbouring durations within a profile, and from each record to the nearest durations below and
-    above in a matching profile, connect the same groups as all pairs would.
+    up in enough members make all their records alike whose durations fit. Durations are cut into
+    cells so narrow that all within one fit; a cell's records link to its first one, and cells
+    are linked by their nearest ends. That connects the same groups as all pairs would, and
+    the tables that are joined have one row a profile and cell.
     """
     zone = heavy.select(F.explode(F.array("va", "vb")).alias("v")).distinct()
     member = flat.select("id", "ms", F.size("hashes").alias("n"), F.explode("hashes").alias("v")).join(zone, "v")
     prof = member.groupBy("id", "ms", "n").agg(F.array_sort(F.collect_list("v")).alias("z")).where(F.size("z") * 5 >= F.col("n") * 3)
-    prof = write_out(prof.withColumn("key", F.sha2(F.to_json(F.struct("n", "z")), 256)), "forest-profiles")
-    kinds = prof.groupBy("key", "n", "z").agg(F.min("id").alias("pid"))
-    # within a profile: neighbouring durations
-    near = _duration_chain(prof.select("key", "id", "ms"))
-    # across profiles that pair up
-    vals = kinds.select("pid", "n", F.explode(F.array_distinct("z")).alias("v"))
+    cell = F.floor(F.log(F.col("ms").cast("double")) / F.lit(CELL)).cast("long")
+    prof = write_out(prof.withColumn("key", F.sha2(F.to_json(F.struct("n", "z")), 256)).withColumn("cell", cell), "forest-profiles")
+    kinds = prof.groupBy("key").agg(F.first("n").alias("n"), F.first("z").alias("z"))
     two = heavy.where("va <> vb")
     pairs = two.unionByName(two.select(F.col("vb").alias("va"), F.col("va").alias("vb"))).unionByName(zone.select(F.col("v").alias("va"), F.col("v").alias("vb")))
-    met = vals.select(F.col("pid").alias("a"), F.col("n").alias("na"), F.col("v").alias("va")).join(pairs, "va").join(vals.select(F.col("pid").alias("b"), F.col("n").alias("nb"), F.col("v").alias("vb")), "vb")
-    met = met.where("a < b").where(F.least("na", "nb") * 5 >= F.greatest("na", "nb") * 3).select("a", "b", "na", "nb").distinct()
-    # members outside the profile pair with nothing here: the list is filled up with the count only
-    z = kinds.select("pid", "z", "key")
-    met = met.join(z.select(F.col("pid").alias("a"), F.col("z").alias("za"), F.col("key").alias("keya")), "a").join(z.select(F.col("pid").alias("b"), F.col("z").alias("zb"), F.col("key").alias("keyb")), "b")
-    good = met.where(_enough(F.col("za"), F.col("zb"), F.greatest("na", "nb"))).select(F.concat_ws("|", "keya", "keyb").alias("key"), F.array("keya", "keyb").alias("sides"))
-    sides = good.select("key", F.posexplode("sides").alias("side", "k"))
-    rows = sides.join(prof.select(F.col("key").alias("k"), "id", "ms"), "k").select("key", "side", "id", "ms")
-    w = Window.partitionBy("key").orderBy("ms", "id")
-    other = lambda s, fn, frame: fn(F.when(F.col("side") == s, F.struct("id", "ms")), True).over(frame)
-    below, above = w.rowsBetween(Window.unboundedPreceding, -1), w.rowsBetween(1, Window.unboundedFollowing)
-    ends = [other(s, fn, fr) for s in (0, 1) for fn, fr in ((F.last, below), (F.first, above))]
-    rows = rows.select("side", "id", "ms", F.array(*ends[:2]).alias("e0"), F.array(*ends[2:]).alias("e1"))
-    rows = rows.select("id", "ms", F.explode(F.when(F.col("side") == 0, F.col("e1")).otherwise(F.col("e0"))).alias("o")).where("o is not null")
-    cross = rows.where(fp.durations_fit(F.col("ms"), F.col("o.ms"))).select(F.col("id").alias("a"), F.col("o.id").alias("b"))
-    return near.unionByName(cross)
-
-
-def _duration_chain(rows: DataFrame) -> DataFrame:
-    """Links between neighbouring durations of one key that fit."""
-    w = Window.partitionBy("key").orderBy("ms", "id")
-    r = rows.select("id", "ms", F.lag("id").over(w).alias("b"), F.lag("ms").over(w).alias("mb"))
-    return r.where("b is not null").where(fp.durations_fit(F.col("ms"), F.col("mb"))).select(F.col("id").alias("a"), "b")
+    vals = kinds.select("key", "n", F.explode(F.array_distinct("z")).alias("v"))
+    met = vals.select(F.col("key").alias("x"), F.col("n").alias("na"), F.col("v").alias("va")).join(pairs, "va").join(vals.select(F.col("key").alias("y"), F.col("n").alias("nb"), F.col("v").alias("vb")), "vb")
+    met = met.where(F.least("na", "nb") * 5 >= F.greatest("na", "nb") * 3).select("x", "y", "na", "nb").distinct()
+    met = met.join(kinds.select(F.col("key").alias("x"), F.col("z").alias("za")), "x").join(kinds.select(F.col("key").alias("y"), F.col("z").alias("zb")), "y")
+    good = met.where(_enough(F.col("za"), F.col("zb"), F.greatest("na", "nb"))).select("x", "y")
+    ends = write_out(prof.groupBy("key", "cell").agg(F.min(F.struct("ms", "id")).alias("lo"), F.max(F.struct("ms", "id")).alias("hi")), "forest-cells")
+    inside = prof.join(ends, ["key", "cell"]).select(F.col("id").alias("a"), F.col("lo.id").alias("b"))
+    left = ends.select(F.col("key").alias("x"), "cell", F.col("lo").alias("alo"), F.col("hi").alias("ahi"))
+    # an upper cell that still fits lies at most three cells on
+    right = ends.select(F.col("key").alias("y"), F.col("lo").alias("blo"), F.col("cell").alias("bcell"), F.explode(F.sequence(F.col("cell") - 3, F.col("cell"))).alias("cell"))
+    across = left.join(good, "x").join(right, ["y", "cell"])
+    same = F.col("cell") == F.col("bcell")
+    across = across.where(same | fp.durations_fit(F.col("ahi.ms"), F.col("blo.ms")))
+    return inside.unionByName(across.select(F.when(same, F.col("alo.id")).otherwise(F.col("ahi.id")).alias("a"), F.col("blo.id").alias("b")))
 
 
 @F.pandas_udf(T.BooleanType())
