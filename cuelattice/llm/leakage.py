@@ -33,10 +33,17 @@ def simhashes(hashes: np.ndarray, size: int) -> np.ndarray:
     if n <= 0:
         return np.zeros(0, np.uint64)
     bits = np.unpackbits(hashes.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-    total = np.zeros((len(hashes) + 1, 64), np.int32)
-    np.cumsum(bits, axis=0, out=total[1:])
-    ones = total[size:] - total[:-size]
-    return np.packbits((2 * ones > size), axis=1, bitorder="little").view("<u8").ravel()
+    # window sums from sums of 1, 2, 4, ... words
+    total, done, part, width = None, 0, bits, 1
+    while True:
+        if size & width:
+            total = part[: n + size - done - width].copy() if total is None else total[: n + size - done - width] + part[done : n + size - width]
+            done += width
+        if done == size:
+            break
+        part = part[:-width] + part[width:]
+        width *= 2
+    return np.packbits((2 * total[:n].astype(np.int16) > size), axis=1, bitorder="little").view("<u8").ravel()
 
 
 class ItemIndex:
@@ -107,19 +114,38 @@ def leaked_windows(ws: list[str], index: ItemIndex, least: float = 1.0) -> list[
 
     At ``least`` = 1.0 a match is the same run of words; below it a weighted shingle similarity.
     """
+    return [m[1:] for m in leaked_many([ws], index, least)]
+
+
+def leaked_many(docs: list[list[str]], index: ItemIndex, least: float = 1.0, chunk: int = 100_000) -> list[tuple[int, int, int, int, float]]:
+    """(document, item, position, size, similarity) over many documents, laid end to end."""
     out = []
-    h = index.hash(ws)
-    for size in index.sizes:
-        if len(ws) < size:
-            continue
-        d, i = index.candidates(simhashes(h, size), size)
-        _, item_of, texts, _ = index.sizes[size]
-        for a, b in zip(d.tolist(), i.tolist()):
-            own = ws[a : a + size]
-            if own == texts[b]:
-                out.append((int(item_of[b]), a, size, 1.0))
-            elif least < 1.0 and (s := shingle_similarity(own, texts[b])) >= least:
-                out.append((int(item_of[b]), a, size, s))
+    first = 0
+    while first < len(docs):
+        last, n = first, 0
+        while last < len(docs) and (last == first or n + len(docs[last]) <= chunk):
+            n += len(docs[last])
+            last += 1
+        part = docs[first:last]
+        ws = part[0] if len(part) == 1 else [w for d in part for w in d]
+        ends = np.cumsum([len(d) for d in part])
+        h = index.hash(ws)
+        for size in index.sizes:
+            if len(ws) < size:
+                continue
+            d, i = index.candidates(simhashes(h, size), size)
+            doc = np.searchsorted(ends, d, side="right")
+            # windows that reach into the next document are none
+            inside = d + size <= ends[np.minimum(doc, len(ends) - 1)]
+            _, item_of, texts, _ = index.sizes[size]
+            for a, b, k in zip(d[inside].tolist(), i[inside].tolist(), doc[inside].tolist()):
+                own = ws[a : a + size]
+                at = a - (int(ends[k]) - len(part[k]))
+                if own == texts[b]:
+                    out.append((first + k, int(item_of[b]), at, size, 1.0))
+                elif least < 1.0 and (s := shingle_similarity(own, texts[b])) >= least:
+                    out.append((first + k, int(item_of[b]), at, size, s))
+        first = last
     return out
 
 
@@ -155,16 +181,15 @@ def leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str =
         def scan(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             index = ItemIndex(shared.value)
             for batch in batches:
-                rows = []
-                for did, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                    if not t or did is None:
-                        continue
-                    per: dict[int, list[float]] = {}
-                    for item, _, _, s in leaked_windows(words(t), index, least):
-                        per.setdefault(item, []).append(s)
-                    rows.extend((did, k, len(v), max(v)) for k, v in per.items())
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, ty) for c, ty in zip(zip(*rows), (pa.int64(), pa.int64(), pa.int64(), pa.float64()))], ["doc_id", "item_id", "windows", "best"])
+                ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+                for lo in range(0, len(ids), 500):
+                    per: dict[tuple[int, int], list[float]] = {}
+                    for k, item, _, _, s in leaked_many([words(t) for t in texts[lo : lo + 500]], index, least):
+                        if ids[lo + k] is not None:
+                            per.setdefault((lo + k, item), []).append(s)
+                    rows = [(ids[k], item, len(v), max(v)) for (k, item), v in per.items()]
+                    if rows:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, ty) for c, ty in zip(zip(*rows), (pa.int64(), pa.int64(), pa.int64(), pa.float64()))], ["doc_id", "item_id", "windows", "best"])
 
         found = d.mapInArrow(scan, "doc_id bigint, item_id bigint, windows bigint, best double")
         parts = found if parts is None else parts.unionByName(found)
