@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import drift, intervals, nested
-from ..session import write_out
+from ..session import spread, write_out
 from ..sources.tables import table
 
 LIST_KEYS = ("videos", "pace_over_time", "key_shot_positions", "slots")
@@ -14,7 +14,7 @@ LIST_KEYS = ("videos", "pace_over_time", "key_shot_positions", "slots")
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every object that is a member of a list in a payload, with its parent."""
-    docs = table(spark, sf_dir, "artifact_doc")
+    docs = spread(table(spark, sf_dir, "artifact_doc").select("artifact_id", "payload"))
     return nested.list_members(nested.path_triples(docs, list_keys=LIST_KEYS, kinds=("object",)))
 
 
@@ -33,7 +33,7 @@ def p4_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every schema change of a file against the file before it in its stream."""
     files = table(spark, sf_dir, "index_file")
-    values = write_out(drift.path_values(files), "p5-values")
+    values = write_out(drift.path_values(spread(files.select("file_id", "content"))), "p5-values")
     # unreadable files are passed over: only files that gave rows have a place in their stream
     readable = files.select("stream_id", "written_at", "file_id").join(values.select("file_id").distinct(), "file_id", "left_semi")
     return drift.schema_changes(values, drift.previous_file(readable))

@@ -86,6 +86,15 @@ def drop_path(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over at least as many partitions as there are cores, for steps that cost far more than a shuffle.
+
+    A large input has more partitions than that and is left as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df
+
+
 def write_out(df: DataFrame, name: str, partitions: int | None = None) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back.
 
