@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import write_out
+from ..session import spread, write_out
 from ..sources.tables import table
 from . import fingerprints, graphindex, leakage, lshforest, mixing, nearest, subjects
 
@@ -49,19 +49,23 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest.nearest_in_time(cuts, events).select(F.col("left_id").alias("cut_id"), F.col("right_id").alias("event_id"))
 
 
+def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that hold a passage of an evaluation item, with the item."""
-    return leakage.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_item")).select("doc_id", "item_id").distinct()
+    return leakage.leaks(_texts(spark, sf_dir), table(spark, sf_dir, "eval_item")).select("doc_id", "item_id").distinct()
 
 
 def p7_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per item: documents it leaked to, exactly or nearly (weighted shingle similarity of 0.8 or more)."""
-    found = leakage.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_item"), least=0.8)
+    found = leakage.leaks(_texts(spark, sf_dir), table(spark, sf_dir, "eval_item"), least=0.8)
     return found.groupBy("item_id").agg(F.count_distinct("doc_id").alias("docs"), F.count_distinct(F.when(F.col("best") == 1.0, F.col("doc_id"))).alias("exact_docs"), F.sum("windows").alias("windows"))
 
 
 def _counted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.token_counts(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+    return mixing.token_counts(_texts(spark, sf_dir))
 
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -87,7 +91,7 @@ def _subjects(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = leakage.item_blocks(table(spark, sf_dir, "eval_item"), "item_id", "question")
     if len(items) > 1:
         raise ValueError(f"test items of more than {leakage.ITEM_BYTES} bytes")
-    feat, model = subjects.fit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "subject_label"), table(spark, sf_dir, "subject_area"), items[0])
+    feat, model = subjects.fit(_texts(spark, sf_dir), table(spark, sf_dir, "subject_label"), table(spark, sf_dir, "subject_area"), items[0])
     return subjects.assigned(feat, model)
 
 

@@ -24,11 +24,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import write_out
-from .leakage import ItemIndex, leaked_windows
+from .leakage import ItemIndex, leaked_many
 from .words import _WORD, folded
 
-DIM = 1 << 15
-RANK = 128
+DIM = 1 << 14
+RANK = 96
 OVERSAMPLE = 16
 POWER_PASSES = 3
 ROUNDS = 6
@@ -53,20 +53,36 @@ def sentence_words(text: str, index: ItemIndex | None = None) -> list[list[str]]
     A sentence ends at a full stop, an exclamation mark or a line end; a question belongs with
     the sentence that answers it.
     """
-    t = folded(_MARKUP.sub("", text))
+    return sentences_of([text], index)[0]
+
+
+def sentences_of(texts: list[str], index: ItemIndex | None = None) -> list[list[list[str]]]:
+    """``sentence_words`` of many texts; test passages are searched for in all of them together."""
+    ts = [folded(_MARKUP.sub("", t)) if t else "" for t in texts]
     if index is not None and index.sizes:
-        found = list(_WORD.finditer(t))
-        ws = [m.group() for m in found]
-        gone = np.zeros(len(ws) + 1, bool)
-        for _, at, size, _ in leaked_windows(ws, index):
-            gone[at : at + size] = True
-        if gone.any():
-            edge = np.flatnonzero(np.diff(np.concatenate([[False], gone]).astype(np.int8)))
-            parts, last = [], 0
-            for lo, hi in zip(edge[::2], edge[1::2]):
-                parts.append(t[last : found[lo].start()])
-                last = found[hi - 1].end()
-            t = "\n".join([*parts, t[last:]])
+        places: dict[int, list[tuple[int, int]]] = {}
+        for k, _, at, size, _ in leaked_many([_WORD.findall(t) for t in ts], index):
+            places.setdefault(k, []).append((at, size))
+        for k, found in places.items():
+            ts[k] = _without(ts[k], found)
+    return [_split(t) for t in ts]
+
+
+def _without(t: str, places: list[tuple[int, int]]) -> str:
+    """The text with runs of words (position, size) taken out; a sentence ends there."""
+    found = list(_WORD.finditer(t))
+    gone = np.zeros(len(found) + 1, bool)
+    for at, size in places:
+        gone[at : at + size] = True
+    edge = np.flatnonzero(np.diff(np.concatenate([[False], gone]).astype(np.int8)))
+    parts, last = [], 0
+    for lo, hi in zip(edge[::2], edge[1::2]):
+        parts.append(t[last : found[lo].start()])
+        last = found[hi - 1].end()
+    return "\n".join([*parts, t[last:]])
+
+
+def _split(t: str) -> list[list[str]]:
     out = []
     for line in t.split("\n"):
         line = _STAMP.sub("", line)
@@ -113,13 +129,13 @@ def features(docs: DataFrame, item_rows: list[tuple[int, str]]) -> DataFrame:
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index, memo = ItemIndex(shared.value), {}
         for b in batches:
-            rows = []
-            for did, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                ss = sentence_words(text, index) if text else []
-                ts = [terms(w, memo) for w in ss]
-                pack = lambda x: np.asarray(x, np.int32).tobytes()
-                rows.append((did, pack([len(t) for t in ts]), pack([language_group(w) for w in ss]), pack([h for t in ts for h in t])))
-            if rows:
+            all_ids, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
+            pack = lambda x: np.asarray(x, np.int32).tobytes()
+            for lo in range(0, len(all_ids), 500):
+                rows = []
+                for did, ss in zip(all_ids[lo : lo + 500], sentences_of(texts[lo : lo + 500], index)):
+                    ts = [terms(w, memo) for w in ss]
+                    rows.append((did, pack([len(t) for t in ts]), pack([language_group(w) for w in ss]), pack([h for t in ts for h in t])))
                 ids, *blobs = zip(*rows)
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *[pa.array(x, pa.binary()) for x in blobs]], ["doc_id", "lens", "groups", "flat"])
 
@@ -148,19 +164,35 @@ class _Batch:
         return key // DIM, key % DIM, tf
 
     def sums(self, rows: np.ndarray, n: int, matrix: np.ndarray, cols: np.ndarray, weight: np.ndarray | None = None) -> np.ndarray:
-        """Row sums of ``matrix[cols]`` (weighted); ``rows`` ascend."""
+        """Row sums of ``matrix[cols]`` (weighted); ``rows`` ascend. One small product a row."""
         out = np.zeros((n, matrix.shape[1]), np.float32)
-        if not len(rows):
-            return out
-        step = 200_000
-        for lo in range(0, len(rows), step):
-            r, c = rows[lo : lo + step], cols[lo : lo + step]
-            x = matrix[c] if weight is None else matrix[c] * weight[lo : lo + step, None].astype(np.float32)
-            starts = np.concatenate([[0], np.flatnonzero(np.diff(r)) + 1])
-            out[r[starts]] += np.add.reduceat(x, starts, axis=0)
+        _add_products(out, rows, matrix, cols, np.ones(len(rows), np.float32) if weight is None else weight.astype(np.float32))
         return out
 
 
+def _add_products(out: np.ndarray, rows: np.ndarray, matrix: np.ndarray, cols: np.ndarray, weight: np.ndarray, runs: int = 16, most: int = 512) -> None:
+    """out[r] += weight @ matrix[cols] over the run of each r in the ascending ``rows``.
+
+    Short runs are taken together, as one small block matrix; a long run is one product.
+    """
+    if not len(rows):
+        return
+    edges = np.concatenate([[0], np.flatnonzero(np.diff(rows)) + 1, [len(rows)]])
+    i = 0
+    while i < len(edges) - 1:
+        j = i + 1
+        while j < len(edges) - 1 and j - i < runs and edges[j + 1] - edges[i] <= most:
+            j += 1
+        a, b = edges[i], edges[j]
+        if j == i + 1:
+            out[rows[a]] += weight[a:b] @ matrix[cols[a:b]]
+        else:
+            block = np.zeros((j - i, b - a), np.float32)
+            block[np.repeat(np.arange(j - i), np.diff(edges[i : j + 1])), np.arange(b - a)] = weight[a:b]
+            out[rows[edges[i:j]]] += block @ matrix[cols[a:b]]
+        i = j
+
+
 def _batches(it: Iterator[pa.RecordBatch], docs: int = 2000) -> Iterator[_Batch]:
     for b in it:
         for lo in range(0, b.num_rows, docs):
@@ -237,7 +269,7 @@ def truncated_svd(feat: DataFrame, weight: np.ndarray, rank: int = RANK) -> np.n
         norm = np.sqrt(np.bincount(d, v**2, minlength=len(b.ids)))
         return d, t, v / np.maximum(norm[d], 1e-9)
 
-    q = np.linalg.qr(np.random.default_rng(SEED).standard_normal((DIM, rank + OVERSAMPLE)))[0].astype(np.float32)
+    q = np.linalg.qr(np.random.default_rng(SEED).standard_normal((DIM, rank + OVERSAMPLE), np.float32))[0]
     for i in range(POWER_PASSES + 1):
         shared = spark.sparkContext.broadcast(q)
         last = i == POWER_PASSES
@@ -252,18 +284,17 @@ def truncated_svd(feat: DataFrame, weight: np.ndarray, rank: int = RANK) -> np.n
                 if last:
                     out += y.T @ y
                     continue
-                o = np.argsort(t, kind="stable")
-                for lo in range(0, len(o), 200_000):
-                    p = o[lo : lo + 200_000]
-                    x = y[d[p]] * v[p, None].astype(np.float32)
-                    starts = np.concatenate([[0], np.flatnonzero(np.diff(t[p])) + 1])
-                    out[t[p][starts]] += np.add.reduceat(x, starts, axis=0)
+                edges = np.concatenate([[0], np.flatnonzero(np.diff(d)) + 1, [len(d)]]).tolist()
+                v32 = v.astype(np.float32)
+                for lo, hi in zip(edges[:-1], edges[1:]):
+                    if hi > lo:  # the terms of one document differ
+                        out[t[lo:hi]] += v32[lo:hi, None] * y[d[lo]]
             return out
 
         m = _matrix_sum(feat, step, (q.shape[1], q.shape[1]) if last else q.shape)
-        shared.unpersist()
+        shared.destroy()
         if not last:
-            q = np.linalg.qr(m.astype(np.float64))[0].astype(np.float32)
+            q = np.linalg.qr(m)[0]
     values, vectors = np.linalg.eigh(m.astype(np.float64))
     return (q @ vectors[:, np.argsort(-values)[:rank]]).astype(np.float32)
 
@@ -284,7 +315,7 @@ class Model:
         self.seeds = seeds
 
     def embed(self, b: _Batch) -> np.ndarray:
-        return _unit(b.sums(b.sent_of, len(b.lens), self.vectors * self.weight[:, None].astype(np.float32), b.flat))
+        return _unit(b.sums(b.sent_of, len(b.lens), self.vectors, b.flat, self.weight[b.flat]))
 
     def assign(self, b: _Batch, x: np.ndarray, allow: np.ndarray | None = None) -> np.ndarray:
         """The nearest centroid of each sentence; the last is no area. A sentence like no centroid is of no area."""
@@ -317,7 +348,7 @@ def refine(feat: DataFrame, labelled: DataFrame, labels: dict[int, int], model:
     spark = feat.sparkSession
     c = len(model.areas) + 1
     k = model.vectors.shape[1]
-    shared_labels = spark.sparkContext.broadcast(labels)
+    shared_labels = spark.sparkContext.broadcast(labels)  # as small as SEED_LABELS allows
     for i in range(ROUNDS):
         shared = spark.sparkContext.broadcast(model)
 
@@ -347,7 +378,7 @@ def refine(feat: DataFrame, labelled: DataFrame, labels: dict[int, int], model:
             return out
 
         m = _matrix_sum(labelled if i < 2 else feat, step, (c * GROUPS + DIM, max(k + 1, c)))
-        shared.unpersist()
+        shared.destroy()
         sums, counts = m[: c * GROUPS, :k].reshape(c, GROUPS, k), m[: c * GROUPS, k].reshape(c, GROUPS).sum(1)
         new = Model(model.areas, model.vectors, model.base, model.seeds)
         cents = sums.astype(np.float64)
@@ -406,7 +437,9 @@ def fit(docs: DataFrame, labels: DataFrame, areas: DataFrame, item_rows: list[tu
     no label and no description reaches has no centroid and is never assigned.
     """
     feat = write_out(features(docs, item_rows), "p9-features")
-    rows = sorted((r[0].strip().lower(), r[1] or "") for r in areas.select("subject", "description").where("subject is not null").limit(63).collect())
+    rows = sorted((r[0].strip().lower(), r[1] or "") for r in areas.select("subject", "description").where("subject is not null").limit(64).collect())
+    if len(rows) > 63:
+        raise ValueError("more than 63 areas")
     names = [a for a, _ in rows]
     bits = label_bits(labels, names)
     weight = term_rates(feat)
