@@ -71,11 +71,12 @@ def record_fields(content: dict, record_key: str) -> Iterator[tuple]:
         yield path, parents[path], rec, values
 
 
-def path_values(df: DataFrame, file_id: str = "file_id", content: str = "content", record_key: str = "relative_path") -> DataFrame:
+def path_values(df: DataFrame, file_id: str = "file_id", content: str = "content", record_key: str = "relative_path", texts: bool = False) -> DataFrame:
     """Rows (file_id, path, parent, record, kind, digest, value), one per field, record and type.
 
     ``kind`` is the raw JSON type, NULL where the key stands with a null only; ``digest`` stands
-    for the whole value of the field in that record, NULL if null; ``value`` is set for scalars.
+    for the whole value of the field in that record, NULL if null; ``value`` is set for scalars, with
+    ``texts`` also for objects and lists, as JSON, but not for a file's lists of records.
     Null, damaged or non-object contents give no rows; other columns are ignored. Narrow.
     """
     names = ["file_id", "path", "parent", "record", "kind", "digest", "value"]
@@ -91,7 +92,9 @@ def path_values(df: DataFrame, file_id: str = "file_id", content: str = "content
                 got = read_object(text)
                 if got is None:
                     continue
-                for path, parent, record, values in record_fields(got, record_key):
+                fields = list(record_fields(got, record_key))
+                holders = {parent[:-2] for _, parent, record, _ in fields if record and parent.endswith("[]")}
+                for path, parent, record, values in fields:
                     kept = [v for v in values if v is not None]
                     if not kept:
                         rows.append((fid, path, parent, record, None, None, None))
@@ -101,6 +104,8 @@ def path_values(df: DataFrame, file_id: str = "file_id", content: str = "content
                     for kind in {_KINDS[type(v)] for v in kept}:
                         one = kept[0] if len(kept) == 1 and kind not in ("object", "list") else None
                         value = None if one is None else one if kind == "string" else json.dumps(one)
+                        if texts and len(values) == 1 and kind in ("object", "list") and (record or path not in holders):
+                            value = text_of
                         rows.append((fid, path, parent, record, kind, digest, value))
                 if len(rows) >= 20_000:
                     yield pack(rows)
@@ -200,22 +205,53 @@ def schema_changes(values: DataFrame, pairs: DataFrame) -> DataFrame:
     return rest.unionByName(renamed.select("file_id", F.lit("renamed").alias("change"), "old_name", "new_name"))
 
 
-def consistent_table(values: DataFrame, columns: Sequence[tuple[str, Sequence[str], str]]) -> DataFrame:
-    """One typed row per file and record: ``columns`` = (name, alias paths in order, Spark type).
+def with_aliases(columns: Sequence[tuple[str, Sequence[str], str]], renamed: Sequence[tuple[str, str, int]]) -> list[tuple[str, list[str], str]]:
+    """``columns`` with the names that renames lead to: (old name, new name, times seen), in either direction.
 
-    The first alias that has a value counts. ``failed_casts`` lists ``name:path`` for each value
-    that doesn't cast to its column's type. Records with none of the paths keep a row of nulls.
+    A name goes to the column that it is tied to most often (of equals the first by name), chains are
+    followed; the names stated for a column stay with it.
     """
-    aggs = []
-    for i, (_, paths, _) in enumerate(columns):
-        for j, p in enumerate(paths):
-            aggs.append(F.max(F.when(F.col("path") == p, F.col("value"))).alias(f"v{i}_{j}"))
-    wide = values.groupBy("file_id", "record").agg(*aggs)
+    home = {p: name for name, paths, _ in columns for p in paths}
+    out = {name: list(paths) for name, paths, _ in columns}
+    while True:
+        votes: dict[str, dict[str, int]] = {}
+        for a, b, n in renamed:
+            for x, y in ((a, b), (b, a)):
+                if x in home and y not in home:
+                    per = votes.setdefault(y, {})
+                    per[home[x]] = per.get(home[x], 0) + n
+        if not votes:
+            return [(name, out[name], kind) for name, _, kind in columns]
+        for path, per in sorted(votes.items()):
+            home[path] = min(per, key=lambda c: (-per[c], c))
+            out[home[path]].append(path)
+
+
+def consistent_table(values: DataFrame, columns: Sequence[tuple[str, Sequence[str], str]], others: str | None = None) -> DataFrame:
+    """One typed row per file and record: ``columns`` = (name, alias paths in order, type).
+
+    A type is Spark's, or ``object`` or ``list`` for such values as JSON text. The first alias that
+    has a value counts. ``failed_casts`` lists ``name:path`` for each value that doesn't cast to its
+    column's type: objects and lists never cast to Spark's types, scalars never to the other two.
+    Records with none of the paths keep a row of nulls. ``others`` names a column that maps every
+    path without a column to its value as text.
+    """
+    # cells of a record are keyed by column, those without one by "$" and their path
+    place = {p: (name, j) for name, paths, _ in columns for j, p in enumerate(paths)}
+    at = values.sparkSession.createDataFrame([(p, *x) for p, x in place.items()], "path string, name string, rank int")
+    cell = F.when(F.col("kind").isNotNull(), F.struct(F.coalesce("name", F.concat(F.lit("$"), "path")).alias("key"), F.coalesce("rank", F.lit(0)).alias("rank"), "path", "kind", "value"))
+    cells = values.join(F.broadcast(at), "path", "left").groupBy("file_id", "record").agg(F.array_sort(F.collect_list(cell)).alias("cells"))
+    first = F.filter("cells", lambda c, i: (i == 0) | (F.get(F.col("cells"), i - 1)["key"] != c["key"]))
+    wide = cells.select("file_id", "record", F.map_from_entries(F.transform(first, lambda c: F.struct(c["key"], c))).alias("m"))
     out, failed = [], []
-    for i, (name, paths, kind) in enumerate(columns):
-        raw = F.coalesce(*[F.col(f"v{i}_{j}") for j in range(len(paths))])
-        cast = raw.try_cast(kind)
+    for name, _, kind in columns:
+        c = F.col("m")[name]
+        nested = c["kind"].isin("object", "list")
+        cast = F.when(c["kind"] == kind, c["value"]) if kind in ("object", "list") else F.when(~nested, c["value"].try_cast(kind))
         out.append(cast.alias(name))
-        at = F.coalesce(*[F.when(F.col(f"v{i}_{j}").isNotNull(), F.lit(p)) for j, p in enumerate(paths)])
-        failed.append(F.when(raw.isNotNull() & cast.isNull(), F.concat(F.lit(f"{name}:"), at)))
+        there = c["value"].isNotNull() | nested
+        failed.append(F.when(there & cast.isNull(), F.concat(F.lit(f"{name}:"), c["path"])))
+    if others:
+        rest = F.map_filter("m", lambda k, c: F.startswith(k, F.lit("$")) & c["value"].isNotNull())
+        out.append(F.transform_keys(F.transform_values(rest, lambda k, c: c["value"]), lambda k, v: F.substring(k, 2, 1 << 30)).alias(others))
     return wide.select("file_id", "record", *out, F.array_compact(F.array(*failed)).alias("failed_casts"))

@@ -30,27 +30,58 @@ def p4_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nested.repeated_groups(nested.path_triples(table(spark, sf_dir, "artifact_doc"), list_keys=LIST_KEYS))
 
 
-def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every schema change of a file against the file before it in its stream."""
+def _values_and_pairs(spark: SparkSession, sf_dir: str, texts: bool = False) -> tuple[DataFrame, DataFrame]:
     files = table(spark, sf_dir, "index_file")
-    values = write_out(drift.path_values(spread(files.select("file_id", "content"))), "p5-values")
+    values = write_out(drift.path_values(spread(files.select("file_id", "content")), texts=texts), "p5-values")
     # unreadable files are passed over: only files that gave rows have a place in their stream
     readable = files.select("stream_id", "written_at", "file_id").join(values.select("file_id").distinct(), "file_id", "left_semi")
-    return drift.schema_changes(values, drift.previous_file(readable))
+    return values, drift.previous_file(readable)
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every schema change of a file against the file before it in its stream."""
+    return drift.schema_changes(*_values_and_pairs(spark, sf_dir))
+
+
+def _columns() -> list[tuple[str, list[str], str]]:
+    """Columns of the consistent table, with the names that are known beforehand."""
+    e, v = "entries[].", "videos[]."
+    parts = {
+        "string": {
+            "": ["schema_version", "library_root", "generator", "profile_name", "overall_label", "selection_signature", "cache_schema_version"],
+            e: ["relative_path", "content_digest", "scene_category", "shot_type", "tags", "ratio", "metadata_schema_version"],
+            v: ["relative_path", "transition_method", "classification", "orientation", "fastest_phase", "limitation"],
+        },
+        "bigint": {"": ["entry_count", "video_total", "updated_at"], e: ["size_bytes", "mtime_ns", "historical_usage_count"]},
+        "double": {
+            e: ["duration_seconds", "motion_score", "fps", "face_content_risk"],
+            v: ["duration_seconds", "cuts_per_minute", "motion_strength", "p90_shot_seconds", "text_overlay_ratio"],
+        },
+        "object": {"": ["analyzer", "sync"], e: ["quality", "analysis_cache", "mean_hsv"], v: ["color_profile", "subject_profile"]},
+        "list": {e: ["usable_segments", "semantic_tags"], v: ["key_shot_positions", "semantic_labels"]},
+    }
+    known = {"duration_seconds": ["entries[].duration"], "scene_category": ["entries[].environment"]}
+    found: dict[tuple[str, str], list[str]] = {}
+    for kind, by_part in parts.items():
+        for part, names in by_part.items():
+            for name in names:
+                found.setdefault((name, kind), []).append(part + name)
+    return [(name, paths + known.get(name, []), kind) for (name, kind), paths in found.items()]
 
 
 def p5_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Library entries of all files as one typed table with the casts that failed."""
-    values = drift.path_values(table(spark, sf_dir, "index_file")).where("startswith(path, 'entries[].')")
-    columns = [
-        ("relative_path", ["entries[].relative_path"], "string"),
-        ("content_digest", ["entries[].content_digest"], "string"),
-        ("size_bytes", ["entries[].size_bytes"], "bigint"),
-        ("duration_seconds", ["entries[].duration_seconds", "entries[].duration"], "double"),
-        ("motion_score", ["entries[].motion_score"], "double"),
-        ("scene_category", ["entries[].scene_category", "entries[].environment"], "string"),
-    ]
-    return drift.consistent_table(values, columns)
+    """Files, library entries and profile videos as one typed table with the casts that failed.
+
+    A row per file (record empty) and per member of its lists of records. Renamed fields come under
+    the column that the renames between files lead to; fields without a column under ``other_fields``.
+    """
+    values, pairs = _values_and_pairs(spark, sf_dir, texts=True)
+    renamed = drift.schema_changes(values, pairs).where("change = 'renamed'").groupBy("old_name", "new_name").agg(F.count("*").alias("n"))
+    # field names are metadata: one row a pair of names
+    columns = drift.with_aliases(_columns(), sorted(tuple(r) for r in renamed.collect()))
+    # what lies deeper is in its field's text
+    own = values.where("(record = '') = (parent = '') and (parent = '' or (endswith(parent, '[]') and not contains(parent, '.')))")
+    return drift.consistent_table(own, columns, others="other_fields")
 
 
 def _all_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,7 +2,7 @@ import collections
 import json
 
 from cuelattice.operators import drift
-from cuelattice.queries.problems import p5_found
+from cuelattice.queries.problems import p5_found, p5_table
 from cuelattice.session import write_out
 
 KINDS = {dict: "object", list: "list", str: "string", bool: "boolean", int: "number", float: "number"}
@@ -106,3 +106,25 @@ def test_consistent_table_reports_failed_casts(spark):
     assert rows["a"]["n"] == 12 and rows["b"]["n"] is None and rows["b"]["failed_casts"] == ["n:entries[].m"] and rows["c"]["failed_casts"] == []
     s = {r["path"]: r for r in drift.path_statistics(drift.path_values(df)).collect()}
     assert s["entries[].n"]["kinds"] == ["string"] and s["entries[].n"]["records"] == 1
+
+
+def test_table_follows_renames_and_keeps_all_parts(spark, tmp_path):
+    import datetime as dt
+
+    e = {"relative_path": "a", "size_bytes": 5, "motion_score": [0.5], "scene_category": {"value": "x"}, "new_field": [1, "q"]}
+    docs = [
+        {"schema_version": "1.0", "entries": [e]},
+        {"version": "1.0", "entries": [{"relative_path": "a", "file_size": 5, "quality": {"value": 1.5}, "motion_score": "bad"}]},
+        {"schema_version": 2, "videos": [{"relative_path": "v", "transition_method": "cut"}, {"relative_path": "w"}]},
+        {"schema_version": "2", "videos": [{"relative_path": "v", "method": "cut", "key_shot_positions": [{"start": 1}]}]},
+    ]
+    rows = [(i, "s" if i < 2 else "t", dt.datetime(2024, 1, 1 + i), json.dumps(d)) for i, d in enumerate(docs)] + [(9, "t", dt.datetime(2024, 1, 9), "{damaged")]
+    spark.createDataFrame(rows, "file_id long, stream_id string, written_at timestamp, content string").write.parquet(f"{tmp_path}/index_file.parquet")
+    got = {(r["file_id"], r["relative_path"]): r for r in p5_table(spark, str(tmp_path)).collect()}
+    assert set(got) == {(0, None), (0, "a"), (1, None), (1, "a"), (2, None), (2, "v"), (2, "w"), (3, None), (3, "v")}
+    assert [got[i, None]["schema_version"] for i in range(4)] == ["1.0", "1.0", "2", "2"]
+    assert got[0, "a"]["size_bytes"] == got[1, "a"]["size_bytes"] == 5 and got[1, "a"]["quality"] == '{"value":1.5}'
+    assert sorted(got[0, "a"]["failed_casts"]) == ["motion_score:entries[].motion_score", "scene_category:entries[].scene_category"]
+    assert got[1, "a"]["failed_casts"] == ["motion_score:entries[].motion_score"]
+    assert got[0, "a"]["other_fields"] == {"entries[].new_field": '[1,"q"]'}
+    assert got[2, "v"]["transition_method"] == got[3, "v"]["transition_method"] == "cut" and json.loads(got[3, "v"]["key_shot_positions"]) == [{"start": 1}]
