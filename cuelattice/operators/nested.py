@@ -1,17 +1,19 @@
 """Deeply nested records into related flat tables.
 
 ``path_triples`` parses each record on its own into (path, value, ordinal) rows; ``repeated_groups``
-names the group of a row by its repeated ancestor (the path with positions blanked); ``flat_table``
-pivots one group into a table whose rows know their record, their own path and their parent's path.
+names the group of a row by its repeated ancestor (the path with positions blanked); ``group_rows``
+pivots all groups into rows that know their record, their own path and their parent's path;
+``flat_table`` gives one group the columns that are stated, ``key_table`` all groups of a repeated key.
 """
 
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator, Sequence
+import re
+from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 TRIPLES = "artifact_id bigint, path string, parent_path string, group_path string, field string, ordinal bigint, kind string, value string"
@@ -110,6 +112,34 @@ def list_members(triples: DataFrame) -> DataFrame:
     return triples.where("kind = 'object' and ordinal is not null").select("artifact_id", "path", "parent_path")
 
 
+def _own_group():
+    """The group that an object which is a list member stands for itself."""
+    return F.concat("group_path", F.when(F.col("field") == "", F.lit("[]")).otherwise(F.concat(F.lit("."), "field", F.lit("[]"))))
+
+
+def group_rows(triples: DataFrame) -> DataFrame:
+    """All groups pivoted: a row per repeated object, its scalar fields as a map.
+
+    Columns: ``artifact_id``, ``row_path``, ``group_path`` (its own), ``ordinal``, ``parent_path`` and
+    ``fields`` (field to its values in order; several only for scalar lists). A lone object or value
+    outside every repeated object belongs to none of the rows.
+    """
+    null = lambda t: F.lit(None).cast(t)
+    own = triples.where("kind = 'object' and ordinal is not null").select(
+        "artifact_id", F.col("path").alias("row_path"), _own_group().alias("group_path"), "ordinal", "parent_path", null("struct<f:string,o:bigint,v:string>").alias("cell")
+    )
+    leaf = triples.where("kind not in ('object', 'list') and parent_path <> '$'").select(
+        "artifact_id", F.col("parent_path").alias("row_path"), null("string").alias("group_path"), null("bigint").alias("ordinal"), null("string").alias("parent_path"),
+        F.struct(F.col("field").alias("f"), F.col("ordinal").alias("o"), F.col("value").alias("v")).alias("cell"),
+    )
+    rows = own.unionByName(leaf).groupBy("artifact_id", "row_path").agg(
+        F.max("group_path").alias("group_path"), F.max("ordinal").alias("ordinal"), F.max("parent_path").alias("parent_path"), F.array_sort(F.collect_list("cell")).alias("cells")
+    )
+    names = F.array_distinct(F.transform("cells", lambda c: c["f"]))
+    fields = F.map_from_arrays(names, F.transform(names, lambda n: F.transform(F.filter("cells", lambda c: c["f"] == n), lambda c: c["v"])))
+    return rows.select("artifact_id", "row_path", "group_path", "ordinal", "parent_path", fields.alias("fields"))
+
+
 def repeated_groups(triples: DataFrame) -> DataFrame:
     """The groups in the data: ``group_path``, ``field``, kinds seen, records and values."""
     leaf = triples.where("kind not in ('object', 'list')")
@@ -126,10 +156,21 @@ def flat_table(triples: DataFrame, group_path: str, fields: Sequence[str]) -> Da
     an object come out as JSON-like arrays in order. Fields are stated, not collected, so the
     plan never depends on the data.
     """
-    own = triples.where((F.col("kind") == "object") & F.col("ordinal").isNotNull())
-    own = own.where(F.concat("group_path", F.when(F.col("field") == "", F.lit("[]")).otherwise(F.concat(F.lit("."), "field", F.lit("[]")))) == group_path)
+    return _pivoted(triples, fields, lambda group: group == group_path)
+
+
+def key_table(triples: DataFrame, key: str, fields: Sequence[str]) -> DataFrame:
+    """As ``flat_table``, over all groups whose last repeated key is ``key``, whatever encloses it.
+
+    ``$.slots[]`` and ``$.result.timeline.slots[]`` are both groups of ``slots``.
+    """
+    return _pivoted(triples, fields, lambda group: group.rlike(rf"\.{re.escape(key)}(\[\])+$"))
+
+
+def _pivoted(triples: DataFrame, fields: Sequence[str], chosen: Callable[[Column], Column]) -> DataFrame:
+    own = triples.where((F.col("kind") == "object") & F.col("ordinal").isNotNull() & chosen(_own_group()))
     own = own.select("artifact_id", F.col("path").alias("row_path"), "ordinal", "parent_path", F.lit(None).cast("string").alias("f"), F.lit(None).cast("string").alias("v"), F.lit(None).cast("long").alias("o"))
-    leaf = triples.where((F.col("group_path") == group_path) & F.col("field").isin(*fields) & ~F.col("kind").isin("object", "list"))
+    leaf = triples.where(chosen(F.col("group_path")) & F.col("field").isin(*fields) & ~F.col("kind").isin("object", "list"))
     leaf = leaf.select(
         "artifact_id", F.col("parent_path").alias("row_path"), F.lit(None).cast("long").alias("ordinal"), F.lit(None).cast("string").alias("parent_path"), F.col("field").alias("f"), F.col("value").alias("v"), F.col("ordinal").alias("o")
     )

@@ -41,3 +41,17 @@ def test_flat_table_keeps_links(spark):
     assert set(rows) == {"$.slots[0]", "$.slots[1]", "$.slots[2]"}
     assert rows["$.slots[0]"]["anchor_time"] == "1.5" and rows["$.slots[0]"]["words"] == '["a","b"]'
     assert rows["$.slots[1]"]["index"] == "1" and rows["$.slots[2]"]["index"] is None and rows["$.slots[2]"]["ordinal"] == 2
+
+
+def test_groups_in_any_envelope(spark):
+    slot = {"index": 1, "alternatives": [{"score": 2}]}
+    ps = [{"slots": [slot]}, {"timeline": {"slots": [slot, 5]}}, {"result": {"timeline": {"slots": slot}}}, {"no_slots": [slot]}, {"videos": [{"e": {"pace_over_time": [{"phase": "a", "tags": ["x", "y"]}, {}]}}]}]
+    df = spark.createDataFrame([(i, json.dumps(p)) for i, p in enumerate(ps)], "artifact_id long, payload string")
+    t = nested.path_triples(df, list_keys=LIST_KEYS)
+    got = {(r["artifact_id"], r["row_path"], r["index"]) for r in nested.key_table(t, "slots", ["index"]).collect()}
+    assert got == {(0, "$.slots[0]", "1"), (1, "$.timeline.slots[0]", "1"), (2, "$.result.timeline.slots[0]", "1")}
+    rows = nested.group_rows(t).collect()
+    assert sorted((r["artifact_id"], r["row_path"], r["parent_path"]) for r in rows) == sorted(map(tuple, nested.list_members(t).collect()))
+    pace = {r["row_path"]: r for r in rows if r["group_path"] == "$.videos[].e.pace_over_time[]"}
+    assert pace["$.videos[0].e.pace_over_time[0]"]["fields"] == {"phase": ["a"], "tags": ["x", "y"]} and pace["$.videos[0].e.pace_over_time[1]"]["fields"] == {}
+    assert {r["phase"] for r in nested.key_table(t, "pace_over_time", ["phase"]).collect()} == {"a", None}
