@@ -6,7 +6,9 @@ would stand in several bit-permuted sorted orders of the shard (hashes are sprea
 over 64 dimensions, so a walk from a random entry finds little), scans a window there, and
 walks a beam over the graph from the nearest entries. Each shard's window and beam are
 widened until sampled queries at the full distance reach the target recall of an exhaustive
-search. What is met is reranked exactly.
+search. Windows are bounded, so in dense parts of a shard they fill up with a query's neighbours and
+leave others out: queries with a crowded window or windows that reach too short, and all queries where
+the sample missed the target, are searched exactly by blocks of bits. What is met is reranked exactly.
 
 A new batch adds one shard; compaction follows a fixed schedule (four
 shards of one level merge into one of the next as the batch counter in base 4 carries), so a batch reads O(log batches) shards and the
@@ -81,8 +83,48 @@ def exhaustive(values: np.ndarray, queries: np.ndarray) -> tuple[np.ndarray, np.
     return np.concatenate(qs), np.concatenate(vs)
 
 
-def search_graph(values: np.ndarray, graph: np.ndarray, queries: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """(query position, value position) met within ``MAX_BITS``, each once."""
+def exact_blocks(values: np.ndarray, queries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All (query position, value position) within ``MAX_BITS``, each once, of any data.
+
+    Two values that differ in at most ``MAX_BITS`` bits agree in one of ``MAX_BITS`` + 1 blocks of bits.
+    """
+    blocks = fp.MAX_BITS + 1
+    cuts = [64 * b // blocks for b in range(blocks + 1)]
+    masks = [np.uint64((1 << hi) - (1 << lo)) for lo, hi in zip(cuts, cuts[1:])]
+    qs, vs = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for b, mask in enumerate(masks):
+        vk, qk = values & mask, queries & mask
+        vo, qo = np.argsort(vk, kind="stable"), np.argsort(qk, kind="stable")
+        keys, first = np.unique(qk[qo], return_index=True)
+        last = [*first[1:].tolist(), len(qo)]
+        lo, hi = np.searchsorted(vk[vo], keys), np.searchsorted(vk[vo], keys, side="right")
+        for f, e, x, y in zip(first.tolist(), last, lo.tolist(), hi.tolist()):
+            if x == y:
+                continue
+            own, at = values[vo[x:y]], vo[x:y]
+            step = max(1, 4_000_000 // (y - x))
+            for k in range(f, e, step):
+                rows = qo[k : min(e, k + step)]
+                diff = queries[rows][:, None] ^ own
+                q, v = np.nonzero(np.bitwise_count(diff) <= fp.MAX_BITS)
+                # pairs that agree in an earlier block came out there
+                keep = np.ones(len(q), bool)
+                for m in masks[:b]:
+                    keep &= (diff[q, v] & m) != 0
+                qs.append(rows[q[keep]]), vs.append(at[v[keep]])
+    return np.concatenate(qs), np.concatenate(vs)
+
+
+#: Chance that all of ``MAX_BITS`` differing bits lie behind the first n of 64 in a random order.
+_BEHIND = np.array([math.comb(64 - n, fp.MAX_BITS) / math.comb(64, fp.MAX_BITS) for n in range(65)])
+
+
+def search_graph(values: np.ndarray, graph: np.ndarray, queries: np.ndarray, width: int, doubtful: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(query position, value position) met within ``MAX_BITS``, each once.
+
+    ``doubtful`` is set for queries that values crowd around: a quarter of one of their windows lies
+    within twice ``MAX_BITS``, or the windows hold a value at the full distance with less than ``TARGET_RECALL``.
+    """
     n = len(values)
     if n <= EXHAUSTIVE:
         return exhaustive(values, queries)
@@ -91,6 +133,7 @@ def search_graph(values: np.ndarray, graph: np.ndarray, queries: np.ndarray, wid
     window = max(8, n >> shift)
     met = [np.zeros(0, np.int64)]
     entry = np.empty((len(queries), 2 * trees), np.int32)
+    missed = np.ones(len(queries))
     for t, order in enumerate(_orders(trees)):
         keys = permuted(values, order)
         o = np.argsort(keys)
@@ -99,11 +142,22 @@ def search_graph(values: np.ndarray, graph: np.ndarray, queries: np.ndarray, wid
         qo = np.argsort(pq)
         pq = pq[qo]
         pos = np.searchsorted(keys, pq)
+        close = np.zeros(len(pq), np.int32)
         for off in range(-window, window):
             at = np.clip(pos + off, 0, n - 1)
-            hit = np.flatnonzero(np.bitwise_count(keys[at] ^ pq) <= fp.MAX_BITS)
+            d = np.bitwise_count(keys[at] ^ pq)
+            close += d <= 2 * fp.MAX_BITS
+            hit = np.flatnonzero(d <= fp.MAX_BITS)
             if len(hit):
                 met.append(qo[hit] * n + o[at[hit]])
+        if doubtful is not None:
+            doubtful[qo[2 * close >= window]] = True
+            # a window holds all that share more leading bits with the query than the nearest value beyond its edges
+            need = np.zeros(len(pq), np.int64)
+            for edge in (pos - window - 1, pos + window):
+                top = ((keys[np.clip(edge, 0, n - 1)] ^ pq) >> np.uint64(32)).astype(np.float64)
+                need = np.maximum(need, np.where((edge >= 0) & (edge < n), 33 - np.frexp(top)[1], 0))
+            missed[qo] *= 1 - _BEHIND[need]
         for k in (0, 1):
             entry[qo, 2 * t + k] = o[np.clip(pos - k, 0, n - 1)]
     for lo in range(0, len(queries), 50_000):
@@ -120,15 +174,36 @@ def search_graph(values: np.ndarray, graph: np.ndarray, queries: np.ndarray, wid
             if len(r):
                 met.append((r + lo) * n + new[r, c])
             beam, dist = np.concatenate([beam, new], 1), np.concatenate([dist, d], 1)
+    if doubtful is not None:
+        doubtful |= 1 - missed < TARGET_RECALL
     pairs = np.unique(np.concatenate(met))
     return pairs // n, pairs % n
 
 
+def search_shard(values: np.ndarray, graph: np.ndarray, queries: np.ndarray, width: int, recall: float) -> tuple[np.ndarray, np.ndarray]:
+    """(query position, value position) met within ``MAX_BITS``, each once.
+
+    The graph answers; queries that it leaves doubtful, and all if the width's ``recall`` misses the
+    target, are searched exactly.
+    """
+    if len(values) <= EXHAUSTIVE:
+        return exhaustive(values, queries)
+    if recall < TARGET_RECALL:
+        return exact_blocks(values, queries)
+    doubtful = np.zeros(len(queries), bool)
+    q, v = search_graph(values, graph, queries, width, doubtful)
+    again = np.flatnonzero(doubtful)
+    qx, vx = exact_blocks(values, queries[again])
+    keep = ~doubtful[q]
+    return np.concatenate([q[keep], again[qx]]), np.concatenate([v[keep], vx])
+
+
 def tuned_width(values: np.ndarray, graph: np.ndarray, target: float = TARGET_RECALL) -> tuple[int, float]:
     """(width, recall): the narrowest width that meets ``target`` against an exhaustive search.
 
     Queries are a sample of the shard's values with ``MAX_BITS`` bits flipped at random, the hardest
-    that count. The last width is taken if none meets it; its recall is recorded in the index.
+    that count. The last width is taken if none meets it; its recall is recorded in the index, and
+    the shard is then searched exactly.
     """
     if len(values) <= EXHAUSTIVE:
         return 0, 1.0
@@ -203,7 +278,7 @@ def search_shards(index: DataFrame, queries: DataFrame) -> DataFrame:
         v = np.frombuffer(row["vals"], np.uint64)
         graph = np.frombuffer(row["graph"], np.int32).reshape(-1, LINKS)
         q = np.unique(np.concatenate([np.frombuffer(b, np.uint64) for b in qs["vals"]]))
-        qi, vi = search_graph(v, graph, q, int(row["width"]))
+        qi, vi = search_shard(v, graph, q, int(row["width"]), float(row["recall"]))
         vq, vh = q[qi].view(np.int64), v[vi].view(np.int64)
         old = int(row["shard"]) < 0
         if not old:

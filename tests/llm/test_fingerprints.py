@@ -223,3 +223,21 @@ def test_graph_recall():
     want = set(zip(*(x.tolist() for x in gi.exhaustive(v, q))))
     got = set(zip(*(x.tolist() for x in gi.search_graph(v, graph, q, width))))
     assert got <= want and len(got) >= 0.9 * len(want)
+
+
+def test_dense_groups_are_searched_exactly():
+    rng = np.random.default_rng(3)
+    centre = rng.integers(0, 1 << 63, dtype=np.uint64)
+    group = np.full(2000, centre)
+    for i in range(len(group)):
+        for bit in rng.choice(64, rng.integers(1, 4), replace=False):
+            group[i] ^= np.uint64(1) << np.uint64(bit)
+    v = np.unique(np.concatenate([rng.integers(0, 1 << 63, 30_000, dtype=np.uint64), group]))
+    q = np.unique(group)[:300]
+    want = gi.exhaustive(v, q)
+    want = np.unique(want[0] * len(v) + want[1])
+    for recall in (1.0, 0.5):
+        got = gi.search_shard(v, gi.build_graph(v), q, 0, recall)
+        got = got[0] * len(v) + got[1]
+        assert len(got) == len(np.unique(got)) and np.array_equal(np.sort(got), want)
+    assert len(gi.search_graph(v, gi.build_graph(v), q, 0)[0]) < len(want)
