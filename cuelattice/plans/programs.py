@@ -1,12 +1,14 @@
 """Programs that are sequential within a plan: slot walks, diversified order, assignment, evidence.
 
 Plans run side by side as grouped functions; inside one plan each step depends on the one before.
-Their inputs are bounded per plan by construction (windows of a time line, candidate pools), and
+Their inputs are bounded per plan by construction (a track's distinct times, a batch's candidates, candidate pools), and
 all scoring that doesn't depend on earlier choices is done in columns before.
 """
 
 from __future__ import annotations
 
+import heapq
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -46,35 +48,50 @@ def slot_walk(events: DataFrame, window_ms: int = 600_000, lo: int = 800, target
     return e.groupBy("track", "window").applyInPandas(walk, "track string, window bigint, slot bigint, start_ms bigint, end_ms bigint")
 
 
-def diversified_order(cands: DataFrame, task: str, pool: int = 64) -> DataFrame:
-    """(task, id, position, adjusted): greedy order of each task's best ``pool`` candidates.
+def diversified_order(cands: DataFrame, task: str) -> DataFrame:
+    """(task, id, position, adjusted): greedy order of all candidates of each task.
 
     ``cands``: (task, id, score, scene, author), score in thousandths. The first of a scene gains 120,
     the second 50, later ones lose 60 a repetition; each earlier pick of an author costs 25.
-    Of equals the higher score and then the smaller id comes first. The pool is the feature's bound.
+    Of equals the higher score and then the smaller id comes first. Within a scene and author the
+    order is that of the scores, so each step looks at the best one left of each such pair; adjusted
+    scores only fall, so a heap whose head is scored again gives the exact greedy order.
     """
-    w = Window.partitionBy(task).orderBy(F.desc("score"), F.asc("id"))
-    best = cands.where(f"{task} is not null and score is not null").withColumn("r", F.row_number().over(w)).where(F.col("r") <= pool)
 
     def order(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        left = list(pdf.sort_values(["score", "id"], ascending=[False, True])[["id", "score", "scene", "author"]].itertuples(index=False, name=None))
+        queues: dict[tuple, list] = {}
+        for ident, score, scene, author in pdf.sort_values(["score", "id"], ascending=[True, False])[["id", "score", "scene", "author"]].itertuples(index=False, name=None):
+            queues.setdefault((scene, author), []).append((int(score), int(ident)))
         scenes: dict = {}
         authors: dict = {}
+
+        def entry(pair: tuple, n: int) -> tuple:
+            score, ident = queues[pair][-1]
+            k = scenes.get(pair[0], 0)
+            gain = score + (120 if k == 0 else 50 if k == 1 else -60 * (k - 1)) - 25 * authors.get(pair[1], 0)
+            return -gain, -score, ident, n, pair
+
+        heap = [entry(pair, n) for n, pair in enumerate(queues)]
+        heapq.heapify(heap)
         out = []
-        while left:
-            gain = []
-            for ident, score, scene, author in left:
-                n = scenes.get(scene, 0)
-                gain.append(score + (120 if n == 0 else 50 if n == 1 else -60 * (n - 1)) - 25 * authors.get(author, 0))
-            i = int(np.argmax(gain))
-            ident, _, scene, author = left.pop(i)
-            scenes[scene] = scenes.get(scene, 0) + 1
-            authors[author] = authors.get(author, 0) + 1
-            out.append((key[0], int(ident), len(out), int(gain[i])))
+        while heap:
+            *_, n, pair = head = heap[0]
+            now = entry(pair, n)
+            if now[0] != head[0]:
+                heapq.heapreplace(heap, now)
+                continue
+            out.append((key[0], now[2], len(out), -now[0]))
+            queues[pair].pop()
+            scenes[pair[0]] = scenes.get(pair[0], 0) + 1
+            authors[pair[1]] = authors.get(pair[1], 0) + 1
+            if queues[pair]:
+                heapq.heapreplace(heap, entry(pair, n))
+            else:
+                heapq.heappop(heap)
         return pd.DataFrame(out, columns=[task, "id", "position", "adjusted"])
 
     kind = dict(cands.dtypes)[task]
-    return best.groupBy(task).applyInPandas(order, f"{task} {kind}, id bigint, position bigint, adjusted bigint")
+    return cands.where(f"{task} is not null and score is not null").groupBy(task).applyInPandas(order, f"{task} {kind}, id bigint, position bigint, adjusted bigint")
 
 
 def assign(options: DataFrame, max_reuse: int = 2, gap: int = 2) -> DataFrame:

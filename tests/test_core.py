@@ -116,6 +116,22 @@ def test_diversified_order_front_loads(spark):
     assert len(rows) == 8 and len({("s" if r["id"] < 4 else r["id"]) for r in rows[:4]}) >= 3
 
 
+def test_diversified_order_has_all_candidates(spark):
+    rng = random.Random(4)
+    rows = [(t, i, rng.randrange(0, 400), f"s{rng.randrange(12)}", f"a{rng.randrange(7)}") for t, n in ((1, 300), (2, 70), (3, 1)) for i in range(n)]
+    df = spark.createDataFrame(rows, "task long, id long, score long, scene string, author string")
+    got = sorted((r["task"], r["position"], r["id"], r["adjusted"]) for r in programs.diversified_order(df, "task").collect())
+    want = []
+    for t in (1, 2, 3):
+        left, scenes, authors = [r for r in rows if r[0] == t], [], []
+        for position in range(len(left)):
+            gain = lambda r: r[2] + (120 if (k := scenes.count(r[3])) == 0 else 50 if k == 1 else -60 * (k - 1)) - 25 * authors.count(r[4])
+            best = min(left, key=lambda r: (-gain(r), -r[2], r[1]))
+            want.append((t, position, best[1], gain(best)))
+            left.remove(best), scenes.append(best[3]), authors.append(best[4])
+    assert got == want
+
+
 def test_files(spark, tmp_path):
     (tmp_path / "in").mkdir()
     (tmp_path / "in" / "a.json").write_text('{"x": 1}')
