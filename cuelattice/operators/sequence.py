@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,6 +14,10 @@ from ..functions.norm import rounded
 from .neighbours import islands, with_neighbour
 
 
+#: Stretches of a time line that are settled in one call.
+TOGETHER = 256
+
+
 def regions(df: DataFrame, keys: Sequence[str], at: str, order: Sequence[str], max_gap: int, min_length: int, value: str, width: float) -> DataFrame:
     """(keys, start_ms, end_ms, n, mean): rows joined while the gap is at most ``max_gap``; short ones dropped."""
     d = with_neighbour(df, keys, at, order, [at], width)
@@ -88,21 +95,56 @@ def lerp(points: DataFrame, curve: DataFrame, key: str, at: str, value: str, wid
     return j.select("id", rounded(x).alias("level"))
 
 
+def _stretches(df: DataFrame, keys: Sequence[str], at: str, apart: int, window: int) -> DataFrame:
+    """``df`` with ``stretch``: times of one entity that are ``apart`` or more from any other stretch.
+
+    Rows of different stretches never touch each other, so each could be settled on its own; ``TOGETHER``
+    neighbours share a number, as a task's call costs more than a stretch. ``df`` has a time once.
+    """
+    d = with_neighbour(df, keys, at, [at], [at], window)
+    d = islands(d, keys, at, [at], F.col("prev").isNull() | (F.col(at) - F.col(f"prev.{at}") >= apart), window, "stretch")
+    return d.drop("prev").withColumn("stretch", F.floor(F.col("stretch") / TOGETHER).cast("long"))
+
+
 def nms(df: DataFrame, keys: Sequence[str], at: str, value: str, apart: int, window: int) -> DataFrame:
     """(keys, window, kept): greedy peaks by height, then earlier time, at least ``apart`` from each kept one.
 
-    Runs within windows of the time line; a window holds few distinct times, which bounds the fold.
+    Over the whole time line, cut only where neighbours are ``apart`` or more; ``window`` is the
+    part of the time line that a peak lies in. A stretch without such a gap is settled in one task.
     """
-    d = df.groupBy(*keys, at).agg(F.max(value).alias("v")).withColumn("window", F.floor(F.col(at) / F.lit(window)).cast("long"))
-    arr = F.array_sort(F.collect_list(F.struct((-F.col("v")).alias("h"), F.col(at).alias("t"))))
-    g = d.groupBy(*keys, "window").agg(arr.alias("xs"))
-    kept = F.aggregate("xs", F.array().cast("array<bigint>"), lambda acc, x: F.when(F.forall(acc, lambda t: F.abs(t - x["t"]) >= apart), F.concat(acc, F.array(x["t"]))).otherwise(acc))
-    return g.select(*keys, "window", F.explode(kept).alias("kept"))
+    d = df.where(F.col(at).isNotNull() & F.col(value).isNotNull()).groupBy(*keys, at).agg(F.max(value).alias("v"))
+    d = _stretches(d, keys, at, apart, window)
+
+    def keep(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        t, v = pdf[at].to_numpy(), pdf["v"].to_numpy()
+        kept: list[int] = []
+        for x in t[np.lexsort((t, -v))].tolist():
+            i = bisect_left(kept, x)
+            if (i == 0 or x - kept[i - 1] >= apart) and (i == len(kept) or kept[i] - x >= apart):
+                kept.insert(i, x)
+        return _kept_frame(keys, key, kept, window)
+
+    return d.groupBy(*keys, "stretch").applyInPandas(keep, _kept_schema(df, keys))
 
 
 def thin(df: DataFrame, keys: Sequence[str], at: str, apart: int, window: int) -> DataFrame:
-    """(keys, window, kept): times at least ``apart`` after the last kept one, within windows."""
-    d = df.select(*keys, F.col(at).alias("t")).distinct().withColumn("window", F.floor(F.col("t") / F.lit(window)).cast("long"))
-    g = d.groupBy(*keys, "window").agg(F.array_sort(F.collect_list("t")).alias("xs"))
-    kept = F.aggregate("xs", F.array().cast("array<bigint>"), lambda acc, x: F.when((F.size(acc) == 0) | (x - F.element_at(acc, -1) >= apart), F.concat(acc, F.array(x))).otherwise(acc))
-    return g.select(*keys, "window", F.explode(kept).alias("kept"))
+    """(keys, window, kept): times at least ``apart`` after the last kept one, over the whole time line as in ``nms``."""
+    d = _stretches(df.where(F.col(at).isNotNull()).select(*keys, at).distinct(), keys, at, apart, window)
+
+    def keep(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        kept: list[int] = []
+        for x in np.sort(pdf[at].to_numpy()).tolist():
+            if not kept or x - kept[-1] >= apart:
+                kept.append(x)
+        return _kept_frame(keys, key, kept, window)
+
+    return d.groupBy(*keys, "stretch").applyInPandas(keep, _kept_schema(df, keys))
+
+
+def _kept_frame(keys: Sequence[str], key: tuple, kept: list[int], window: int) -> pd.DataFrame:
+    return pd.DataFrame({**{c: [k] * len(kept) for c, k in zip(keys, key)}, "window": [x // window for x in kept], "kept": kept})
+
+
+def _kept_schema(df: DataFrame, keys: Sequence[str]) -> str:
+    kinds = dict(df.dtypes)
+    return ", ".join([*[f"`{c}` {kinds[c]}" for c in keys], "window bigint", "kept bigint"])

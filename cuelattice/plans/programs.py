@@ -16,21 +16,22 @@ from pyspark.sql import functions as F
 
 
 def slot_walk(events: DataFrame, window_ms: int = 600_000, lo: int = 800, target: int = 2000, hi: int = 4000, terminal: int = 500) -> DataFrame:
-    """(track, window, slot, start_ms, end_ms): a walk over a track's sounds in windows of its time line.
+    """(track, window, slot, start_ms, end_ms): a walk over a track's sounds from 0 to its last one.
 
     From each cursor the boundary is the sound between ``lo`` and ``hi`` ms ahead that is nearest to
     ``target``, less 0.08 s of distance for full strength, then the earlier; without one, ``target``.
-    A rest shorter than ``terminal`` joins the slot before. Slots of a window cover it without gaps.
+    A rest shorter than ``terminal`` joins the slot before. Slots cover a track without gaps;
+    ``window`` is the part of the time line in which a slot starts. A track's walk needs its distinct times at once.
 
     ``events``: (track, ms, strength in thousandths); null tracks and times don't count.
     """
     e = events.where("track is not null and ms >= 0").select("track", "ms", F.coalesce("strength", F.lit(0).cast("long")).alias("strength"))
-    e = e.groupBy("track", "ms").agg(F.max("strength").alias("strength")).withColumn("window", F.floor(F.col("ms") / F.lit(window_ms)).cast("long"))
+    e = e.groupBy("track", "ms").agg(F.max("strength").alias("strength"))
 
     def walk(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("ms")
         t, s = pdf["ms"].to_numpy(), pdf["strength"].to_numpy()
-        at, end = int(key[1]) * window_ms, int(t[-1])
+        at, end = 0, int(t[-1])
         out = []
         while end - at > 0:
             i, j = np.searchsorted(t, [at + lo, at + hi + 1])
@@ -41,11 +42,11 @@ def slot_walk(events: DataFrame, window_ms: int = 600_000, lo: int = 800, target
                 to = at + target
             if end - to < terminal:
                 to = end
-            out.append((key[0], int(key[1]), len(out), at, to))
+            out.append((key[0], at // window_ms, len(out), at, to))
             at = to
         return pd.DataFrame(out, columns=["track", "window", "slot", "start_ms", "end_ms"])
 
-    return e.groupBy("track", "window").applyInPandas(walk, "track string, window bigint, slot bigint, start_ms bigint, end_ms bigint")
+    return e.groupBy("track").applyInPandas(walk, "track string, window bigint, slot bigint, start_ms bigint, end_ms bigint")
 
 
 def diversified_order(cands: DataFrame, task: str) -> DataFrame:

@@ -145,12 +145,12 @@ def even_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def nms_peaks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Strongest sounds of a track at least two seconds apart, in windows of a minute."""
+    """Strongest sounds of a track at least two seconds apart, with the minute they lie in."""
     return sq.nms(sounds(spark, sf_dir).where("strength is not null"), ["track"], "ms", "strength", 2000, 60_000)
 
 
 def thin_sounds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sounds kept at least 40 ms after the last kept one, in windows of a minute."""
+    """Sounds kept at least 40 ms after the last kept one, with the minute they lie in."""
     return sq.thin(sounds(spark, sf_dir), ["track"], "ms", 40, 60_000)
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cuelattice.functions import norm
-from cuelattice.operators import asof, catalog, gates, neighbours, stats, vectors
+from cuelattice.operators import asof, catalog, gates, neighbours, sequence, stats, vectors
 from cuelattice.plans import programs
 from cuelattice.sources import files
 from cuelattice.streaming import usage
@@ -103,6 +103,37 @@ def test_slot_walk_covers(spark):
     assert rows[0]["start_ms"] == 0 and all(a["end_ms"] == b["start_ms"] for a, b in zip(rows, rows[1:])) and all(r["end_ms"] > r["start_ms"] for r in rows)
 
 
+def test_slots_cross_windows(spark):
+    rng = random.Random(6)
+    ev = spark.createDataFrame([("t", rng.randrange(0, 90_000), rng.randrange(1000)) for _ in range(150)], "track string, ms long, strength long")
+    whole, cut = (sorted((r["slot"], r["start_ms"], r["end_ms"]) for r in programs.slot_walk(ev, window_ms=w).collect()) for w in (600_000, 10_000))
+    assert whole == cut
+
+
+def test_peaks_and_thinning_cross_windows(spark):
+    rng = random.Random(7)
+    rows = [(k, rng.randrange(0, n), rng.randrange(9)) for k, n in (("a", 100_000), ("b", 3_000_000), ("c", 300)) for _ in range(300)] + [("b", 59_500, 9), ("b", 60_200, 8)]
+    df = spark.createDataFrame(rows, "track string, ms long, v long")
+    peaks, thinned = set(), set()
+    for k in "abc":
+        best = {}
+        for _, t, v in (r for r in rows if r[0] == k):
+            best[t] = max(v, best.get(t, v))
+        kept = []
+        for t in sorted(best, key=lambda t: (-best[t], t)):
+            if all(abs(t - x) >= 2000 for x in kept):
+                kept.append(t)
+        peaks |= {(k, t // 60_000, t) for t in kept}
+        last = None
+        for t in sorted(best):
+            if last is None or t - last >= 40:
+                last = t
+                thinned.add((k, t // 60_000, t))
+    for got, want in ((sequence.nms(df, ["track"], "ms", "v", 2000, 60_000), peaks), (sequence.thin(df, ["track"], "ms", 40, 60_000), thinned)):
+        got = [(r["track"], r["window"], r["kept"]) for r in got.collect()]
+        assert len(got) == len(set(got)) and set(got) == want
+
+
 def test_assignment_rules(spark):
     o = spark.createDataFrame([(1, s, src, 10 - src) for s in range(6) for src in (1, 2)], "plan long, slot long, source long, score long")
     rows = sorted(programs.assign(o).collect(), key=lambda r: r["slot"])
