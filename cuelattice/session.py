@@ -106,4 +106,12 @@ def write_out(df: DataFrame, name: str, partitions: int | None = None) -> DataFr
     if partitions:
         df = df.coalesce(partitions)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_to = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables of ``write_out`` that nothing will read again."""
+    for t in tables:
+        drop_path(t.sparkSession, t._written_to)
