@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import spread, write_out
+from ..session import scratch_path, spread, write_out
 from ..sources.tables import table
 from . import fingerprints, graphindex, leakage, lshforest, mixing, nearest, subjects
 
@@ -23,15 +23,41 @@ def p1_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return entries.select("entry_id").join(found.withColumnRenamed("id", "entry_id"), "entry_id", "left").select("entry_id", F.coalesce("comp", "entry_id").alias("group_id"))
 
 
-def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Which candidates repeat which accepted records, batch by batch."""
+def _batches(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Catalog and candidates with ``pid``, the provider id or NULL."""
 
     def pid(df: DataFrame) -> DataFrame:
         return df.withColumn("pid", F.when(F.col("pixabay_id") != 0, F.col("pixabay_id")))
 
     cat = fingerprints.prepared(pid(table(spark, sf_dir, "catalog_entry")), "entry_id", extra=("pid",))
     cand = fingerprints.prepared(pid(table(spark, sf_dir, "candidate_batch")), "candidate_id", extra=("pid", "batch_no"))
-    return graphindex.repeats(cat, cand)
+    return cat, cand
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which candidates repeat which accepted records, batch by batch."""
+    return graphindex.repeats(*_batches(spark, sf_dir))
+
+
+def p2_appended(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of ``p2_found`` by two runs on one index: all batches but the newest, then the newest, then compaction."""
+    cat, cand = _batches(spark, sf_dir)
+    path = scratch_path(spark, "p2-index")
+    newest = cand.agg(F.max("batch_no")).first()[0]
+    late = F.coalesce(F.col("batch_no") == F.lit(newest), F.lit(False))
+    before = graphindex.Index(spark, path).create(cat).append(cand.where(~late))
+    index = graphindex.Index(spark, path)
+    rows = before.unionByName(index.append(cand.where(late)))
+    index.compact()
+    return rows
+
+
+def p2_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each segment of the index: values, sorted orders that give entries, recall of the walk and of its entries alone."""
+    cat, cand = _batches(spark, sf_dir)
+    index = graphindex.Index(spark, scratch_path(spark, "p2-index")).create(cat)
+    index.append(cand)
+    return index.shards()
 
 
 def _cuts_and_events(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -110,6 +136,8 @@ QUERIES = {
     "p1_found": p1_found,
     "p1_groups": p1_groups,
     "p2_found": p2_found,
+    "p2_appended": p2_appended,
+    "p2_recall": p2_recall,
     "p3_found": p3_found,
     "p7_found": p7_found,
     "p7_report": p7_report,

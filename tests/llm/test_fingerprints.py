@@ -200,44 +200,92 @@ def test_batches_empty(spark):
     assert repeats_of(spark, [], cand) == brute_repeats([], cand)
 
 
+def prepared_of(spark, rows):
+    df = spark.createDataFrame(rows, SCHEMA).selectExpr("id", "fingerprint", "case when pid <> 0 then pid end as pid", "batch_no")
+    return fp.prepared(df, "id", extra=("pid", "batch_no"))
+
+
+def test_appending_batch_by_batch_equals_one_run(spark, tmp_path):
+    """An index on disk takes batches one call at a time; a new Index object on the folder goes on where the last ended."""
+    cat, clips = collection(21, 60)
+    cand, _ = collection(22, 120, first=5000, base=clips)
+    cand = [(i, f, p, n % 6, t) for n, (i, f, p, _, t) in enumerate(cand)]
+    want = brute_repeats(cat, cand)
+    path = f"file://{tmp_path}/index"
+    gi.Index(spark, path).create(prepared_of(spark, cat).drop("batch_no"))
+    got, dropped = [], []
+    for batches in ((0, 1), (2,), (3,), (4,), (5,)):
+        index = gi.Index(spark, path)
+        got += [tuple(r) for r in index.append(prepared_of(spark, [r for r in cand if r[3] in batches])).collect()]
+        dropped += index.compact()
+    assert set(got) == want and len(got) == len(want)
+    assert dropped and len(gi.Index(spark, path).versions()) == 6
+    shards = {r["shard"] for r in gi.Index(spark, path).shards().collect()}
+    assert not shards & set(dropped) and {-1, gi._LEVEL} <= shards
+    with pytest.raises(ValueError):
+        gi.Index(spark, path).create(prepared_of(spark, cat).drop("batch_no"))
+
+
+def test_segments_and_blocks_lose_nothing(spark, monkeypatch):
+    monkeypatch.setattr(gi, "QUERY_BLOCK", 40)
+    monkeypatch.setattr(gi.spans, "__defaults__", (60,))
+    cat, clips = collection(21, 120)
+    cand, _ = collection(22, 160, first=5000, base=clips)
+    assert repeats_of(spark, cat, cand) == brute_repeats(cat, cand)
+
+
+def test_spans_split_a_duration_that_fills_them():
+    s = gi.spans([gi.Stats(0, 0, 1000, [5] * 200 + list(range(6, 63)))], 100)
+    assert s.sub[s.low <= 5].sum() >= 7 and s.sub.sum() >= 10
+    assert (np.diff(s.low) > 0).all() and s.base.tolist() == [0, *np.cumsum(s.sub)[:-1]]
+    low, high = gi.reach(np.array([1, 99, 1000, 12_345_678_901_234_567]))
+    for m, lo, hi in zip([1, 99, 1000, 12_345_678_901_234_567], low.tolist(), high.tolist()):
+        fits = lambda a, b: abs(a - b) * 100 <= max(a, b) * 12
+        assert fits(m, lo) and fits(m, hi) and not fits(m, lo - 1) and not fits(m, hi + 1)
+
+
 def test_schedule_reads_each_batch_once():
-    for n in (1, 2, 5, 17, 24, 70):
-        holds = {}
-        for r in range(n):
-            for s in gi.shards_written(r, n):
-                holds.setdefault(s, []).append(r)
-        for r in range(n):
-            assert sorted(x for s in gi.shards_read(r) for x in holds[s]) == list(range(r + 1))
+    for rank in range(300):
+        shards = gi.shards_read(rank)
+        assert shards[0] == gi.CATALOG and sorted(r for s in shards[1:] for r in gi.ranks_of(s)) == list(range(rank + 1))
+
+
+def flips(v, bits, seed):
+    rng = np.random.default_rng(seed)
+    out = v.copy()
+    for i in range(len(out)):
+        for b in rng.choice(64, bits, replace=False):
+            out[i] ^= np.uint64(1) << np.uint64(b)
+    return out
+
+
+def close_ones(values, queries):
+    q, v = np.nonzero(np.bitwise_count(queries[:, None] ^ values) <= fp.MAX_BITS)
+    return q * len(values) + v
 
 
-def test_graph_recall():
+def test_graph_walk_reaches_what_entries_miss():
     rng = np.random.default_rng(5)
-    v = np.unique(rng.integers(0, 1 << 63, 20_000, dtype=np.uint64))
+    crowd = flips(np.full(3000, rng.integers(0, 1 << 63, dtype=np.uint64)), 3, 6)
+    v = np.unique(np.concatenate([rng.integers(0, 1 << 63, 30_000, dtype=np.uint64), crowd]))
     graph = gi.build_graph(v)
-    width, recall = gi.tuned_width(v, graph)
-    assert recall >= gi.TARGET_RECALL
-    q = v[rng.choice(len(v), 400, replace=False)].copy()
-    for i in range(len(q)):
-        for b in rng.choice(64, 6, replace=False):
-            q[i] ^= np.uint64(1) << np.uint64(b)
-    want = set(zip(*(x.tolist() for x in gi.exhaustive(v, q))))
-    got = set(zip(*(x.tolist() for x in gi.search_graph(v, graph, q, width))))
-    assert got <= want and len(got) >= 0.9 * len(want)
-
-
-def test_dense_groups_are_searched_exactly():
+    width, recall, entries = gi.tuned(v, graph)
+    assert recall >= gi.TARGET_RECALL and entries < 0.6
+    for q in (flips(v[rng.choice(len(v), 400, replace=False)], 7, 7), flips(crowd[:300], 1, 8)):
+        want = close_ones(v, q)
+        got = gi._pairs(gi.search_segment(v, graph, q, width, recall), len(v))
+        assert len(got) == len(np.unique(got)) and np.isin(got, want).all() and len(got) >= 0.95 * len(want)
+    dense = flips(crowd[:300], 1, 8)
+    hits = gi.entry_hits(v, dense, gi._orders(width))
+    assert np.isin(close_ones(v, dense), hits).mean() < 0.5
+
+
+def test_segments_that_miss_the_target_are_searched_exactly():
     rng = np.random.default_rng(3)
-    centre = rng.integers(0, 1 << 63, dtype=np.uint64)
-    group = np.full(2000, centre)
-    for i in range(len(group)):
-        for bit in rng.choice(64, rng.integers(1, 4), replace=False):
-            group[i] ^= np.uint64(1) << np.uint64(bit)
-    v = np.unique(np.concatenate([rng.integers(0, 1 << 63, 30_000, dtype=np.uint64), group]))
+    group = flips(np.full(2000, rng.integers(0, 1 << 63, dtype=np.uint64)), 2, 4)
+    v = np.unique(np.concatenate([rng.integers(0, 1 << 63, 5000, dtype=np.uint64), group]))
     q = np.unique(group)[:300]
-    want = gi.exhaustive(v, q)
-    want = np.unique(want[0] * len(v) + want[1])
-    for recall in (1.0, 0.5):
-        got = gi.search_shard(v, gi.build_graph(v), q, 0, recall)
-        got = got[0] * len(v) + got[1]
-        assert len(got) == len(np.unique(got)) and np.array_equal(np.sort(got), want)
-    assert len(gi.search_graph(v, gi.build_graph(v), q, 0)[0]) < len(want)
+    got = gi._pairs(gi.search_segment(v, gi.build_graph(v), q, 8, gi.TARGET_RECALL - 0.01), len(v))
+    assert np.array_equal(got, np.sort(close_ones(v, q)))
+    few = v[:50]
+    assert np.array_equal(gi._pairs(gi.search_segment(few, gi.build_graph(few), q, 8, 1.0), 50), np.sort(close_ones(few, q)))
