@@ -45,7 +45,10 @@ PLACES = 4
 ALL_ENTRIES = 64
 HITS = 50_000  # entry hits that are walked from together
 SEED = 20_250_101
-INDEX = "seg bigint, part int, n bigint, width int, recall double, entry_recall double, vals binary, graph binary"
+#: Records that a query value may reach and still be *light*; a record that can do without its other values does.
+WIDE = 512
+INDEX = "seg bigint, part int, n bigint, width int, recall double, entry_recall double, vals binary, counts binary, graph binary"
+MET = "va bigint, w bigint, vbs array<bigint>"
 _PART = 250_000
 
 
@@ -319,8 +322,7 @@ def reach(ms: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def _grouped(seg: np.ndarray, v: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
     o = np.argsort(seg, kind="stable")
     ids, cut = np.unique(seg[o], return_index=True)
-    for i, part in zip(ids.tolist(), np.split(v[o], cut[1:])):
-        yield i, np.unique(part)
+    yield from zip(ids.tolist(), np.split(v[o], cut[1:]))
 
 
 def _packed(rows: DataFrame, emit, most: int = 100_000) -> DataFrame:
@@ -364,17 +366,18 @@ def build_shards(rows: DataFrame, writes: dict[int, list[int]], plan: dict[int,
                 yield i, 0, vals
 
     def build(key: tuple, it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v = np.unique(np.concatenate([np.frombuffer(x.as_buffer(), np.uint64) for b in it for x in b.column("vals")]))
+        v, counts = np.unique(np.concatenate([np.frombuffer(x.as_buffer(), np.uint64) for b in it for x in b.column("vals")]), return_counts=True)
+        counts = counts.astype(np.uint32)
         graph = build_graph(v)
         width, recall, entries = tuned(v, graph)
         for i, lo in enumerate(range(0, len(v), _PART)):
             cut = slice(lo, lo + _PART)
-            yield pa.RecordBatch.from_pylist([{"seg": key[0].as_py(), "part": i, "n": len(v), "width": width, "recall": recall, "entry_recall": entries, "vals": v[cut].tobytes(), "graph": graph[cut].tobytes()}], _ARROW)
+            yield pa.RecordBatch.from_pylist([{"seg": key[0].as_py(), "part": i, "n": len(v), "width": width, "recall": recall, "entry_recall": entries, "vals": v[cut].tobytes(), "counts": counts[cut].tobytes(), "graph": graph[cut].tobytes()}], _ARROW)
 
     return _packed(rows, emit).groupBy("seg").applyInArrow(build, INDEX)
 
 
-_ARROW = pa.schema([("seg", pa.int64()), ("part", pa.int32()), ("n", pa.int64()), ("width", pa.int32()), ("recall", pa.float64()), ("entry_recall", pa.float64()), ("vals", pa.binary()), ("graph", pa.binary())])
+_ARROW = pa.schema([("seg", pa.int64()), ("part", pa.int32()), ("n", pa.int64()), ("width", pa.int32()), ("recall", pa.float64()), ("entry_recall", pa.float64()), ("vals", pa.binary()), ("counts", pa.binary()), ("graph", pa.binary())])
 
 
 def query_blocks(reads: dict[int, list[int]], stats: dict[int, Stats], plan: dict[int, Spans]) -> dict[int, int]:
@@ -394,9 +397,10 @@ def query_blocks(reads: dict[int, list[int]], stats: dict[int, Stats], plan: dic
 
 
 def search_shards(index: DataFrame, rows: DataFrame, reads: dict[int, list[int]], plan: dict[int, Spans], blocks: dict[int, int]) -> DataFrame:
-    """(va, vb): query values and different history values within ``MAX_BITS``, from (rank, ms, hashes).
+    """(va, w, vbs): query values, records they reach and different history values within ``MAX_BITS``, from (rank, ms, hashes).
 
-    ``reads``: the shards that a rank's values are searched in. A pair comes once for each segment that has it.
+    ``reads``: the shards that a rank's values are searched in. A value may have several rows, of several segments;
+    values that meet none but themselves have none.
     """
 
     def emit(rank: int, ms: np.ndarray, v: np.ndarray) -> Iterator[tuple[int, int, np.ndarray]]:
@@ -405,7 +409,7 @@ def search_shards(index: DataFrame, rows: DataFrame, reads: dict[int, list[int]]
             s = plan[shard]
             ends = np.concatenate([s.low[1:], [_HIGH]])
             for j in range(len(s.low)):
-                own = np.unique(v[(low < ends[j]) & (high >= s.low[j])]) if len(s.low) > 1 else np.unique(v)
+                own = np.unique(v[(low < ends[j]) & (high >= s.low[j])] if len(s.low) > 1 else v)
                 for k in range(int(s.sub[j]) if len(own) else 0):
                     seg = (shard << _SEG) + int(s.base[j]) + k
                     many = blocks[seg]
@@ -422,26 +426,33 @@ def search_shards(index: DataFrame, rows: DataFrame, reads: dict[int, list[int]]
                 if row["part"] is None:
                     asked.append(np.frombuffer(row["vals"], np.uint64))
                 else:
-                    parts[row["part"]] = (row["vals"], row["graph"])
+                    parts[row["part"]] = (row["vals"], row["counts"], row["graph"])
                     width, recall = row["width"], row["recall"]
         if not parts or not asked:
             return
         v = np.frombuffer(b"".join(parts[i][0] for i in sorted(parts)), np.uint64)
-        graph = np.frombuffer(b"".join(parts[i][1] for i in sorted(parts)), np.int32).reshape(-1, LINKS)
+        counts = np.frombuffer(b"".join(parts[i][1] for i in sorted(parts)), np.uint32).astype(np.int64)
+        graph = np.frombuffer(b"".join(parts[i][2] for i in sorted(parts)), np.int32).reshape(-1, LINKS)
         parts.clear()
         q = np.unique(np.concatenate(asked))
         for qi, vi in search_segment(v, graph, q, width, recall):
-            va, vb = q[qi].view(np.int64), v[vi].view(np.int64)
-            keep = va != vb
-            if keep.any():
-                yield pa.RecordBatch.from_arrays([pa.array(va[keep]), pa.array(vb[keep])], ["va", "vb"])
+            if not len(qi):
+                continue
+            # runs of one query; a value's meeting with itself counts, but isn't listed
+            start = np.concatenate([[0], np.flatnonzero(np.diff(qi)) + 1])
+            w = np.add.reduceat(counts[vi], start)
+            other = q[qi] != v[vi]
+            listed = np.add.reduceat(other.astype(np.int32), start)
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(listed)]), pa.int32()), pa.array(v[vi[other]].view(np.int64)))
+            rows = pa.RecordBatch.from_arrays([pa.array(q[qi[start]].view(np.int64)), pa.array(w), lists], ["va", "w", "vbs"])
+            yield rows.filter(pa.array((listed > 0) | (w > 1)))
 
     spark = index.sparkSession
     at = spark.createDataFrame([(seg, b) for seg, n in blocks.items() for b in range(n)] or [(0, -1)], "seg bigint, block int")
-    own = index.join(F.broadcast(at), "seg").select("seg", "block", "part", "width", "recall", "vals", "graph")
+    own = index.join(F.broadcast(at), "seg").select("seg", "block", "part", "width", "recall", "vals", "counts", "graph")
     null = lambda t: F.lit(None).cast(t)
-    asked = _packed(rows, emit).select("seg", "block", null("int").alias("part"), null("int").alias("width"), null("double").alias("recall"), "vals", null("binary").alias("graph"))
-    return own.unionByName(asked).groupBy("seg", "block").applyInArrow(search, "va bigint, vb bigint")
+    asked = _packed(rows, emit).select("seg", "block", null("int").alias("part"), null("int").alias("width"), null("double").alias("recall"), "vals", null("binary").alias("counts"), null("binary").alias("graph"))
+    return own.unionByName(asked).groupBy("seg", "block").applyInArrow(search, MET)
 
 
 # ---- schedule of the batch shards -------------------------------------------------------------
@@ -470,29 +481,58 @@ def class_links(left: DataFrame, right: DataFrame, met: DataFrame) -> DataFrame:
     """(a, s, b): all pairs of a left class and another right class that are alike by content.
 
     ``right``: classes (s, id, ms, hashes); ``left``: those of them that are asked for, (id, ms, hashes), side 1 of ``right``;
-    ``met``: (va, vb) different close values of the two. Equal values meet by an equi-join. Heavy value pairs are not expanded;
-    classes that meet over heavy values alone meet by their profiles, within duration cells.
+    ``met``: output of ``search_shards`` for the left values. Equal values meet by an equi-join.
+
+    Two alike lists pair up in at least ``need`` members of either, so a left class can do without ``need`` - 1 of its
+    members: a class whose members that reach more than ``WIDE`` records are that few is expanded over the others alone.
+    Classes with more of them go through ``_crowded_links``.
     """
     fl = left.select("id", "ms", "hashes", F.size("hashes").alias("n"))
     fr = right.select("s", "id", "ms", "hashes", F.size("hashes").alias("n"))
+    pr = fr.select("s", F.col("id").alias("b"), F.col("ms").alias("mb"), F.col("n").alias("nb"), F.explode(F.array_distinct("hashes")).alias("vb"))
+    weight = met.groupBy("va").agg(F.sum("w").alias("w"))
+    each = fl.select(F.col("id").alias("a"), F.col("ms").alias("ma"), F.col("n").alias("na"), F.explode("hashes").alias("va"))
+    each = each.join(weight, "va", "left").withColumn("light", F.coalesce("w", F.lit(0)) <= WIDE)
+    each = each.groupBy("a", "ma", "na").agg(F.sum((~F.col("light")).cast("int")).alias("wide"), F.collect_set(F.when(F.col("light"), F.col("va"))).alias("vs"))
+    each = write_out(each.withColumn("easy", F.col("wide") <= F.ceil(F.col("na") * 3 / 5) - 1), "graph-members")
+    easy = each.where("easy").select("a", "ma", "na", F.explode("vs").alias("va"))
+    steps = met.where((F.col("w") <= WIDE) & (F.size("vbs") > 0)).select("va", "vbs")
+    pairs = easy.withColumnRenamed("va", "vb").unionByName(easy.join(steps, "va").select("a", "ma", "na", F.explode("vbs").alias("vb")))
+    links = write_out(_verified(pairs.join(pr, "vb"), fl, fr), "graph-links")
+    hard = each.where("not easy").select(F.col("a").alias("id"))
+    if hard.take(1):
+        hard = write_out(fl.join(hard, "id", "left_semi"), "graph-hard")
+        own = hard.select(F.explode("hashes").alias("va")).distinct()
+        pairs = met.join(own, "va", "left_semi").select("va", F.explode("vbs").alias("vb"))
+        links = write_out(links.unionByName(_crowded_links(hard, fr, pairs)).distinct(), "graph-all-links")
+    discard(each)
+    return links
+
+
+def _verified(pairs: DataFrame, fl: DataFrame, fr: DataFrame) -> DataFrame:
+    """(a, s, b) of those (a, ma, na, s, b, mb, nb) whose durations fit and whose lists are alike."""
+    fit = pairs.where(fp.durations_fit(F.col("ma"), F.col("mb")) & (F.least("na", "nb") * 5 >= F.greatest("na", "nb") * 3) & ~((F.col("s") == 1) & (F.col("a") == F.col("b"))))
+    fit = fit.select("a", "s", "b").distinct()
+    lists = fit.join(fr.select("s", F.col("id").alias("b"), F.col("hashes").alias("hb")), ["s", "b"]).join(fl.select(F.col("id").alias("a"), F.col("hashes").alias("ha")), "a")
+    return fp.verified(lists.withColumn("s", F.col("s").cast("long")), ("a", "s", "b"))
+
+
+def _crowded_links(fl: DataFrame, fr: DataFrame, met: DataFrame) -> DataFrame:
+    """Links of classes in crowded surroundings, from different close values (va, vb).
+
+    Heavy value pairs are not expanded; classes that meet over heavy values alone meet by their profiles,
+    within duration cells.
+    """
     pl = fl.select(F.col("id").alias("a"), F.col("ms").alias("ma"), F.col("n").alias("na"), F.explode(F.array_distinct("hashes")).alias("va"))
     pr = fr.select("s", F.col("id").alias("b"), F.col("ms").alias("mb"), F.col("n").alias("nb"), F.explode(F.array_distinct("hashes")).alias("vb"))
     ka = pl.groupBy("va").agg(F.count("*").alias("ka"))
     kb = pr.groupBy("vb").agg(F.count("*").alias("kb"))
-    same = ka.join(kb.where("kb > 1"), F.col("va") == F.col("vb")).select("va", "vb", "ka", "kb")
+    same = ka.join(kb, F.col("va") == F.col("vb")).select("va", "vb", "ka", "kb")
     weighed = write_out(met.join(ka, "va").join(kb, "vb").select("va", "vb", "ka", "kb").unionByName(same), "graph-values")
     few = F.col("ka") * F.col("kb") <= fp.HEAVY
-    both = weighed.where(few).select("va", "vb").join(pr, "vb").join(pl, "va")
-    both = both.where(fp.durations_fit(F.col("ma"), F.col("mb")) & (F.least("na", "nb") * 5 >= F.greatest("na", "nb") * 3) & ~((F.col("s") == 1) & (F.col("a") == F.col("b"))))
-    both = both.select("a", "s", "b").distinct()
-    lists = both.join(fr.select("s", F.col("id").alias("b"), F.col("hashes").alias("hb")), ["s", "b"]).join(fl.select(F.col("id").alias("a"), F.col("hashes").alias("ha")), "a")
-    links = fp.verified(lists.withColumn("s", F.col("s").cast("long")), ("a", "s", "b"))
+    links = _verified(weighed.where(few).select("va", "vb").join(pr, "vb").join(pl, "va"), fl, fr)
     heavy = write_out(weighed.where(~few).select("va", "vb"), "graph-heavy")
-    if heavy.take(1):
-        links = links.unionByName(_heavy_links(fl.withColumn("s", F.lit(1)), fr, heavy)).distinct()
-    out = write_out(links, "graph-links")
-    discard(weighed, heavy)
-    return out
+    return links.unionByName(_heavy_links(fl.withColumn("s", F.lit(1)), fr, heavy)) if heavy.take(1) else links
 
 
 def _heavy_links(fl: DataFrame, fr: DataFrame, heavy: DataFrame) -> DataFrame:

@@ -183,9 +183,10 @@ def brute_repeats(cat, cand):
     return out
 
 
-@pytest.mark.parametrize("heavy", [4096, 2])
-def test_batches(spark, monkeypatch, heavy):
+@pytest.mark.parametrize("heavy, wide", [(4096, 512), (4096, 2), (2, 0)])
+def test_batches(spark, monkeypatch, heavy, wide):
     monkeypatch.setattr(fp, "HEAVY", heavy)
+    monkeypatch.setattr(gi, "WIDE", wide)
     cat, clips = collection(21, 120)
     cand, _ = collection(22, 160, first=5000, base=clips)
     cand += [(6000 + i, cand[3][1], None, 2, "x") for i in range(8)]
