@@ -7,11 +7,16 @@ minimum is the token of that position that the hash has, and two hashes agree wi
 1 - d / 64). A signature is then the hash with its bits permuted, a tree's sorted signatures are
 a prefix trie, and records that share a prefix are neighbours in it.
 
-Matched prefixes are shortened until the forest reaches the target recall: ``plan_forest`` starts
-from the depth at which a node would hold a single value and gives up levels, and adds trees,
-until a pair at the full distance is met in at least one tree with the target probability. Nodes
-that stay larger than ``NODE_MAX`` get a forest of their own over their remaining bits. Everything
-met is verified exactly (bits, then durations, then the one-to-one pairing of whole lists).
+Prefixes are shortened from the depth at which a node would hold a single value until nodes hold
+``NODE_AIM`` values on average; the depth follows from the row count and not from what was matched.
+A tree's first bits are its *root*: values are shuffled once for each root order, to one task for each
+root part, and that task grows several trees over the bits that remain. So the copies that are shuffled
+grow with the logarithm of the number of tasks and not with the depth. Alike lists share at least ``need`` pairs of
+close hashes, one per list of one and three for lists of five, so values of long lists need fewer copies:
+``plan_forest`` gives each its number, so that records whose hashes all differ in ``MAX_BITS`` bits are met
+with probability ``TARGET_RECALL``. Parts that stay far larger than ``ROOT_AIM`` are cut into blocks that
+meet pair by pair; nodes that stay larger than ``NODE_MAX`` get a forest of their own over their remaining
+bits. Everything met is verified exactly (bits, then durations, then the one-to-one pairing of whole lists).
 
 Hash values stand once in the forest, however many records carry them. Value pairs with few
 records are expanded to record pairs; records that meet only over *heavy* values (carried by very
@@ -23,6 +28,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -35,10 +41,12 @@ from ..session import write_out
 from . import fingerprints as fp
 from .components import components
 
-TARGET_RECALL = 0.985  # of two hashes at the full distance; records share several such pairs
+TARGET_RECALL = 0.999  # of two records whose hashes are all at the full distance
+WITHIN_RECALL = 0.9  # of two hashes at the full distance, by the trees of one root part
 NODE_AIM = 512  # values a node may hold on average: the shortest prefix that is affordable
 NODE_MAX = 8192
-ROOT_AIM = 1_000_000  # values in one task
+ROOT_AIM = 500_000  # values in one task
+ROOT_LEAST = 3  # root bits at least, so that small inputs keep several tasks busy
 SEED = 20_240_607
 #: Logarithm of the ratio of the longest to the shortest duration of a cell: under half of what may differ.
 CELL = -0.495 * math.log(1 - fp.MAX_PERCENT / 100)
@@ -49,23 +57,42 @@ def meet_probability(depth: int, bits: int = fp.MAX_BITS) -> float:
     return math.comb(64 - bits, depth) / math.comb(64, depth) if depth <= 64 - bits else 0.0
 
 
-def plan_forest(n_values: int, target: float = TARGET_RECALL) -> tuple[int, int]:
-    """(depth, trees): the prefix is shortened from log2(n) while nodes stay within ``NODE_AIM``."""
-    depth = max(0, math.ceil(math.log2(max(1, n_values) / NODE_AIM))) if n_values > NODE_AIM else 0
-    p = meet_probability(depth)
-    trees = 1 if p >= target else max(1, math.ceil(math.log(1 - target) / math.log(1 - p)))
-    return depth, trees
+class Forest(NamedTuple):
+    """Shape of a forest: bits of a prefix and of its root, trees of a root part, and copies by ``need``."""
 
+    depth: int
+    root: int
+    trees: int
+    copies: tuple[int, ...]  # of values whose lists need 1, 2, ... pairs
 
-def tree_orders(trees: int, depth: int, seed: int = SEED) -> np.ndarray:
-    """(trees, 64) bit positions. Trees that fit into one permutation take disjoint prefixes of it."""
+
+def plan_forest(n_values: int, target: float = TARGET_RECALL, most_need: int = 16) -> Forest:
+    """Prefixes are shortened from log2(n) to nodes of ``NODE_AIM``; copies follow from the recall wanted."""
+    depth = math.ceil(math.log2(n_values / NODE_AIM)) if n_values > NODE_AIM else 0
+    root = min(depth, max(ROOT_LEAST, math.ceil(math.log2(max(1, n_values) / ROOT_AIM))))
+    at_root = meet_probability(root)
+    below = meet_probability(depth) / at_root
+    trees = 1 if below >= WITHIN_RECALL else math.ceil(math.log(1 - WITHIN_RECALL) / math.log(1 - below))
+    p = at_root * (1 - (1 - below) ** trees)
+    copies = tuple(1 if p >= 1 else max(1, math.ceil(math.log(1 - target) / (need * math.log(1 - p)))) for need in range(1, most_need + 1))
+    return Forest(depth, root, trees, copies)
+
+
+def needed(n: np.ndarray) -> np.ndarray:
+    """Pairs that two alike lists share at least, where the longer has ``n`` hashes."""
+    return -(-3 * n // 5)
+
+
+def tree_orders(plan: Forest, seed: int = SEED) -> np.ndarray:
+    """(copies, trees, 64) bit positions. Roots that fit into one permutation take disjoint prefixes of it."""
     rng = np.random.default_rng(seed)
-    per = max(1, 64 // depth) if depth else 1
-    out = []
-    while len(out) < trees:
-        order = rng.permutation(64)
-        out.extend(np.roll(order, -i * depth) for i in range(per))
-    return np.array(out[:trees], dtype=np.uint64)
+    out, per = [], max(1, 64 // plan.root) if plan.root else 1
+    for t in range(plan.copies[0]):
+        if t % per == 0:
+            order = rng.permutation(64)
+        whole = np.roll(order, -(t % per) * plan.root)
+        out.append([np.concatenate([whole[: plan.root], rng.permutation(whole[plan.root :])]) for _ in range(plan.trees)])
+    return np.array(out, dtype=np.uint64)
 
 
 def permuted(values: np.ndarray, order: np.ndarray) -> np.ndarray:
@@ -150,56 +177,90 @@ def _all_close(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(xs), np.concatenate(ys)
 
 
+def _block_of(v: np.ndarray, blocks: int) -> np.ndarray:
+    return ((v * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)) % np.uint64(blocks)
+
+
 def close_values(values: DataFrame, n_values: int, target: float = TARGET_RECALL) -> DataFrame:
     """(va, vb), va < vb as signed numbers: distinct hash values within ``MAX_BITS``, each pair once.
 
-    ``values``: one bigint column of distinct values. Each value is shuffled once a tree, packed
-    with its batch into byte strings by tree and root prefix.
+    ``values``: (v, n), distinct values with the length of the shortest list that has them. Each value is shuffled once
+    for each of its copies, packed with its batch into byte strings by copy and root part.
     """
-    depth, trees = plan_forest(n_values, target)
-    roots = max(0, min(depth, math.ceil(math.log2(max(1, n_values) / ROOT_AIM)))) if n_values > ROOT_AIM else 0
-    orders = tree_orders(trees, depth)
+    plan = plan_forest(n_values, target)
+    orders = tree_orders(plan)
+    copies = np.array(plan.copies)
+    roots = plan.root
     # pairs that share the prefix in an earlier tree were given out there
-    masks = [int(sum(1 << int(p) for p in o[:depth])) for o in orders]
-
-    def scatter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
-
-        def pack() -> pa.RecordBatch:
-            v = np.concatenate(held).view(np.uint64)
-            part, blob = [], []
-            for t, order in enumerate(orders):
-                keys = np.sort(permuted(v, order))
-                cut = np.searchsorted(keys >> np.uint64(64 - roots), np.arange((1 << roots) + 1, dtype=np.uint64)) if roots else [0, len(keys)]
-                for r, (lo, hi) in enumerate(zip(cut[:-1], cut[1:])):
-                    if hi > lo:
-                        part.append(t << roots | r)
-                        blob.append(keys[lo:hi].tobytes())
-            return pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array(blob, pa.binary())], ["part", "keys"])
+    masks = [[int(sum(1 << int(p) for p in o[: plan.depth])) for o in trees] for trees in orders]
 
+    def held_batches(batches: Iterator[pa.RecordBatch], size: int = 200_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
         for batch in batches:
-            held.append(batch.column(0).to_numpy(zero_copy_only=False))
-            if sum(map(len, held)) >= 200_000:
-                yield pack()
+            held.append((batch.column(0).to_numpy(), batch.column(1).to_numpy()))
+            if sum(len(h[0]) for h in held) >= size:
+                yield tuple(np.concatenate(x) for x in zip(*held))
                 held.clear()
-        if held and sum(map(len, held)):
-            yield pack()
-
-    def search(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        t = int(key[0]) >> roots
-        keys = np.sort(np.concatenate([np.frombuffer(b, np.uint64) for b in pdf["keys"]]))
-        x, y = close_pairs(keys, depth)
-        a, b = restored(x, orders[t]), restored(y, orders[t])
-        diff = a ^ b
-        new = np.ones(len(a), bool)
-        for m in masks[:t]:
-            new &= (diff & np.uint64(m)) != 0
-        a, b = a[new].view(np.int64), b[new].view(np.int64)
-        return pd.DataFrame({"va": np.minimum(a, b), "vb": np.maximum(a, b)})
-
-    packed = values.mapInArrow(scatter, "part bigint, keys binary")
-    found = packed.groupBy("part").applyInPandas(search, "va bigint, vb bigint")
-    return found
+        if held and sum(len(h[0]) for h in held):
+            yield tuple(np.concatenate(x) for x in zip(*held))
+
+    def cut(v: np.ndarray, n: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+        """(part, values) of a batch: all root parts of all copies that its values take."""
+        v, own = v.view(np.uint64), copies[np.minimum(needed(n), len(copies)) - 1]
+        for t in range(int(own.max())):
+            mine = v[own > t]
+            part = (permuted(mine, orders[t][0]) >> np.uint64(64 - roots)).astype(np.int64) if roots else np.zeros(len(mine), np.int64)
+            o = np.argsort(part, kind="stable")
+            ids, at = np.unique(part[o], return_index=True)
+            for r, vals in zip(ids.tolist(), np.split(mine[o], at[1:])):
+                yield t << roots | r, vals
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sizes: dict[int, int] = {}
+        for v, n in held_batches(batches):
+            for part, vals in cut(v, n):
+                sizes[part] = sizes.get(part, 0) + len(vals)
+        yield pa.RecordBatch.from_arrays([pa.array(list(sizes), pa.int64()), pa.array(list(sizes.values()), pa.int64())], ["part", "n"])
+
+    split: dict[int, int] = {}
+    if n_values > 4 * ROOT_AIM:
+        # few parts are so large: at most one of each 4 * ROOT_AIM values and copy
+        large = values.mapInArrow(count, "part bigint, n bigint").groupBy("part").agg(F.sum("n").alias("n")).where(F.col("n") > 4 * ROOT_AIM)
+        split = {r["part"]: math.ceil(r["n"] / ROOT_AIM) for r in large.collect()}
+
+    def scatter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for v, n in held_batches(batches):
+            rows = []
+            for part, vals in cut(v, n):
+                many = split.get(part, 1)
+                if many == 1:
+                    rows.append((part, 0, 0, vals.tobytes()))
+                    continue
+                block = _block_of(vals, many)
+                for i in np.unique(block).tolist():
+                    blob = vals[block == i].tobytes()
+                    rows.extend((part, min(i, j), max(i, j), blob) for j in range(many))
+            yield pa.RecordBatch.from_arrays([pa.array(c, ty) for c, ty in zip(zip(*rows), (pa.int64(), pa.int32(), pa.int32(), pa.binary()))], ["part", "i", "j", "vals"])
+
+    def search(key: tuple, it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, i, j = (k.as_py() for k in key)
+        t, many = part >> roots, split.get(part, 1)
+        v = np.concatenate([np.frombuffer(x.as_buffer(), np.uint64) for b in it for x in b.column("vals")])
+        for u, order in enumerate(orders[t]):
+            x, y = close_pairs(np.sort(permuted(v, order)), plan.depth)
+            a, b = restored(x, order), restored(y, order)
+            diff = a ^ b
+            new = np.ones(len(a), bool)
+            for m in [m for row in masks[:t] for m in row] + masks[t][:u]:
+                new &= (diff & np.uint64(m)) != 0
+            if many > 1 and i != j:  # pairs of one block come out where it meets itself
+                new &= _block_of(a, many) != _block_of(b, many)
+            a, b = a[new].view(np.int64), b[new].view(np.int64)
+            if len(a):
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["va", "vb"])
+
+    packed = values.select("v", F.col("n").cast("long").alias("n")).mapInArrow(scatter, "part bigint, i int, j int, vals binary")
+    return packed.groupBy("part", "i", "j").applyInArrow(search, "va bigint, vb bigint")
 
 
 def content_links(reps: DataFrame) -> DataFrame:
@@ -209,9 +270,9 @@ def content_links(reps: DataFrame) -> DataFrame:
     """
     flat = reps.where("ms is not null and size(hashes) > 0")
     post = write_out(flat.select("id", "ms", F.size("hashes").alias("n"), F.explode(F.array_distinct("hashes")).alias("v")), "forest-postings")
-    counts = post.groupBy("v").agg(F.count("*").alias("k"))
+    counts = post.groupBy("v").agg(F.count("*").alias("k"), F.min("n").alias("n"))
     n_values = counts.count()
-    pairs = close_values(counts.select("v"), n_values)
+    pairs = close_values(counts.select("v", "n"), n_values)
     same = counts.where("k > 1").select(F.col("v").alias("va"), F.col("v").alias("vb"))
     pairs = pairs.select("va", "vb").unionByName(same)
     weighed = pairs.join(counts.select(F.col("v").alias("va"), F.col("k").alias("ka")), "va").join(counts.select(F.col("v").alias("vb"), F.col("k").alias("kb")), "vb")
