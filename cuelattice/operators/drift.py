@@ -1,41 +1,32 @@
 """Schemas that drift between files: one consistent table and a report of every change.
 
-Files are read as path-value maps with raw types (``path_values``). Path and type statistics are
-aggregated by file (``path_statistics``); consecutive files of a stream are then compared field by
-field (``schema_changes``), and typed columns are projected with a report of the casts that failed
-(``consistent_table``).
+Files are read as path-value maps with raw types (``record_fields``, ``path_values``). Path and type
+statistics are aggregated by file (``path_kinds``, ``path_statistics``); consecutive files of a stream are
+then compared field by field (``schema_changes``), and typed columns are projected with a report of the casts
+that failed (``consistent_table``).
 """
 
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator, Sequence
+from collections.abc import Container, Iterator, Sequence
 from hashlib import blake2b
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.jsontext import canonical, loads
 from ..session import write_out
 
-PATH_VALUES = "file_id bigint, path string, parent string, record string, kind string, digest binary, value string"
+PATH_VALUES = "file_id bigint, path string, parent string, record string, kind string, value string"
+CHANGES = "file_id bigint, change string, old_name string, new_name string"
 
 _KINDS = {dict: "object", list: "list", str: "string", bool: "boolean", int: "number", float: "number"}
 
 
-def _canonical(value) -> str:
-    """Text that is equal for equal JSON values: sorted keys, whole floats as integers."""
-    if isinstance(value, float) and value.is_integer() and abs(value) < 1e15:
-        value = int(value)
-    if isinstance(value, dict):
-        return "{" + ",".join(f"{json.dumps(k)}:{_canonical(value[k])}" for k in sorted(value)) + "}"
-    if isinstance(value, list):
-        return "[" + ",".join(map(_canonical, value)) + "]"
-    return json.dumps(value)
-
-
-def record_fields(content: dict, record_key: str) -> Iterator[tuple]:
-    """(path, parent, record, values) of each field of each record of one file.
+def record_fields(content: dict, record_key: str, wanted: Container[str] | None = None) -> Iterator[tuple]:
+    """(path, parent, record, values) of each field of each record of one file, of the paths ``wanted`` or all.
 
     A record is the file itself (record ``''``) or the outermost list member that has
     ``record_key``. A field is a path of keys joined by dots, with ``[]`` after a list. A field that
@@ -51,36 +42,60 @@ def record_fields(content: dict, record_key: str) -> Iterator[tuple]:
         if isinstance(value, dict):
             rec = record or ""
             for key in reversed(value):
-                path = f"{prefix}.{key}" if prefix else key
-                parents[path] = prefix
-                stack.append((path, record, value[key]))
+                if isinstance(value[key], (dict, list)):
+                    stack.append((f"{prefix}.{key}" if prefix else key, record, value[key]))
             for key, v in value.items():
                 path = f"{prefix}.{key}" if prefix else key
-                found.setdefault((path, rec), []).append(v)
+                if wanted is None or path in wanted:
+                    parents[path] = prefix
+                    found.setdefault((path, rec), []).append(v)
         elif isinstance(value, list):
             for v in reversed(value):
                 inner = record
                 if record is None and isinstance(v, dict):
                     name = v.get(record_key)
-                    name = json.dumps(name) if name is not None else "?"
+                    name = canonical(name) if name is not None else "?"
                     # of several records with one name the n-th meets the n-th; records without a name meet none
                     n = seen[name] = seen.get(name, -1) + 1
                     inner = f"{name}#{n}" if n or name == "?" else name
-                stack.append((f"{prefix}[]", inner, v))
+                if isinstance(v, (dict, list)):
+                    stack.append((f"{prefix}[]", inner, v))
     for (path, rec), values in found.items():
         yield path, parents[path], rec, values
 
 
-def path_values(df: DataFrame, file_id: str = "file_id", content: str = "content", record_key: str = "relative_path", texts: bool = False) -> DataFrame:
-    """Rows (file_id, path, parent, record, kind, digest, value), one per field, record and type.
-
-    ``kind`` is the raw JSON type, NULL where the key stands with a null only; ``digest`` stands
-    for the whole value of the field in that record, NULL if null; ``value`` is set for scalars, with
-    ``texts`` also for objects and lists, as JSON, but not for a file's lists of records.
-    Null, damaged or non-object contents give no rows; other columns are ignored. Narrow.
+def path_kinds(content: dict) -> dict[str, tuple[str, frozenset[str]]]:
+    """Path to (parent, JSON types of its non-null values) of all fields of a file."""
+    found: dict[str, tuple[str, set]] = {}
+    stack: list[tuple[str, object]] = [("", content)]
+    while stack:
+        prefix, value = stack.pop()
+        if type(value) is list:
+            prefix += "[]"
+            stack.extend((prefix, v) for v in value if type(v) is dict or type(v) is list)
+            continue
+        for key, v in value.items():
+            path = f"{prefix}.{key}" if prefix else key
+            got = found.get(path)
+            if got is None:
+                got = found[path] = (prefix, set())
+            if v is not None:
+                got[1].add(type(v))
+                if type(v) is dict or type(v) is list:
+                    stack.append((path, v))
+    return {path: (parent, frozenset(_KINDS[t] for t in kinds)) for path, (parent, kinds) in found.items()}
+
+
+def path_values(df: DataFrame, file_id: str = "file_id", content: str = "content", record_key: str = "relative_path", texts: bool = False, nested: bool = True) -> DataFrame:
+    """Rows (file_id, path, parent, record, kind, value), one per field, record and type.
+
+    ``kind`` is the raw JSON type, NULL where the key stands with a null only; ``value`` is set for scalars, with
+    ``texts`` also for objects and lists, as JSON, but not for a file's lists of records. Without ``nested``
+    only fields of a file and of its outermost records come out, not those below them.
+    Null, damaged or non-object contents give no rows; other columns are ignored. Narrow; any depth.
     """
-    names = ["file_id", "path", "parent", "record", "kind", "digest", "value"]
-    types = [pa.int64(), pa.string(), pa.string(), pa.string(), pa.string(), pa.binary(), pa.string()]
+    names = ["file_id", "path", "parent", "record", "kind", "value"]
+    types = [pa.int64(), pa.string(), pa.string(), pa.string(), pa.string(), pa.string()]
 
     def pack(rows: list[tuple]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
@@ -95,18 +110,18 @@ def path_values(df: DataFrame, file_id: str = "file_id", content: str = "content
                 fields = list(record_fields(got, record_key))
                 holders = {parent[:-2] for _, parent, record, _ in fields if record and parent.endswith("[]")}
                 for path, parent, record, values in fields:
+                    if not nested and not ((record == "") == (parent == "") and (parent == "" or (parent.endswith("[]") and "." not in parent))):
+                        continue
                     kept = [v for v in values if v is not None]
                     if not kept:
-                        rows.append((fid, path, parent, record, None, None, None))
+                        rows.append((fid, path, parent, record, None, None))
                         continue
-                    text_of = _canonical(kept[0]) if len(kept) == 1 and len(values) == 1 else _canonical(values)
-                    digest = blake2b(text_of.encode("utf-8", "surrogatepass"), digest_size=12).digest()
                     for kind in {_KINDS[type(v)] for v in kept}:
                         one = kept[0] if len(kept) == 1 and kind not in ("object", "list") else None
                         value = None if one is None else one if kind == "string" else json.dumps(one)
                         if texts and len(values) == 1 and kind in ("object", "list") and (record or path not in holders):
-                            value = text_of
-                        rows.append((fid, path, parent, record, kind, digest, value))
+                            value = canonical(kept[0])
+                        rows.append((fid, path, parent, record, kind, value))
                 if len(rows) >= 20_000:
                     yield pack(rows)
                     rows = []
@@ -117,16 +132,27 @@ def path_values(df: DataFrame, file_id: str = "file_id", content: str = "content
 
 
 def read_object(text: str | None) -> dict | None:
-    """The JSON object that a file holds, or None where it is null or can't be read as one."""
+    """The JSON object that a file holds, of any depth, or None where it is null or can't be read as one."""
     if not text:
         return None
     try:
-        got = json.loads(text)
-    except (ValueError, RecursionError):
+        got = loads(text)
+    except ValueError:
         return None
     return got if isinstance(got, dict) else None
 
 
+def readable_files(files: DataFrame, file_id: str = "file_id", content: str = "content") -> DataFrame:
+    """(file_id) of the files that hold a JSON object. Narrow."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ok = [read_object(t) is not None for t in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array(ok, pa.bool_()))], ["file_id"])
+
+    return files.select(F.col(file_id).cast("long").alias("i"), F.col(content).cast("string").alias("c")).mapInArrow(read, "file_id bigint")
+
+
 def path_statistics(values: DataFrame) -> DataFrame:
     """Per file and path: ``kinds`` (sorted types of non-null values), records and non-null records."""
     return values.groupBy("file_id", "path", "parent").agg(
@@ -152,57 +178,78 @@ def previous_file(files: DataFrame, stream: str = "stream_id", written: str = "w
     return f.select(F.col("id").alias("file_id"), F.coalesce("p", "before").alias("prev_id")).where("prev_id is not null")
 
 
-def _below(path: str, fields: str) -> str:
-    """SQL: ``path`` lies below one of the array column ``fields``."""
-    return f"exists({fields}, f -> startswith({path}, concat(f, '.')) or startswith({path}, concat(f, '[')))"
+def content_changes(old: dict, new: dict, record_key: str = "relative_path") -> list[tuple[str, str, str]]:
+    """(change, old_name, new_name) between two files, from their path and type statistics.
 
+    ``added``, ``removed``, ``renamed`` (same parent; equal values in every record of both files that
+    has both, at least one; the pairing is one to one, best filled and then first by name) and
+    ``type_changed``. Fields below a reported field aren't reported.
+    """
+    was, now = path_kinds(old), path_kinds(new)
+    raw = [("removed", p, was[p][0]) for p in was.keys() - now.keys()] + [("added", p, now[p][0]) for p in now.keys() - was.keys()]
+    raw += [("type_changed", p, now[p][0]) for p in was.keys() & now.keys() if was[p][1] != now[p][1] and was[p][1] and now[p][1]]
+    said = {p for _, p, _ in raw}
+    raw = [(c, p, parent) for c, p, parent in raw if not any(p[:i] in said for i, ch in enumerate(p) if ch in ".[")]
+    gone: dict[str, list[str]] = {}
+    came: dict[str, list[str]] = {}
+    for change, path, parent in raw:
+        if change != "type_changed":
+            (gone if change == "removed" else came).setdefault(parent, []).append(path)
+    shared = gone.keys() & came.keys()
+    renamed: list[tuple[int, str, str]] = []
+    if shared:
+        before, after = ({}, {})
+        for content, names, into in ((old, gone, before), (new, came, after)):
+            for path, parent, record, values in record_fields(content, record_key, {p for s in shared for p in names[s]}):
+                if not record.startswith("?") and any(v is not None for v in values):
+                    into.setdefault(parent, {}).setdefault(path, {})[record] = blake2b(canonical(values).encode("utf-8", "surrogatepass"), digest_size=16).digest()
+        for parent in shared:
+            # names meet where they agree in a record; only those are compared in all
+            holders: dict[tuple, list[str]] = {}
+            for path, values in after.get(parent, {}).items():
+                for item in values.items():
+                    holders.setdefault(item, []).append(path)
+            for a, x in before.get(parent, {}).items():
+                for b in {b for item in x.items() for b in holders.get(item, ())}:
+                    y = after[parent][b]
+                    both = x.keys() & y.keys()
+                    if all(x[r] == y[r] for r in both):
+                        renamed.append((len(both), a, b))
+    # one to one: a pair stands if it is the best of both its names
+    best_old, best_new = {}, {}
+    for n, a, b in renamed:
+        best_old[a] = min(best_old.get(a, (0, "")), (-n, b))
+        best_new[b] = min(best_new.get(b, (0, "")), (-n, a))
+    renamed = [(a, b) for n, a, b in renamed if best_old[a] == (-n, b) and best_new[b] == (-n, a)]
+    used = {("removed", a) for a, _ in renamed} | {("added", b) for _, b in renamed}
+    rest = [(c, "" if c == "added" else p, "" if c == "removed" else p) for c, p, _ in raw if (c, p) not in used]
+    return rest + [("renamed", a, b) for a, b in renamed]
 
-def schema_changes(values: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Changes of each file against the file before it: (file_id, change, old_name, new_name).
 
-    ``values``: output of ``path_values`` (written out, as it is read several times); ``pairs``:
-    (file_id, prev_id). ``added``, ``removed``, ``renamed`` (same parent; equal values in every
-    record of both files that has both, at least one; the pairing is one to one, best filled and
-    then first by name) and ``type_changed``. Fields below a reported field aren't reported.
-    Files with no field, repeated files and empty tables give no rows.
+def schema_changes(files: DataFrame, stream: str = "stream_id", written: str = "written_at", file_id: str = "file_id", content: str = "content") -> DataFrame:
+    """Changes of each file against the readable file before it in its stream: (file_id, change, old_name, new_name).
+
+    Order is by time and then id. Two files that follow each other meet in one row, so contents are shuffled twice
+    and no value of them alone. See ``content_changes``; files with no field, repeated files and empty tables give no rows.
     """
-    stats = values.groupBy("file_id", "path", "parent").agg(F.array_sort(F.collect_set("kind")).alias("kinds"))
-    cur = pairs.join(stats, "file_id").select("file_id", "prev_id", "path", "parent", F.col("kinds").alias("new"))
-    old = pairs.join(stats.withColumnRenamed("file_id", "prev_id"), "prev_id").select("file_id", "prev_id", "path", "parent", F.col("kinds").alias("old"))
-    both = (
-        cur.select("file_id", "prev_id", "path", "parent", "new", F.lit(None).cast("array<string>").alias("old"))
-        .unionByName(old.select("file_id", "prev_id", "path", "parent", F.lit(None).cast("array<string>").alias("new"), "old"))
-        .groupBy("file_id", "prev_id", "path", "parent")
-        .agg(F.max("new").alias("new"), F.max("old").alias("old"))
-    )
-    change = (
-        F.when(F.col("old").isNull(), "added")
-        .when(F.col("new").isNull(), "removed")
-        .when((F.size("old") > 0) & (F.size("new") > 0) & (F.col("old") != F.col("new")), "type_changed")
-    )
-    raw = both.withColumn("change", change).where("change is not null").select("file_id", "prev_id", "path", "parent", "change")
-    # what lies below a reported field drops out: a file's changed fields are few, bounded by its schema
-    tops = raw.groupBy("file_id").agg(F.collect_list("path").alias("all"))
-    raw = raw.join(tops, "file_id").where("not " + _below("path", "all")).drop("all")
-    raw = write_out(raw, "drift-raw")  # four branches read it
-    gone = raw.where("change = 'removed'").select("file_id", "prev_id", "parent", F.col("path").alias("old_name"))
-    came = raw.where("change = 'added'").select("file_id", "parent", F.col("path").alias("new_name"))
-    may = gone.join(came, ["file_id", "parent"])
-    v = values.where("digest is not null and not startswith(record, '?')").select("file_id", "path", "record", "digest").distinct()
-    before = may.join(v.select(F.col("file_id").alias("prev_id"), F.col("path").alias("old_name"), "record", F.col("digest").alias("was")), ["prev_id", "old_name"])
-    met = before.join(v.select("file_id", F.col("path").alias("new_name"), "record", F.col("digest").alias("now")), ["file_id", "new_name", "record"])
-    renamed = met.groupBy("file_id", "old_name", "new_name").agg(F.bool_and(F.col("was") == F.col("now")).alias("same"), F.count("*").alias("n")).where("same")
-    # one to one: a pair stands if it is the best of both its names
-    best_old = Window.partitionBy("file_id", "old_name").orderBy(F.desc("n"), "new_name")
-    best_new = Window.partitionBy("file_id", "new_name").orderBy(F.desc("n"), "old_name")
-    renamed = renamed.withColumn("a", F.row_number().over(best_old)).withColumn("b", F.row_number().over(best_new)).where("a = 1 and b = 1").select("file_id", "old_name", "new_name")
-    used = renamed.select("file_id", F.explode(F.array(F.struct(F.lit("removed").alias("change"), F.col("old_name").alias("path")), F.struct(F.lit("added").alias("change"), F.col("new_name").alias("path")))).alias("u")).select("file_id", "u.change", "u.path")
-    rest = raw.join(used, ["file_id", "change", "path"], "left_anti")
-    empty = F.lit("")
-    rest = rest.select(
-        "file_id", "change", F.when(F.col("change") == "added", empty).otherwise(F.col("path")).alias("old_name"), F.when(F.col("change") == "removed", empty).otherwise(F.col("path")).alias("new_name")
-    )
-    return rest.unionByName(renamed.select("file_id", F.lit("renamed").alias("change"), "old_name", "new_name"))
+    ids = readable_files(files, file_id, content)
+    meta = files.select(stream, written, F.col(file_id).cast("long").alias("file_id")).join(ids, "file_id", "left_semi").distinct()
+    pairs = write_out(previous_file(meta, stream, written, "file_id"), "drift-pairs")
+    text = files.select(F.col(file_id).cast("long").alias("i"), F.col(content).cast("string").alias("c")).dropDuplicates(["i"])
+    both = pairs.join(text.select(F.col("i").alias("file_id"), F.col("c").alias("new")), "file_id")
+    both = both.join(text.select(F.col("i").alias("prev_id"), F.col("c").alias("old")), "prev_id").select("file_id", "old", "new")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for fid, old, new in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                a, b = read_object(old), read_object(new)
+                if a is not None and b is not None:
+                    rows.extend((fid, *c) for c in content_changes(a, b))
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.string(), pa.string(), pa.string()))], ["file_id", "change", "old_name", "new_name"])
+
+    return both.mapInArrow(compare, CHANGES)
 
 
 def with_aliases(columns: Sequence[tuple[str, Sequence[str], str]], renamed: Sequence[tuple[str, str, int]]) -> list[tuple[str, list[str], str]]:

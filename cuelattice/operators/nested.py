@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.jsontext import loads
+
 TRIPLES = "artifact_id bigint, path string, parent_path string, group_path string, field string, ordinal bigint, kind string, value string"
 
 _KINDS = {dict: "object", list: "list", str: "string", bool: "boolean", int: "number", float: "number", type(None): "null"}
@@ -27,8 +29,8 @@ def _held(text: str):
     if head not in ("{", "["):
         return text
     try:
-        got = json.loads(text)
-    except (ValueError, RecursionError):
+        got = loads(text)
+    except ValueError:
         return text
     return got if isinstance(got, (list, dict)) else text
 
@@ -74,8 +76,7 @@ def path_triples(
     One row per value: ``artifact_id``, ``path``, ``parent_path`` (closest enclosing list member
     that is an object, else ``$``), ``group_path`` (that parent with positions blanked), ``field``
     (keys from the parent), ``ordinal`` (set on list members), ``kind`` and ``value`` (scalars).
-    Null, empty and damaged payloads, and payloads nested deeper than the JSON parser goes, give no
-    rows; of a key that is repeated in one object the last counts; other columns are ignored; null
+    Null, empty and damaged payloads give no rows; of a key that is repeated in one object the last counts; other columns are ignored; null
     ids pass through. ``kinds`` prunes rows at the parser. Narrow: no shuffle, any length of text.
     """
     keys, only = frozenset(list_keys), frozenset(kinds) if kinds else None
@@ -88,19 +89,21 @@ def path_triples(
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
 
         rows: list[tuple] = []
+        size = 0  # of paths, which are long in deep payloads
         for batch in batches:
             for rid, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 if not text:
                     continue
                 try:
-                    record = json.loads(text)
-                except (ValueError, RecursionError):
+                    record = loads(text)
+                except ValueError:
                     continue
                 for row in walk(record, keys, only):
                     rows.append((rid, *row))
-                    if len(rows) >= 20_000:
+                    size += len(row[0])
+                    if len(rows) >= 20_000 or size > 8_000_000:
                         yield pack(rows)
-                        rows = []
+                        rows, size = [], 0
         if rows:
             yield pack(rows)
 

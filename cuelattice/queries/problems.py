@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import drift, intervals, nested
-from ..session import spread, write_out
+from ..session import spread
 from ..sources.tables import table
 
 LIST_KEYS = ("videos", "pace_over_time", "key_shot_positions", "slots")
@@ -54,17 +54,14 @@ def p4_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nested.repeated_groups(nested.path_triples(table(spark, sf_dir, "artifact_doc"), list_keys=LIST_KEYS))
 
 
-def _values_and_pairs(spark: SparkSession, sf_dir: str, texts: bool = False) -> tuple[DataFrame, DataFrame]:
-    files = table(spark, sf_dir, "index_file")
-    values = write_out(drift.path_values(spread(files.select("file_id", "content")), texts=texts), "p5-values")
-    # unreadable files are passed over: only files that gave rows have a place in their stream
-    readable = files.select("stream_id", "written_at", "file_id").join(values.select("file_id").distinct(), "file_id", "left_semi")
-    return values, drift.previous_file(readable)
-
-
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every schema change of a file against the file before it in its stream."""
-    return drift.schema_changes(*_values_and_pairs(spark, sf_dir))
+    return drift.schema_changes(spread(table(spark, sf_dir, "index_file").select("file_id", "stream_id", "written_at", "content")))
+
+
+def p5_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per file and field: the JSON types of its values and the records that have it."""
+    return drift.path_statistics(drift.path_values(spread(table(spark, sf_dir, "index_file").select("file_id", "content"))))
 
 
 def _columns() -> list[tuple[str, list[str], str]]:
@@ -99,12 +96,11 @@ def p5_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     A row per file (record empty) and per member of its lists of records. Renamed fields come under
     the column that the renames between files lead to; fields without a column under ``other_fields``.
     """
-    values, pairs = _values_and_pairs(spark, sf_dir, texts=True)
-    renamed = drift.schema_changes(values, pairs).where("change = 'renamed'").groupBy("old_name", "new_name").agg(F.count("*").alias("n"))
+    renamed = p5_found(spark, sf_dir).where("change = 'renamed'").groupBy("old_name", "new_name").agg(F.count("*").alias("n"))
     # field names are metadata: one row a pair of names
     columns = drift.with_aliases(_columns(), sorted(tuple(r) for r in renamed.collect()))
     # what lies deeper is in its field's text
-    own = values.where("(record = '') = (parent = '') and (parent = '' or (endswith(parent, '[]') and not contains(parent, '.')))")
+    own = drift.path_values(spread(table(spark, sf_dir, "index_file").select("file_id", "content")), texts=True, nested=False)
     return drift.consistent_table(own, columns, others="other_fields")
 
 
@@ -125,7 +121,7 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return intervals.periods_and_gaps(_all_intervals(spark, sf_dir), ["origin", "run_id", "asset_id"])
 
 
-QUERIES = {f.__name__: f for f in (p4_found, p4_rows, p4_slots, p4_videos, p4_pace_over_time, p4_key_shot_positions, p4_groups, p5_found, p5_table, p6_found)}
+QUERIES = {f.__name__: f for f in (p4_found, p4_rows, p4_slots, p4_videos, p4_pace_over_time, p4_key_shot_positions, p4_groups, p5_found, p5_statistics, p5_table, p6_found)}
 
 _P6_SQL = """
 WITH iv AS (

@@ -29,6 +29,7 @@ def test_damaged_and_odd(spark):
 
 def test_long_and_deep(spark):
     deep = '{"a":[' * 300 + "1" + "]}" * 300
+    assert found(spark, ['{"a":' + "[" * 5000 + '{"b":1}' + "]" * 5000 + "}", "[" * 20_000]) == {(0, "$.a" + "[0]" * 5000, "$")}
     got = found(spark, [deep, json.dumps({"slots": [{"i": i} for i in range(30_000)]})])
     assert len([g for g in got if g[0] == 0]) == 299 and len([g for g in got if g[0] == 1]) == 30_000
 
