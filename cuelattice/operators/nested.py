@@ -1,8 +1,8 @@
 """Deeply nested records into related flat tables.
 
-``path_triples`` parses each record on its own into (path, value, ordinal) rows; ``repeated_groups``
-names the group of a row by its repeated ancestor (the path with positions blanked); ``group_rows``
-pivots all groups into rows that know their record, their own path and their parent's path;
+``walk`` takes a record apart into path–value–ordinal triples, ``path_triples`` gives those of a table.
+A row's group is its repeated ancestor (the path with positions blanked); ``group_rows`` pivots all groups
+into rows that know their record, their own path and their parent's path;
 ``flat_table`` gives one group the columns that are stated, ``key_table`` all groups of a repeated key.
 """
 
@@ -10,10 +10,10 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.jsontext import loads
@@ -110,37 +110,66 @@ def path_triples(
     return df.select(F.col(id_col).cast("long").alias("i"), F.col(payload).cast("string").alias("p")).mapInArrow(parse, TRIPLES)
 
 
-def list_members(triples: DataFrame) -> DataFrame:
-    """Objects that are members of a list: the rows of all flat tables, with their parents."""
-    return triples.where("kind = 'object' and ordinal is not null").select("artifact_id", "path", "parent_path")
+ROWS = "artifact_id bigint, row_path string, group_path string, ordinal bigint, parent_path string, fields map<string,string>, lists map<string,array<string>>"
+_MAPS = (pa.map_(pa.string(), pa.string()), pa.map_(pa.string(), pa.list_(pa.string())))
 
 
-def _own_group():
-    """The group that an object which is a list member stands for itself."""
-    return F.concat("group_path", F.when(F.col("field") == "", F.lit("[]")).otherwise(F.concat(F.lit("."), "field", F.lit("[]"))))
+def pivoted(triples: Iterator[tuple]) -> list[list]:
+    """[row_path, group_path, ordinal, parent_path, fields, lists] of each repeated object in one record's triples."""
+    # what lies in an object follows it at once, so of objects with one path (keys may hold dots) the last is the parent
+    out: list[list] = []
+    last: dict[str, list] = {}
+    for path, parent, group, field, ordinal, kind, value in triples:
+        if kind == "object":
+            if ordinal is not None:
+                row = last[path] = [path, f"{group}.{field}[]" if field else f"{group}[]", ordinal, parent, {}, {}]
+                out.append(row)
+        elif kind != "list" and parent != "$":
+            if ordinal is None:
+                last[parent][4][field] = value
+            else:
+                last[parent][5].setdefault(field, []).append(value)
+    return out
+
+
+def group_rows(df: DataFrame, id_col: str = "artifact_id", payload: str = "payload", list_keys: Sequence[str] = ()) -> DataFrame:
+    """All groups pivoted: a row per repeated object of every record, with its own and its parent's path.
+
+    Columns: ``artifact_id``, ``row_path``, ``group_path`` (its own), ``ordinal``, ``parent_path``, ``fields``
+    (field to scalar, as text) and ``lists`` (field to the scalars of a list, in order). A lone object or value
+    outside every repeated object belongs to none of the rows. A record is parsed once, in one task, and
+    its triples are grouped there, so nothing is shuffled. Cases of damaged payloads are those of ``path_triples``.
+    """
+    keys = frozenset(list_keys)
+    types = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), *_MAPS]
+    names = ["artifact_id", "row_path", "group_path", "ordinal", "parent_path", "fields", "lists"]
 
+    def pack(rows: list[tuple]) -> pa.RecordBatch:
+        *plain, fields, lists = zip(*rows)
+        held = [*plain, [list(d.items()) for d in fields], [list(d.items()) for d in lists]]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(held, types)], names)
 
-def group_rows(triples: DataFrame) -> DataFrame:
-    """All groups pivoted: a row per repeated object, its scalar fields as a map.
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[tuple] = []
+        size = 0
+        for batch in batches:
+            for rid, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if not text:
+                    continue
+                try:
+                    record = loads(text)
+                except ValueError:
+                    continue
+                for row in pivoted(walk(record, keys)):
+                    rows.append((rid, *row))
+                    size += len(row[0])
+                    if len(rows) >= 10_000 or size > 8_000_000:
+                        yield pack(rows)
+                        rows, size = [], 0
+        if rows:
+            yield pack(rows)
 
-    Columns: ``artifact_id``, ``row_path``, ``group_path`` (its own), ``ordinal``, ``parent_path`` and
-    ``fields`` (field to its values in order; several only for scalar lists). A lone object or value
-    outside every repeated object belongs to none of the rows.
-    """
-    null = lambda t: F.lit(None).cast(t)
-    own = triples.where("kind = 'object' and ordinal is not null").select(
-        "artifact_id", F.col("path").alias("row_path"), _own_group().alias("group_path"), "ordinal", "parent_path", null("struct<f:string,o:bigint,v:string>").alias("cell")
-    )
-    leaf = triples.where("kind not in ('object', 'list') and parent_path <> '$'").select(
-        "artifact_id", F.col("parent_path").alias("row_path"), null("string").alias("group_path"), null("bigint").alias("ordinal"), null("string").alias("parent_path"),
-        F.struct(F.col("field").alias("f"), F.col("ordinal").alias("o"), F.col("value").alias("v")).alias("cell"),
-    )
-    rows = own.unionByName(leaf).groupBy("artifact_id", "row_path").agg(
-        F.max("group_path").alias("group_path"), F.max("ordinal").alias("ordinal"), F.max("parent_path").alias("parent_path"), F.array_sort(F.collect_list("cell")).alias("cells")
-    )
-    names = F.array_distinct(F.transform("cells", lambda c: c["f"]))
-    fields = F.map_from_arrays(names, F.transform(names, lambda n: F.transform(F.filter("cells", lambda c: c["f"] == n), lambda c: c["v"])))
-    return rows.select("artifact_id", "row_path", "group_path", "ordinal", "parent_path", fields.alias("fields"))
+    return df.select(F.col(id_col).cast("long").alias("i"), F.col(payload).cast("string").alias("p")).mapInArrow(parse, ROWS)
 
 
 def repeated_groups(triples: DataFrame) -> DataFrame:
@@ -151,37 +180,26 @@ def repeated_groups(triples: DataFrame) -> DataFrame:
     )
 
 
-def flat_table(triples: DataFrame, group_path: str, fields: Sequence[str]) -> DataFrame:
-    """One group as a table: a row per repeated object, a string column per scalar field.
+def flat_table(rows: DataFrame, group_path: str, fields: Sequence[str]) -> DataFrame:
+    """One group of ``group_rows`` as a table: a row per repeated object, a string column per scalar field.
 
     Columns: ``artifact_id``, ``row_path``, ``ordinal``, ``parent_path`` and ``fields`` (dots
     become underscores). Objects without any of the fields keep a row of nulls; scalar lists below
-    an object come out as JSON-like arrays in order. Fields are stated, not collected, so the
-    plan never depends on the data.
+    an object come out as JSON arrays in order. Fields are stated, not collected, so the
+    plan never depends on the data. Narrow.
     """
-    return _pivoted(triples, fields, lambda group: group == group_path)
+    return _columns(rows.where(F.col("group_path") == group_path), fields)
 
 
-def key_table(triples: DataFrame, key: str, fields: Sequence[str]) -> DataFrame:
+def key_table(rows: DataFrame, key: str, fields: Sequence[str]) -> DataFrame:
     """As ``flat_table``, over all groups whose last repeated key is ``key``, whatever encloses it.
 
     ``$.slots[]`` and ``$.result.timeline.slots[]`` are both groups of ``slots``.
     """
-    return _pivoted(triples, fields, lambda group: group.rlike(rf"\.{re.escape(key)}(\[\])+$"))
+    return _columns(rows.where(F.col("group_path").rlike(rf"\.{re.escape(key)}(\[\])+$")), fields)
 
 
-def _pivoted(triples: DataFrame, fields: Sequence[str], chosen: Callable[[Column], Column]) -> DataFrame:
-    own = triples.where((F.col("kind") == "object") & F.col("ordinal").isNotNull() & chosen(_own_group()))
-    own = own.select("artifact_id", F.col("path").alias("row_path"), "ordinal", "parent_path", F.lit(None).cast("string").alias("f"), F.lit(None).cast("string").alias("v"), F.lit(None).cast("long").alias("o"))
-    leaf = triples.where(chosen(F.col("group_path")) & F.col("field").isin(*fields) & ~F.col("kind").isin("object", "list"))
-    leaf = leaf.select(
-        "artifact_id", F.col("parent_path").alias("row_path"), F.lit(None).cast("long").alias("ordinal"), F.lit(None).cast("string").alias("parent_path"), F.col("field").alias("f"), F.col("value").alias("v"), F.col("ordinal").alias("o")
-    )
-    rows = own.unionByName(leaf)
-    cells = []
-    for f in fields:
-        many = F.array_sort(F.collect_list(F.when((F.col("f") == f) & F.col("o").isNotNull(), F.struct("o", "v"))))
-        one = F.max(F.when((F.col("f") == f) & F.col("o").isNull(), F.col("v")))
-        listed = F.when(F.size(many) > 0, F.to_json(F.transform(many, lambda x: x["v"])))
-        cells.append(F.coalesce(one, listed).alias(f.replace(".", "_")))
-    return rows.groupBy("artifact_id", "row_path").agg(F.max("ordinal").alias("ordinal"), F.max("parent_path").alias("parent_path"), *cells)
+def _columns(rows: DataFrame, fields: Sequence[str]) -> DataFrame:
+    # values come as text, so lists are JSON arrays of strings
+    cells = [F.coalesce(F.col("fields")[f], F.to_json(F.col("lists")[f])).alias(f.replace(".", "_")) for f in fields]
+    return rows.select("artifact_id", "row_path", "ordinal", "parent_path", *cells)

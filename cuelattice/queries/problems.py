@@ -12,13 +12,9 @@ from ..sources.tables import table
 LIST_KEYS = ("videos", "pace_over_time", "key_shot_positions", "slots")
 
 
-def _triples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return nested.path_triples(spread(table(spark, sf_dir, "artifact_doc").select("artifact_id", "payload")), list_keys=LIST_KEYS)
-
-
 def p4_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All groups pivoted: every object that is a member of a list, with its group, parent and fields."""
-    return nested.group_rows(_triples(spark, sf_dir))
+    return nested.group_rows(spread(table(spark, sf_dir, "artifact_doc").select("artifact_id", "payload")), list_keys=LIST_KEYS)
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,24 +25,24 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p4_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flat table of timeline slots, in whatever envelope they come."""
     fields = ["index", "start", "end", "section_role", "energy", "is_emphasis", "transition", "recommended_content", "anchor_event.type", "anchor_event.time", "anchor_event.strength"]
-    return nested.key_table(_triples(spark, sf_dir), "slots", fields)
+    return nested.key_table(p4_rows(spark, sf_dir), "slots", fields)
 
 
 def p4_videos(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flat table of reference videos with what was learned of their editing style."""
     style = ["shot_duration_distribution_seconds.mean", "shot_duration_distribution_seconds.p90", "adjacent_change_ratios.subject", "adjacent_change_ratios.scene", "adjacent_change_ratios.shot_scale", "unsupported_effects"]
     fields = ["relative_path", "duration_seconds", "editing_rhythm.classification", "editing_rhythm.detected_cuts", *[f"editing_style_learning.{f}" for f in style]]
-    return nested.key_table(_triples(spark, sf_dir), "videos", fields)
+    return nested.key_table(p4_rows(spark, sf_dir), "videos", fields)
 
 
 def p4_pace_over_time(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flat table of the phases of a video's pace."""
-    return nested.key_table(_triples(spark, sf_dir), "pace_over_time", ["phase", "start_seconds", "end_seconds", "shot_count", "cuts_per_minute", "visual_motion_intensity"])
+    return nested.key_table(p4_rows(spark, sf_dir), "pace_over_time", ["phase", "start_seconds", "end_seconds", "shot_count", "cuts_per_minute", "visual_motion_intensity"])
 
 
 def p4_key_shot_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flat table of a video's key shots."""
-    return nested.key_table(_triples(spark, sf_dir), "key_shot_positions", ["shot_index", "time_seconds", "normalized_position", "score", "scene", "shot_scale", "tags"])
+    return nested.key_table(p4_rows(spark, sf_dir), "key_shot_positions", ["shot_index", "time_seconds", "normalized_position", "score", "scene", "shot_scale", "tags"])
 
 
 def p4_groups(spark: SparkSession, sf_dir: str) -> DataFrame:

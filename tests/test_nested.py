@@ -6,7 +6,7 @@ from cuelattice.queries.problems import LIST_KEYS
 
 def found(spark, payloads):
     df = spark.createDataFrame([(i, p, "x", "y") for i, p in enumerate(payloads)], "artifact_id long, payload string, path string, ordinal string")
-    return {tuple(r) for r in nested.list_members(nested.path_triples(df, list_keys=LIST_KEYS)).collect()}
+    return {tuple(r) for r in nested.group_rows(df, list_keys=LIST_KEYS).select("artifact_id", "row_path", "parent_path").collect()}
 
 
 def test_members_and_parents(spark):
@@ -37,7 +37,7 @@ def test_long_and_deep(spark):
 def test_flat_table_keeps_links(spark):
     p = json.dumps({"slots": [{"index": 0, "anchor": {"time": 1.5}, "words": ["a", "b"]}, {"index": 1}, {}]})
     df = spark.createDataFrame([(7, p)], "artifact_id long, payload string")
-    t = nested.path_triples(df, list_keys=LIST_KEYS)
+    t = nested.group_rows(df, list_keys=LIST_KEYS)
     rows = {r["row_path"]: r for r in nested.flat_table(t, "$.slots[]", ["index", "anchor.time", "words[]", "words"]).collect()}
     assert set(rows) == {"$.slots[0]", "$.slots[1]", "$.slots[2]"}
     assert rows["$.slots[0]"]["anchor_time"] == "1.5" and rows["$.slots[0]"]["words"] == '["a","b"]'
@@ -48,11 +48,19 @@ def test_groups_in_any_envelope(spark):
     slot = {"index": 1, "alternatives": [{"score": 2}]}
     ps = [{"slots": [slot]}, {"timeline": {"slots": [slot, 5]}}, {"result": {"timeline": {"slots": slot}}}, {"no_slots": [slot]}, {"videos": [{"e": {"pace_over_time": [{"phase": "a", "tags": ["x", "y"]}, {}]}}]}]
     df = spark.createDataFrame([(i, json.dumps(p)) for i, p in enumerate(ps)], "artifact_id long, payload string")
-    t = nested.path_triples(df, list_keys=LIST_KEYS)
+    t = nested.group_rows(df, list_keys=LIST_KEYS)
     got = {(r["artifact_id"], r["row_path"], r["index"]) for r in nested.key_table(t, "slots", ["index"]).collect()}
     assert got == {(0, "$.slots[0]", "1"), (1, "$.timeline.slots[0]", "1"), (2, "$.result.timeline.slots[0]", "1")}
-    rows = nested.group_rows(t).collect()
-    assert sorted((r["artifact_id"], r["row_path"], r["parent_path"]) for r in rows) == sorted(map(tuple, nested.list_members(t).collect()))
+    rows = t.collect()
+    members = nested.path_triples(df, list_keys=LIST_KEYS).where("kind = 'object' and ordinal is not null")
+    assert sorted((r["artifact_id"], r["row_path"], r["parent_path"]) for r in rows) == sorted(map(tuple, members.select("artifact_id", "path", "parent_path").collect()))
     pace = {r["row_path"]: r for r in rows if r["group_path"] == "$.videos[].e.pace_over_time[]"}
-    assert pace["$.videos[0].e.pace_over_time[0]"]["fields"] == {"phase": ["a"], "tags": ["x", "y"]} and pace["$.videos[0].e.pace_over_time[1]"]["fields"] == {}
+    first = pace["$.videos[0].e.pace_over_time[0]"]
+    assert first["fields"] == {"phase": "a"} and first["lists"] == {"tags": ["x", "y"]} and pace["$.videos[0].e.pace_over_time[1]"]["fields"] == {}
     assert {r["phase"] for r in nested.key_table(t, "pace_over_time", ["phase"]).collect()} == {"a", None}
+
+
+def test_objects_with_one_path_keep_their_own_values(spark):
+    df = spark.createDataFrame([(1, json.dumps({"a.b": [{"x": 1}], "a": {"b": [{"x": 2}]}}))], "artifact_id long, payload string")
+    rows = nested.group_rows(df).collect()
+    assert [r["row_path"] for r in rows] == ["$.a.b[0]"] * 2 and [r["fields"]["x"] for r in rows] == ["1", "2"]
