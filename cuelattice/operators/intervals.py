@@ -14,17 +14,24 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import write_out
+
 SLICE_MS = 60_000
-#: Farthest time that a session may reach, in ms; ends beyond it are set aside (see merge_intervals).
-FARTHEST_MS = 10**14
+#: Whole milliseconds that fit into 64 bits with a slice to spare: 292 million years.
+FARTHEST_MS = 9.2e18
 
 
 def whole_ms(seconds: Column) -> Column:
-    """Seconds as whole milliseconds (half away from zero); NULL for null, NaN, infinite or absurd values."""
+    """Seconds as whole milliseconds (half away from zero); NULL for null, NaN and infinite values and those that 64 bits can't hold."""
     ok = seconds.isNotNull() & ~F.isnan(seconds) & (F.abs(seconds) <= F.lit(FARTHEST_MS / 1000.0))
     return F.when(ok, F.round(seconds * 1000.0, 0).cast("long"))
 
 
+def _slice(at: str, slice_ms: int) -> Column:
+    """The slice of a time, in whole numbers."""
+    return F.call_function("div", F.col(at) - F.pmod(F.col(at), F.lit(slice_ms)), F.lit(slice_ms).cast("long"))
+
+
 def merge_intervals(
     df: DataFrame, keys: Sequence[str], start: str = "start_ms", end: str = "end_ms", slice_ms: int = SLICE_MS
 ) -> DataFrame:
@@ -33,16 +40,19 @@ def merge_intervals(
     Takes bigint ``start``/``end`` in whole ms, half-open; gives ``keys`` + (``start_ms``, ``end_ms``).
     Touching intervals are joined. Rows with a null end or not ending after their start don't
     count; null keys form an entity of their own; repeated rows change nothing; an empty table
-    gives an empty table; other columns are dropped. Ends beyond ``FARTHEST_MS`` are not valid input.
+    gives an empty table; other columns are dropped. Sessions run on times within their slice, so any end
+    up to ``FARTHEST_MS`` counts.
     """
     k = [f"k{i}" for i in range(len(keys))]
     rows = df.select(
         *[F.col(f"`{c}`").alias(a) for c, a in zip(keys, k)], F.col(start).cast("long").alias("s"), F.col(end).cast("long").alias("e")
     ).where("s is not null and e is not null and e > s")
-    rows = rows.withColumn("slice", F.floor(F.col("s") / F.lit(slice_ms)).cast("long"))
+    rows = rows.withColumn("slice", _slice("s", slice_ms))
     # exact repeats vanish before the shuffle; session_window then merges within a slice
     rows = rows.groupBy(*k, "slice", "s").agg(F.max("e").alias("e"))
-    session = F.session_window(F.timestamp_millis("s"), F.concat((F.col("e") - F.col("s")).cast("string"), F.lit(" milliseconds")))
+    at = F.col("s") - F.col("slice") * slice_ms
+    length = F.least(F.col("e"), F.col("slice") * slice_ms + slice_ms) - F.col("s")
+    session = F.session_window(F.timestamp_millis(at), F.concat(length.cast("string"), F.lit(" milliseconds")))
     part = (
         rows.withColumn("slice2", F.col("slice"))
         .groupBy(*k, "slice2", session.alias("w"))
@@ -80,7 +90,7 @@ def gaps_between(periods: DataFrame, keys: Sequence[str], slice_ms: int = SLICE_
     """
     k = [f"k{i}" for i in range(len(keys))]
     rows = periods.select(*[F.col(f"`{c}`").alias(a) for c, a in zip(keys, k)], F.col("start_ms").alias("s"), F.col("end_ms").alias("e"))
-    rows = rows.withColumn("slice", F.floor(F.col("s") / F.lit(slice_ms)).cast("long"))
+    rows = rows.withColumn("slice", _slice("s", slice_ms))
     heads = rows.groupBy(*k, "slice").agg(F.min("s").alias("head"))
     heads = heads.withColumn("next", F.lead("head").over(Window.partitionBy(*k).orderBy("slice")))
     heads = heads.select(*[F.col(c).alias(f"_{c}") for c in k], F.col("slice").alias("_slice"), "next")
@@ -93,7 +103,7 @@ def gaps_between(periods: DataFrame, keys: Sequence[str], slice_ms: int = SLICE_
 
 def periods_and_gaps(df: DataFrame, keys: Sequence[str], start: str = "start_ms", end: str = "end_ms", slice_ms: int = SLICE_MS) -> DataFrame:
     """``keys`` + (``kind``, ``start_ms``, ``end_ms``) with kinds ``period`` and ``gap``."""
-    periods = merge_intervals(df, keys, start, end, slice_ms)
+    periods = write_out(merge_intervals(df, keys, start, end, slice_ms), "periods")  # read twice
     gaps = gaps_between(periods, keys, slice_ms)
     out = [*keys, "kind", "start_ms", "end_ms"]
     return periods.withColumn("kind", F.lit("period")).select(*out).unionByName(gaps.withColumn("kind", F.lit("gap")).select(*out))

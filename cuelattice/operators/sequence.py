@@ -7,7 +7,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.norm import rounded
@@ -26,22 +26,57 @@ def regions(df: DataFrame, keys: Sequence[str], at: str, order: Sequence[str], m
     return r.where(F.col("end_ms") - F.col("start_ms") >= min_length).drop("island")
 
 
-def moving_average_edge(df: DataFrame, key: str, order: Sequence[str], value: str, width: int) -> DataFrame:
-    """``df`` with ``smooth``: sum of ``width`` (odd) values around the row, the end values repeated beyond the ends."""
+def around(df: DataFrame, key: str, order: Sequence[str], value: str, reach: int, slice_rows: float) -> DataFrame:
+    """``df`` with ``_before`` and ``_after``: the values (structs of ``v``) of up to ``reach`` rows on either side, nearest first.
+
+    Slices of the first order column lend each other their last and first ``reach`` values, so no window spans an entity.
+    A slice with fewer rows passes on what its neighbours lent it.
+    """
+    at = order[0]
+    d = df.withColumn("_slice", F.floor(F.col(at) / F.lit(slice_rows)).cast("long"))
+    w = Window.partitionBy(key, "_slice").orderBy(*order)
+    held = F.struct(F.col(value).alias("v"))  # nulls keep their place
+    d = d.withColumn("_before", F.reverse(F.collect_list(held).over(w.rowsBetween(-reach, -1)))).withColumn("_after", F.collect_list(held).over(w.rowsBetween(1, reach)))
+    packed = F.struct(*order, held.alias("_v"))
+    # the rows at a slice's ends, found within the slice
+    up, down = F.row_number().over(w), F.row_number().over(Window.partitionBy(key, "_slice").orderBy(*[F.desc(c) for c in order]))
+    ends = d.withColumn("_u", up).withColumn("_d", down).where((F.col("_u") <= reach) | (F.col("_d") <= reach))
+    first, last = F.collect_list(F.when(F.col("_u") <= reach, packed)), F.collect_list(F.when(F.col("_d") <= reach, packed))
+    ends = ends.groupBy(key, "_slice").agg(F.transform(F.array_sort(first), lambda x: x["_v"]).alias("head"), F.transform(F.array_sort(last), lambda x: x["_v"]).alias("tail"))
+    # enough neighbouring slices to fill the reach even if each has one row
+    o = Window.partitionBy(key).orderBy("_slice")
+    lent = F.slice(F.reverse(F.flatten(F.collect_list("tail").over(o.rowsBetween(-reach, -1)))), 1, reach)
+    next_ = F.slice(F.flatten(F.collect_list("head").over(o.rowsBetween(1, reach))), 1, reach)
+    ends = ends.select(F.col(key).alias("_k"), F.col("_slice").alias("_s"), lent.alias("_lent"), next_.alias("_next"))
+    d = d.join(ends, d[key].eqNullSafe(F.col("_k")) & (F.col("_slice") == F.col("_s")), "left")
+    d = d.withColumn("_before", F.slice(F.concat("_before", "_lent"), 1, reach)).withColumn("_after", F.slice(F.concat("_after", "_next"), 1, reach))
+    return d.drop("_slice", "_s", "_k", "_lent", "_next")
+
+
+def total_of(c: str) -> Column:
+    """Sum of the values of a list of ``around``; nulls count as 0."""
+    return F.aggregate(c, F.lit(0).cast("long"), lambda s, x: s + F.coalesce(x["v"], F.lit(0)))
+
+
+def _farthest(side: str, value: str) -> Column:
+    return F.when(F.size(side) > 0, F.element_at(side, -1)["v"]).otherwise(F.col(value))
+
+
+def moving_average_edge(df: DataFrame, key: str, order: Sequence[str], value: str, width: int, slice_width: float) -> DataFrame:
+    """``df`` with ``smooth``: sum of ``width`` (odd) values around the row, the end values repeated beyond the ends; nulls count as 0."""
     k = width // 2
-    w = Window.partitionBy(key).orderBy(*order)
-    near = F.sum(value).over(w.rowsBetween(-k, k))
-    first, last = F.first(value).over(w.rowsBetween(Window.unboundedPreceding, 0)), F.last(value).over(w.rowsBetween(0, Window.unboundedFollowing))
-    at, n = F.row_number().over(w), F.count("*").over(Window.partitionBy(key))
-    before, after = F.greatest(F.lit(0), k - (at - 1)), F.greatest(F.lit(0), k - (n - at))
-    return df.withColumn("smooth", (near + first * before + last * after).cast("long"))
+    d = around(df, key, order, value, k, slice_width)
+    zero = F.lit(0).cast("long")
+    first, last = F.coalesce(_farthest("_before", value), zero), F.coalesce(_farthest("_after", value), zero)
+    near = F.coalesce(F.col(value), zero) + total_of("_before") + total_of("_after")
+    smooth = near + first * (k - F.size("_before")) + last * (k - F.size("_after"))
+    return d.withColumn("smooth", smooth.cast("long")).drop("_before", "_after")
 
 
-def level_change(df: DataFrame, key: str, order: Sequence[str], value: str, steps: int) -> DataFrame:
+def level_change(df: DataFrame, key: str, order: Sequence[str], value: str, steps: int, slice_width: float) -> DataFrame:
     """``df`` with ``change``: the value ``steps`` rows later less that ``steps`` rows before, ends clamped."""
-    w = Window.partitionBy(key).orderBy(*order)
-    first, last = F.first(value).over(w.rowsBetween(Window.unboundedPreceding, 0)), F.last(value).over(w.rowsBetween(0, Window.unboundedFollowing))
-    return df.withColumn("change", F.coalesce(F.lead(value, steps).over(w), last) - F.coalesce(F.lag(value, steps).over(w), first))
+    d = around(df, key, order, value, steps, slice_width)
+    return d.withColumn("change", _farthest("_after", value) - _farthest("_before", value)).drop("_before", "_after")
 
 
 def density(df: DataFrame, key: str, at: str, reach: int) -> DataFrame:

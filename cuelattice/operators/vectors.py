@@ -1,8 +1,8 @@
-"""Vectors: cosine pairs within blocks, components of small graphs, novelty."""
+"""Vectors: inner product and cosine."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
@@ -14,23 +14,3 @@ def dot(a: Column, b: Column) -> Column:
 def cosine(a: Column, b: Column) -> Column:
     """Cosine of two arrays; NULL where one has no length."""
     return F.try_divide(dot(a, b), F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
-
-
-def components(links: DataFrame, a: str, b: str, rounds: int = 50) -> DataFrame:
-    """(id, comp): least id reachable over the links, by label propagation until nothing changes.
-
-    Each round's labels are written out, so lineage stays short and lost executors cost one round.
-    Meant for graphs of small diameter.
-    """
-    from ..session import write_out
-
-    e = links.select(F.col(a).alias("x"), F.col(b).alias("y"))
-    e = write_out(e.unionByName(e.select(F.col("y").alias("x"), F.col("x").alias("y"))).distinct(), "links")
-    lab = write_out(e.select(F.col("x").alias("id")).distinct().withColumn("comp", F.col("id")), "labels")
-    for i in range(rounds):
-        low = e.join(lab.withColumnRenamed("id", "y"), "y").groupBy(F.col("x").alias("id")).agg(F.min("comp").alias("low"))
-        new = write_out(lab.join(low, "id", "left").select("id", F.least("comp", F.coalesce("low", "comp")).alias("comp"), (F.col("low") < F.col("comp")).alias("moved")), f"labels-{i}")
-        lab = new.select("id", "comp")
-        if not new.where("moved").take(1):
-            return lab
-    raise RuntimeError("components did not settle")

@@ -100,11 +100,10 @@ def assign(options: DataFrame, max_reuse: int = 2, gap: int = 2) -> DataFrame:
 
     ``options``: (plan, slot, source, score). A source may be used ``max_reuse`` times and not within
     ``gap`` slots of its last use; unused sources are preferred. Of equals the smaller source wins.
-    A slot none can fill keeps NULL and the reason of its best option.
+    A slot none can fill keeps NULL and the reason of its best option. All options of a slot count;
+    a plan's options are read at once.
     """
     o = options.where("plan is not null and slot is not null and source is not null and score is not null").groupBy("plan", "slot", "source").agg(F.max("score").alias("score"))
-    w = Window.partitionBy("plan", "slot").orderBy(F.desc("score"), F.asc("source"))
-    o = o.withColumn("r", F.row_number().over(w)).where("r <= 64")
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         used: dict[int, int] = {}

@@ -2,23 +2,23 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import norm
 from ..operators import catalog as ct
 from ..operators import neighbours as nb
+from ..operators import sequence as sq
 from ..operators import stats
 from ..sources.tables import table
-from .views import CUTS, EVENTS, SOUNDS, TEN_MIN_MS, cuts, events, sounds
+from .views import CUTS, DAY_US, EVENTS, SOUNDS, TEN_MIN_MS, cuts, events, sounds
 
 
 def novelty_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Distance between the sums of the four values after and before each event; rows without full frames drop out."""
-    w = Window.partitionBy("track").orderBy("us", "id")
-    after, before = w.rowsBetween(1, 4), w.rowsBetween(-4, -1)
-    e = events(spark, sf_dir).select("id", "track", F.abs(F.sum("m").over(after) - F.sum("m").over(before)).alias("novelty"), F.count("m").over(after).alias("a"), F.count("m").over(before).alias("b"))
-    return e.where("a = 4 and b = 4").groupBy("track").agg(F.max("novelty").alias("peak"), F.sum("novelty").alias("total"), F.count("*").alias("n"))
+    e = sq.around(events(spark, sf_dir).where("m is not null"), "track", ["us", "id"], "m", 4, DAY_US).where("size(_before) = 4 and size(_after) = 4")
+    e = e.select("track", F.abs(sq.total_of("_after") - sq.total_of("_before")).alias("novelty"))
+    return e.groupBy("track").agg(F.max("novelty").alias("peak"), F.sum("novelty").alias("total"), F.count("*").alias("n"))
 
 
 def range_mean(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import norm
-from ..operators import asof, gates, vectors
+from ..operators import asof, components, gates, vectors
 from ..operators import catalog as ct
 from ..operators import neighbours as nb
 from ..sources import logs
@@ -26,11 +26,12 @@ def cut_alignment_qa(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def nearest_event_by_type(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per type of sound, cuts whose nearest sound of that type is within 150 ms, with their summed distance."""
-    types = sorted(r[0] for r in sounds(spark, sf_dir).select("type").where("type is not null").distinct().collect())  # a vocabulary
-    if len(types) > 1000:
-        raise ValueError("too many types of sound")
-    c = cuts(spark, sf_dir).select("track", "ms", "id", F.explode(F.array(*map(F.lit, types))).alias("type"))
-    n = asof.nearest(c, sounds(spark, sf_dir).select("track", "type", "ms", F.col("id").alias("sid")), ["track", "type"], "ms", "sid", TEN_MIN_MS)
+    s = sounds(spark, sf_dir).where("type is not null")
+    # a cut asks only for the types that its track has within reach: a cell of 150 ms or a neighbouring one
+    cell = F.floor(F.col("ms") / 150).cast("long")
+    near = s.select("track", "type", F.explode(F.array(cell - 1, cell, cell + 1)).alias("cell")).distinct()
+    c = cuts(spark, sf_dir).select("track", "ms", "id", cell.alias("cell")).join(near, ["track", "cell"]).select("track", "ms", "id", "type").distinct()
+    n = asof.nearest(c, s.select("track", "type", "ms", F.col("id").alias("sid")), ["track", "type"], "ms", "sid", TEN_MIN_MS)
     d = F.abs(F.col("ms") - F.col("near_at"))
     return n.where(d <= 150).groupBy("type").agg(F.count("*").alias("cuts"), F.sum(d).alias("distance"), F.sum(F.when(F.col("near_at") < F.col("ms"), 1).otherwise(0)).cast("long").alias("early"))
 
@@ -224,7 +225,7 @@ def loop_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", F.unix_micros(F.col("o_orderdate").cast("timestamp")).alias("us"))
     p = nb.with_neighbour(o, ["o_custkey"], "us", ["us", "o_orderkey"], ["o_orderkey", "us"], 365 * 86_400_000_000).where("prev is not null")
     links = p.where(F.col("us") - F.col("prev.us") <= 30 * 86_400_000_000).select(F.col("o_orderkey").alias("a"), F.col("prev.o_orderkey").alias("b"))
-    comp = vectors.components(links, "a", "b")
+    comp = components.components(links, "a", "b")
     return comp.groupBy("comp").agg(F.count("*").alias("n")).groupBy("n").agg(F.count("*").alias("groups"))
 
 

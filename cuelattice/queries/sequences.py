@@ -79,7 +79,7 @@ def repeat_gap_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def moving_average_edge(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Centred mean of five values per track with the edge value repeated beyond the ends."""
-    return sq.moving_average_edge(events(spark, sf_dir), "track", ORDER_E, "m", 5).select("id", "track", F.col("smooth").alias("sum5"))
+    return sq.moving_average_edge(events(spark, sf_dir), "track", ORDER_E, "m", 5, DAY_US).select("id", "track", F.col("smooth").alias("sum5"))
 
 
 def rolling_density(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -89,7 +89,7 @@ def rolling_density(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def level_change(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Value three steps later less the value three steps before, ends clamped."""
-    return sq.level_change(events(spark, sf_dir), "track", ORDER_E, "m", 3).select("id", "change")
+    return sq.level_change(events(spark, sf_dir), "track", ORDER_E, "m", 3, DAY_US).select("id", "change")
 
 
 def curve_minmax(spark: SparkSession, sf_dir: str) -> DataFrame:

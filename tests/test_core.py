@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cuelattice.functions import norm
-from cuelattice.operators import asof, catalog, gates, neighbours, sequence, stats, vectors
+from cuelattice.operators import asof, catalog, components, gates, neighbours, sequence, stats, vectors
 from cuelattice.plans import programs
 from cuelattice.sources import files
 from cuelattice.streaming import usage
@@ -93,7 +93,7 @@ def test_stats_on_empty(spark):
 
 def test_components(spark):
     e = spark.createDataFrame([(1, 2), (2, 3), (9, 8), (5, 5)], "a long, b long")
-    assert {tuple(r) for r in vectors.components(e, "a", "b").collect()} == {(1, 1), (2, 1), (3, 1), (8, 8), (9, 8), (5, 5)}
+    assert {tuple(r) for r in components.components(e, "a", "b").collect()} == {(1, 1), (2, 1), (3, 1), (8, 8), (9, 8)}
 
 
 def test_slot_walk_covers(spark):

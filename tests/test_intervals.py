@@ -47,6 +47,12 @@ def test_touch_nest_and_long_reach(spark):
     assert run(spark, rows, 1000) == brute(rows)
 
 
+def test_farthest_times_count(spark):
+    far = 9_100_000_000_000_000_000
+    rows = [("a", -far, far), ("a", far - 5, far + 7), ("a", far + 8, far + 9), ("b", far, far + 1), ("b", -far - 3, -far), ("b", -far, -far + 2)]
+    assert run(spark, rows) == brute(rows)
+
+
 def test_empty(spark):
     assert run(spark, []) == set()
     assert run(spark, [("a", 5, 5)]) == set()
