@@ -180,6 +180,14 @@ QUERIES = {f.__name__: f for f in (
 R4 = "floor(({0}) * 10000.0 + 0.5) / 10000.0"
 _WE, _WC = "OVER (PARTITION BY track ORDER BY us, id)", "OVER (PARTITION BY track ORDER BY ms, id)"
 SQL = {
+    "nms_peaks": f"""WITH RECURSIVE s AS (SELECT track, ms, max(strength) AS v FROM {SOUNDS} WHERE strength IS NOT NULL AND ms IS NOT NULL GROUP BY 1, 2),
+  w AS (SELECT track, CAST(NULL AS BIGINT) AS pick, CAST([] AS BIGINT[]) AS kept FROM s GROUP BY 1
+    UNION ALL SELECT track, -best.t, list_append(kept, -best.t) FROM (
+      SELECT w.track, w.kept, max({{'v': s.v, 't': -s.ms}}) AS best FROM w JOIN s ON s.track = w.track AND len(list_filter(w.kept, lambda k: abs(k - s.ms) < 2000)) = 0 GROUP BY 1, 2))
+  SELECT track, CAST(pick // 60000 AS BIGINT) AS "window", pick AS kept FROM w WHERE pick IS NOT NULL""",
+    "thin_sounds": f"""WITH RECURSIVE s AS (SELECT DISTINCT track, ms FROM {SOUNDS} WHERE ms IS NOT NULL),
+  r AS (SELECT track, min(ms) AS kept FROM s GROUP BY 1 UNION ALL SELECT r.track, min(s.ms) FROM r JOIN s ON s.track = r.track AND s.ms >= r.kept + 40 GROUP BY 1)
+  SELECT track, CAST(kept // 60000 AS BIGINT) AS "window", kept FROM r""",
     "gap_five_numbers": f"""WITH g AS (SELECT type, (us - lag(us) {_WE}) // 1000000 AS gap FROM {EVENTS})
       SELECT type, count(*) AS n, min(gap) AS low, floor(quantile_cont(gap, 0.25) * 100.0 + 0.5) / 100.0 AS q1, floor(quantile_cont(gap, 0.5) * 100.0 + 0.5) / 100.0 AS mid,
       floor(quantile_cont(gap, 0.75) * 100.0 + 0.5) / 100.0 AS q3, max(gap) AS high FROM g WHERE gap IS NOT NULL GROUP BY type""",
