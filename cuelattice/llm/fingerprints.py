@@ -24,12 +24,12 @@ def prepared(df: DataFrame, id_col: str, fingerprint: str = "fingerprint", extra
     """(id, sha, ms, hashes, *extra): lower-case digest or NULL, whole ms or NULL, sorted hash list.
 
     Members of exactly 16 hex digits are hashes; others are left out. Null or empty lists give an
-    empty list; durations that are null, not finite or not above 0 give NULL.
+    empty list; durations that are null, not finite, not above 0 or too long for whole ms in 64 bits give NULL.
     """
     f = F.col(fingerprint)
     sha = F.lower(f["sha256"])
     d = f["duration_seconds"]
-    ms = F.when(d.isNotNull() & ~F.isnan(d) & (d > 0) & (d < 1e12), F.round(d * 1000.0, 0).cast("long"))
+    ms = F.when(d.isNotNull() & ~F.isnan(d) & (d > 0) & (d < 9.2e15), F.round(d * 1000.0, 0).cast("long"))
     members = F.filter(F.coalesce(f["perceptual_hashes"], F.array().cast("array<string>")), lambda h: h.isNotNull() & h.rlike("^[0-9a-fA-F]{16}$"))
     hashes = F.array_sort(F.transform(members, lambda h: F.conv(h, 16, -10).cast("long")))
     return df.select(
@@ -39,7 +39,10 @@ def prepared(df: DataFrame, id_col: str, fingerprint: str = "fingerprint", extra
 
 def durations_fit(a: Column, b: Column) -> Column:
     """The durations differ by at most ``MAX_PERCENT`` % of the longer."""
-    return F.abs(a - b) * 100 <= F.greatest(a, b) * MAX_PERCENT
+    longer = F.greatest(a, b)
+    hundreds = F.call_function("div", longer, F.lit(100).cast("long"))
+    # in whole numbers that don't overflow
+    return F.abs(a - b) <= hundreds * MAX_PERCENT + F.call_function("div", (longer - hundreds * 100) * MAX_PERCENT, F.lit(100).cast("long"))
 
 
 def _matching(close: np.ndarray) -> int:

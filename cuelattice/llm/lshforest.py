@@ -37,9 +37,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators.components import components
 from ..session import write_out
 from . import fingerprints as fp
-from .components import components
 
 TARGET_RECALL = 0.999  # of two records whose hashes are all at the full distance
 WITHIN_RECALL = 0.9  # of two hashes at the full distance, by the trees of one root part

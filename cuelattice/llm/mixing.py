@@ -9,11 +9,13 @@ fraction of one more.
 from __future__ import annotations
 
 import base64
+import math
 import os
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 TOKENIZER = os.environ.get("CUELATTICE_TOKENIZER", "/opt/tokenizers/byte_bpe_50k.tiktoken")
@@ -22,6 +24,7 @@ MOST_SOURCES = 100_000
 #: The split pattern that belongs to the byte-level vocabulary; fixed value.
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _CHUNK = 100_000
+BUCKETS = 4096
 
 
 def load_tokenizer(path: str):
@@ -75,36 +78,47 @@ def source_sizes(counted: DataFrame, targets: DataFrame, source: str = "source")
     return t.join(have, "s", "left").select(F.col("s").alias("source"), F.coalesce("target_share", F.lit(0.0)).alias("target_share"), F.coalesce("max_repeats", F.lit(0)).alias("max_repeats"), F.coalesce("docs", zero).alias("docs"), F.coalesce("tokens", zero).alias("tokens"))
 
 
-def water_fill(rows: list[tuple[str, float, int, int]], total: float | None = None) -> dict[str, float]:
+class Fill(NamedTuple):
+    """Repetitions by source, and the sources that each round of the filling clamped at their caps."""
+
+    repeats: dict[str, float]
+    clamped: list[list[str]]
+
+
+def water_fill(rows: list[tuple[str, float, int, int]], total: float | None = None) -> Fill:
     """Repetitions of each source (name, share, cap, tokens) in a mix of ``total`` tokens.
 
     Sources that can't fill their part are clamped at their cap; what they leave is shared among
     the others in proportion to their shares, again and again until no further source clamps.
-    The default total is all tokens once. Shares are relative; a source without tokens gets 0.
+    Those of the first round fall short of their own share. The default total is all tokens once.
+    Shares are relative; a source without tokens gets 0.
     """
     size = {s: n for s, _, _, n in rows}
     cap = {s: float(c) * n for s, _, c, n in rows}
     share = {s: max(0.0, w) for s, w, _, _ in rows}
     left = float(sum(size.values()) if total is None else total)
     part: dict[str, float] = {}
+    clamped: list[list[str]] = []
     open_ = {s for s in share if share[s] > 0}
     part |= dict.fromkeys(set(share) - open_, 0.0)
     while open_:
-        weight = sum(share[s] for s in open_)
+        weight = math.fsum(share[s] for s in open_)
+        if abs(weight - 1) < 1e-9:  # shares of a whole, but for the last bits
+            weight = 1.0
         full = {s for s in open_ if cap[s] < left * share[s] / weight}
         if not full:
             part |= {s: left * share[s] / weight for s in open_}
             break
+        clamped.append(sorted(full))
         part |= {s: cap[s] for s in full}
         left -= sum(cap[s] for s in full)
         open_ -= full
-    return {s: part[s] / size[s] if size[s] else 0.0 for s in share}
+    return Fill({s: part[s] / size[s] if size[s] else 0.0 for s in share}, clamped)
 
 
-def short_sources(sizes: DataFrame) -> DataFrame:
-    """(source): sources that miss their share even at their cap, in a mix as large as all tokens once."""
-    total = sizes.agg(F.sum("tokens")).first()[0] or 0
-    return sizes.where(F.col("tokens").cast("double") * F.col("max_repeats") < F.col("target_share") * F.lit(float(total))).select("source")
+def short_sources(spark: SparkSession, fill: Fill) -> DataFrame:
+    """(source): sources that miss their share even at their cap: those that the first round clamped."""
+    return spark.createDataFrame([(s,) for s in (fill.clamped or [[]])[0]], "source string")
 
 
 def plan_rows(sizes: DataFrame) -> list[tuple[str, float, int, int]]:
@@ -118,22 +132,32 @@ def plan_rows(sizes: DataFrame) -> list[tuple[str, float, int, int]]:
 def sample(counted: DataFrame, repeats: dict[str, float], key: str = "doc_id", source: str = "source", seed: int = 0) -> DataFrame:
     """``counted`` with ``times``: how often each document occurs in the mix; rows of 0 drop out.
 
-    Every document of a source occurs the whole part of its repetitions; the fraction decides by
-    a seeded hash of the document's key, so that reruns and other partitionings agree.
+    Every document of a source occurs the whole part of its repetitions. For the fraction, documents come in the
+    order of a seeded hash of their key until the source's tokens are reached, to half a document, so that reruns and
+    other partitionings agree. Sums run over ``BUCKETS`` ranges of the hash, so no source is sorted as a whole.
     """
     spark = counted.sparkSession
     plan = spark.createDataFrame(list(repeats.items()) or [("", 0.0)], "s string, r double")
     u = F.pmod(F.xxhash64(F.lit(seed), F.col(key)), F.lit(1 << 52)).cast("double") / float(1 << 52)
-    rows = counted.withColumn("s", source_name(F.col(source))).join(F.broadcast(plan), "s")
-    return rows.withColumn("times", (F.floor("r") + (u < F.col("r") - F.floor("r")).cast("long")).cast("long")).where("times > 0").drop("r")
-
-
-def report(mix: DataFrame, sizes: DataFrame) -> DataFrame:
+    rows = counted.withColumn("s", source_name(F.col(source))).join(F.broadcast(plan), "s").withColumn("_u", u).withColumn("_b", F.floor(u * BUCKETS).cast("int"))
+    sums = rows.groupBy("s", "_b").agg(F.sum("n_tokens").alias("_own"))
+    over = Window.partitionBy("s")
+    before = F.coalesce(F.sum("_own").over(over.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sums = sums.select(F.col("s").alias("_s"), F.col("_b").alias("_c"), before.alias("_before"), F.sum("_own").over(over).alias("_all"))
+    rows = rows.join(sums, (F.col("s") == F.col("_s")) & (F.col("_b") == F.col("_c")))
+    inside = F.coalesce(F.sum("n_tokens").over(Window.partitionBy("s", "_b").orderBy("_u", key).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    # documents of one key are told apart by nothing, so they may stand in any order
+    more = F.col("_before") + inside + F.col("n_tokens") / 2.0 <= (F.col("r") - F.floor("r")) * F.col("_all")
+    times = (F.floor("r") + (more & (F.col("r") > F.floor("r"))).cast("long")).cast("long")
+    return rows.withColumn("times", times).where("times > 0").drop("r", "_u", "_b", "_s", "_c", "_before", "_all")
+
+
+def report(mix: DataFrame, sizes: DataFrame, fill: Fill) -> DataFrame:
     """(source, target_share, docs, tokens, used_tokens, actual_share, repeats, falls_short)."""
     used = mix.groupBy(F.col("s").alias("source")).agg(F.sum(F.col("n_tokens") * F.col("times")).alias("used_tokens"))
     total = F.lit(used.agg(F.sum("used_tokens")).first()[0] or 0)
     rows = sizes.join(used, "source", "left").withColumn("used_tokens", F.coalesce("used_tokens", F.lit(0).cast("long")))
-    short = short_sources(sizes).withColumn("falls_short", F.lit(True))
+    short = short_sources(mix.sparkSession, fill).withColumn("falls_short", F.lit(True))
     rows = rows.join(short, "source", "left")
     return rows.select(
         "source", "target_share", "docs", "tokens", "used_tokens", F.try_divide(F.col("used_tokens"), total).alias("actual_share"), F.try_divide("used_tokens", "tokens").alias("repeats"), F.coalesce("falls_short", F.lit(False)).alias("falls_short")

@@ -18,15 +18,24 @@ from pyspark.sql import functions as F
 
 SLICE_TICKS = 6_000_000  # 600 s of 1/10000 s
 _NONE = np.iinfo(np.int64).min
+_MOST = np.iinfo(np.int64).max
+#: Ticks whose distances fit into 64 bits: 14 million years of 1/10000 s.
+FARTHEST = 4.6e18
 _OUT = "left_id bigint, right_id bigint, left_tick bigint, right_tick bigint"
 
 
 def ticks(seconds: Column, digits: int = 4) -> Column:
-    """Seconds rounded to ``digits`` decimals as a whole number; NULL for null, NaN, infinite or absurd values."""
-    ok = seconds.isNotNull() & ~F.isnan(seconds) & (F.abs(seconds) < 1e12)
+    """Seconds rounded to ``digits`` decimals as a whole number; NULL for null, NaN and infinite values and those beyond ``FARTHEST``."""
+    ok = seconds.isNotNull() & ~F.isnan(seconds) & (F.abs(seconds) <= FARTHEST / 10**digits)
     return F.when(ok, F.round(seconds * float(10**digits), 0).cast("long"))
 
 
+def tolerance_ticks(seconds: Column, digits: int = 4) -> Column:
+    """As ``ticks``; a finite tolerance beyond any distance stands for the largest."""
+    ok = seconds.isNotNull() & ~F.isnan(seconds) & (F.abs(seconds) < float("inf"))
+    return F.when(ok & (seconds > FARTHEST / 10**digits), F.lit(_MOST).cast("long")).otherwise(ticks(seconds, digits))
+
+
 class _Merge:
     """The two-pointer state between batches of one sorted partition."""
 
@@ -37,12 +46,11 @@ class _Merge:
 
     def settle(self, lt, lid, tol, pt, pid, nt, nid) -> pa.RecordBatch | None:
         """Choose between the neighbours; of two equally near the earlier."""
-        big = np.int64(1) << 60
-        dp = np.where(pt == _NONE, big, lt - np.where(pt == _NONE, 0, pt))
-        dn = np.where(nt == _NONE, big, np.where(nt == _NONE, 0, nt) - lt)
-        first = dp <= dn
+        dp = np.where(pt == _NONE, _MOST, lt - np.where(pt == _NONE, lt, pt))
+        dn = np.where(nt == _NONE, _MOST, np.where(nt == _NONE, lt, nt) - lt)
+        first = (dp <= dn) & (pt != _NONE)
         d, rid, rt = np.where(first, dp, dn), np.where(first, pid, nid), np.where(first, pt, nt)
-        ok = d <= tol
+        ok = (d <= tol) & (rt != _NONE)
         if not ok.any():
             return None
         return pa.RecordBatch.from_arrays([pa.array(x[ok]) for x in (lid, rid, lt, rt)], ["left_id", "right_id", "left_tick", "right_tick"])
@@ -87,7 +95,7 @@ class _Merge:
         if self.wait:
             # rows whose tolerance ended before this point can't match a later record: settle them
             now = int(tick[-1])
-            late = [c[0] + c[2] < now for c in self.wait]
+            late = [c[2] < now - c[0] for c in self.wait]
             if any(x.any() for x in late):
                 cols = [np.concatenate(c) for c in zip(*self.wait)]
                 gone = np.concatenate(late)

@@ -63,7 +63,7 @@ def p2_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _cuts_and_events(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     key = F.when(F.col("track_key") != "", F.col("track_key")).alias("entity")
     cuts = table(spark, sf_dir, "cut_record").select(
-        key, F.col("cut_id").alias("id"), nearest.ticks(F.col("time_seconds")).alias("tick"), nearest.ticks(F.col("tolerance_seconds")).alias("tolerance")
+        key, F.col("cut_id").alias("id"), nearest.ticks(F.col("time_seconds")).alias("tick"), nearest.tolerance_ticks(F.col("tolerance_seconds")).alias("tolerance")
     )
     events = table(spark, sf_dir, "music_event").select(key, F.col("event_id").alias("id"), nearest.ticks(F.col("time_seconds")).alias("tick"))
     return cuts, events
@@ -85,9 +85,12 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p7_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per item: documents it leaked to, exactly or nearly (weighted shingle similarity of 0.8 or more)."""
+    """Per item: documents with a passage of it, documents that hold all of it with small edits (similarity of 0.8 or more) and no passage, and places."""
     found = leakage.leaks(_texts(spark, sf_dir), table(spark, sf_dir, "eval_item"), least=0.8)
-    return found.groupBy("item_id").agg(F.count_distinct("doc_id").alias("docs"), F.count_distinct(F.when(F.col("best") == 1.0, F.col("doc_id"))).alias("exact_docs"), F.sum("windows").alias("windows"))
+    near = (F.col("windows") == 0) & F.col("similarity").isNotNull()
+    return found.groupBy("item_id").agg(
+        F.count_distinct("doc_id").alias("docs"), F.count_distinct(F.when(F.col("windows") > 0, F.col("doc_id"))).alias("exact_docs"), F.count_distinct(F.when(near, F.col("doc_id"))).alias("near_docs"), F.sum("windows").alias("windows")
+    )
 
 
 def _counted(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -95,29 +98,29 @@ def _counted(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sources of the mix that fall short of their share even at their cap."""
-    return mixing.short_sources(write_out(mixing.source_sizes(_counted(spark, sf_dir), table(spark, sf_dir, "mix_target")), "p8-sizes"))
+    """Sources of the mix that fall short of their share even at their cap: those that the water-filling clamps first."""
+    sizes = mixing.source_sizes(_counted(spark, sf_dir), table(spark, sf_dir, "mix_target"))
+    return mixing.short_sources(spark, mixing.water_fill(mixing.plan_rows(sizes)))
 
 
 def p8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The mix: each document that occurs in it, and how often."""
     counted = write_out(_counted(spark, sf_dir), "p8-counted")
     sizes = mixing.source_sizes(counted, table(spark, sf_dir, "mix_target"))
-    return mixing.sample(counted, mixing.water_fill(mixing.plan_rows(sizes))).select("doc_id", F.col("s").alias("source"), "n_tokens", "times")
+    return mixing.sample(counted, mixing.water_fill(mixing.plan_rows(sizes)).repeats).select("doc_id", F.col("s").alias("source"), "n_tokens", "times")
 
 
 def p8_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shares reached by the mix, source by source."""
     counted = write_out(_counted(spark, sf_dir), "p8-counted")
     sizes = write_out(mixing.source_sizes(counted, table(spark, sf_dir, "mix_target")), "p8-sizes")
-    return mixing.report(mixing.sample(counted, mixing.water_fill(mixing.plan_rows(sizes))), sizes)
+    fill = mixing.water_fill(mixing.plan_rows(sizes))
+    return mixing.report(mixing.sample(counted, fill.repeats), sizes, fill)
 
 
 def _subjects(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = leakage.item_blocks(table(spark, sf_dir, "eval_item"), "item_id", "question")
-    if len(items) > 1:
-        raise ValueError(f"test items of more than {leakage.ITEM_BYTES} bytes")
-    feat, model = subjects.fit(_texts(spark, sf_dir), table(spark, sf_dir, "subject_label"), table(spark, sf_dir, "subject_area"), items[0])
+    feat, model = subjects.fit(_texts(spark, sf_dir), table(spark, sf_dir, "subject_label"), table(spark, sf_dir, "subject_area"), items)
     return subjects.assigned(feat, model)
 
 

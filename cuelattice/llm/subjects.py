@@ -15,7 +15,7 @@ from __future__ import annotations
 
 import math
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -47,24 +47,26 @@ _CJK = re.compile(r"[一-鿿]")
 GERMAN = frozenset("die der das und nicht kommt zu ist den dem des bei auf ein eine wir für mit ohne liegt steht sind im zum von".split())
 
 
-def sentence_words(text: str, index: ItemIndex | None = None) -> list[list[str]]:
+def sentence_words(text: str, *indexes: ItemIndex) -> list[list[str]]:
     """Words of each sentence, without markup, headings, log stamps and passages of test items.
 
     A sentence ends at a full stop, an exclamation mark or a line end; a question belongs with
     the sentence that answers it.
     """
-    return sentences_of([text], index)[0]
+    return sentences_of([text], *indexes)[0]
 
 
-def sentences_of(texts: list[str], index: ItemIndex | None = None) -> list[list[list[str]]]:
+def sentences_of(texts: list[str], *indexes: ItemIndex) -> list[list[list[str]]]:
     """``sentence_words`` of many texts; test passages are searched for in all of them together."""
     ts = [folded(_MARKUP.sub("", t)) if t else "" for t in texts]
-    if index is not None and index.sizes:
-        places: dict[int, list[tuple[int, int]]] = {}
-        for k, _, at, size, _ in leaked_many([_WORD.findall(t) for t in ts], index):
-            places.setdefault(k, []).append((at, size))
-        for k, found in places.items():
-            ts[k] = _without(ts[k], found)
+    places: dict[int, list[tuple[int, int]]] = {}
+    if any(index.sizes for index in indexes):
+        ws = [_WORD.findall(t) for t in ts]
+        for index in indexes:
+            for k, _, at, size in leaked_many(ws, index):
+                places.setdefault(k, []).append((at, size))
+    for k, found in places.items():
+        ts[k] = _without(ts[k], found)
     return [_split(t) for t in ts]
 
 
@@ -119,21 +121,22 @@ def terms(ws: list[str], memo: dict[str, int]) -> list[int]:
     return out
 
 
-def features(docs: DataFrame, item_rows: list[tuple[int, str]]) -> DataFrame:
+def features(docs: DataFrame, items: Iterable[list[tuple[int, str]]]) -> DataFrame:
     """(doc_id, lens, groups, flat): a document's sentences as packed int32 arrays. Narrow.
 
-    Documents without words have empty arrays; null texts count as empty.
+    Documents without words have empty arrays; null texts count as empty. ``items``: blocks of test items
+    whose passages don't count.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(item_rows)
+    shared = [docs.sparkSession.sparkContext.broadcast(block) for block in items]
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index, memo = ItemIndex(shared.value), {}
+        indexes, memo = [ItemIndex(b.value) for b in shared], {}
         for b in batches:
             all_ids, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
             pack = lambda x: np.asarray(x, np.int32).tobytes()
             for lo in range(0, len(all_ids), 500):
                 rows = []
-                for did, ss in zip(all_ids[lo : lo + 500], sentences_of(texts[lo : lo + 500], index)):
+                for did, ss in zip(all_ids[lo : lo + 500], sentences_of(texts[lo : lo + 500], *indexes)):
                     ts = [terms(w, memo) for w in ss]
                     rows.append((did, pack([len(t) for t in ts]), pack([language_group(w) for w in ss]), pack([h for t in ts for h in t])))
                 ids, *blobs = zip(*rows)
@@ -327,21 +330,22 @@ class Model:
         return out
 
 
-def _allowed(model: Model, b: _Batch, labels: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
+def _allowed(model: Model, b: _Batch, labels: dict[int, frozenset[int]]) -> tuple[np.ndarray, np.ndarray]:
     """(allowed classes by document, whether labelled)."""
     c = len(model.areas) + 1
-    bits = np.array([labels.get(i, -1) for i in b.ids], np.int64)
+    own = [labels.get(i) for i in b.ids]
     allow = np.ones((len(b.ids), c), bool)
-    has = bits >= 0
-    for j in range(c - 1):
-        allow[has, j] = (bits[has] >> j) & 1
+    has = np.array([x is not None for x in own], bool)
+    allow[has, :-1] = False
+    for d in np.flatnonzero(has).tolist():
+        allow[d, list(own[d])] = True
     return allow, has
 
 
-def refine(feat: DataFrame, labelled: DataFrame, labels: dict[int, int], model: Model) -> Model:
+def refine(feat: DataFrame, labelled: DataFrame, labels: dict[int, frozenset[int]], model: Model) -> Model:
     """Centroids and term weights from labelled sentences first, then from all, round by round.
 
-    ``labels``: document to a bit set of areas. Sentences of labelled documents stay within
+    ``labels``: document to its areas. Sentences of labelled documents stay within
     their labels or no area; the first two rounds use them alone. In the first, a document with one
     label gives it to all its sentences.
     """
@@ -416,32 +420,30 @@ def assigned(feat: DataFrame, model: Model, least: float = LEAST_SHARE) -> DataF
     return feat.mapInArrow(make, "doc_id bigint, subject string, sentences bigint, share double")
 
 
-def label_bits(labels: DataFrame, areas: list[str], most: int = SEED_LABELS) -> dict[int, int]:
-    """Document to its areas as bits, on the driver: a bounded sample of labelled documents.
+def label_sets(labels: DataFrame, areas: list[str], most: int = SEED_LABELS) -> dict[int, frozenset[int]]:
+    """Document to its areas, on the driver: a bounded sample of labelled documents.
 
     Spellings are trimmed and lower-cased; repeated labels count once; ``none`` and unknown areas
-    give no bit (a document with ``none`` alone has 0); null documents and labels are left out.
+    give no area (a document with ``none`` alone has an empty set); null documents and labels are left out.
     """
     s = F.lower(F.regexp_replace("subject", r"^\s+|\s+$", ""))
     rows = labels.select(F.col("doc_id").cast("long").alias("d"), s.alias("s")).dropna()
     rows = rows.where(F.col("s").isin(*areas, "none")).groupBy("d").agg(F.collect_set("s").alias("s"))
     rows = rows.orderBy(F.xxhash64(F.lit(SEED), "d"), "d").limit(most)
     at = {a: i for i, a in enumerate(areas)}
-    return {r["d"]: sum(1 << at[x] for x in r["s"] if x in at) for r in rows.collect()}
+    return {r["d"]: frozenset(at[x] for x in r["s"] if x in at) for r in rows.collect()}
 
 
-def fit(docs: DataFrame, labels: DataFrame, areas: DataFrame, item_rows: list[tuple[int, str]]) -> tuple[DataFrame, Model]:
-    """(features, model) of a collection. ``areas``: (subject, description), at most a few dozen.
+def fit(docs: DataFrame, labels: DataFrame, areas: DataFrame, items: Iterable[list[tuple[int, str]]]) -> tuple[DataFrame, Model]:
+    """(features, model) of a collection. ``areas``: (subject, description); the model grows with their number.
 
     Empty tables, documents without words and areas without labels are allowed; an area that
     no label and no description reaches has no centroid and is never assigned.
     """
-    feat = write_out(features(docs, item_rows), "p9-features")
-    rows = sorted((r[0].strip().lower(), r[1] or "") for r in areas.select("subject", "description").where("subject is not null").limit(64).collect())
-    if len(rows) > 63:
-        raise ValueError("more than 63 areas")
+    feat = write_out(features(docs, items), "p9-features")
+    rows = sorted((r[0].strip().lower(), r[1] or "") for r in areas.select("subject", "description").where("subject is not null").collect())
     names = [a for a, _ in rows]
-    bits = label_bits(labels, names)
+    bits = label_sets(labels, names)
     weight = term_rates(feat)
     vectors = truncated_svd(feat, weight)
     memo: dict[str, int] = {}

@@ -6,7 +6,7 @@ import random
 import numpy as np
 import pytest
 
-from cuelattice.llm import components as cc
+from cuelattice.operators import components as cc
 from cuelattice.llm import fingerprints as fp
 from cuelattice.llm import graphindex as gi
 from cuelattice.llm import lshforest as lf

@@ -44,3 +44,11 @@ def test_ties(spark):
 
 def test_empty(spark):
     assert run(spark, [], [("a", 1, 1)], 5) == {} and run(spark, [("a", 1, 1, 1)], [], 5) == {} and run(spark, [], [], 5) == {}
+
+
+def test_farthest_times_and_tolerances(spark):
+    far = 4_600_000_000_000_000_000
+    assert run(spark, [("a", 1, -far, 2**63 - 1), ("a", 2, far, 0), ("b", 3, 5, 2**63 - 1)], [("a", 7, far)], 10**6) == {1: 7, 2: 7}
+    df = spark.createDataFrame([(1e14,), (1e300,), (float("inf"),), (float("nan"),), (None,)], "x double")
+    got = [tuple(r) for r in df.select(nt.ticks(df["x"]), nt.tolerance_ticks(df["x"])).collect()]
+    assert got == [(10**18, 10**18), (None, 2**63 - 1), (None, None), (None, None), (None, None)]

@@ -52,13 +52,53 @@ def test_leaks_random(spark, monkeypatch):
     assert len(got) == len(set(got)) and set(got) == brute(docs, items)
 
 
-def test_near_leak_by_weighted_shingles(spark):
-    q = " ".join(f"word{i}" for i in range(10))
-    edited = q.replace("word9", "other")
-    row = found(spark, [(1, "before " + edited + " after")], [(5, q)], least=0.7).collect()
-    assert row == [] or row[0]["best"] >= 0.7  # outside the radius it may be missed, never over-reported
-    assert found(spark, [(1, "x " + q + " y")], [(5, q)], least=0.7).first()["best"] == 1.0
-    assert lk.shingle_similarity(["a", "b", "c"], ["a", "b", "c"]) == 1.0 and lk.shingle_similarity([], ["a"]) == 0.0
+def test_shingle_similarity():
+    same = lk.shingles(["a", "b", "c"])
+    assert lk.similarity(same, same) == 1.0 and lk.similarity(lk.shingles([]), same) == 0.0 and lk.similarity(lk.shingles([]), lk.shingles([])) == 0.0
+    assert lk.similarity(lk.shingles(list("aaaaaaa")), lk.shingles(list("aaaaaa"))) == 2 / 3
+    assert [lk.grid_size(n) for n in (1, 5, 7, 8, 12, 30, 100)] == [1, 5, 5, 8, 12, 27, 93]
+
+
+def edited(ws, rng):
+    """A copy with an insertion, a removal or a swapped word near an end, or one in the middle of a long item."""
+    ws = list(ws)
+    for _ in range(1 + len(ws) // 60):
+        at = rng.choice([0, len(ws) - 1, rng.randrange(len(ws))])
+        ws[at : at + rng.randrange(2)] = rng.choice([[], [f"new{rng.randrange(999)}"]])
+    return ws
+
+
+def best_window(x, item, size):
+    want = lk.shingles(item)
+    # windows at a document's ends are cut short there
+    return max((lk.similarity(lk.shingles(x[max(0, i) : i + size]), want) for i in range(-size // 3, len(x))), default=0.0)
+
+
+@pytest.mark.parametrize("size", [10, 30, 100])
+def test_edited_items_are_found(size):
+    rng = random.Random(size)
+    vocab = [f"v{i}" for i in range(3000)]
+    items = [(i, " ".join(rng.choice(vocab) for _ in range(size))) for i in range(40)]
+    docs, want = [], set()
+    for k in range(300):
+        i = rng.randrange(40)
+        x = [rng.choice(vocab) for _ in range(rng.randrange(80))] + edited(items[i][1].split(), rng) + [rng.choice(vocab) for _ in range(rng.randrange(80))]
+        docs.append(x)
+        if best_window(x, items[i][1].split(), size) >= 0.8:
+            want.add((k, i))
+    got = lk.NearIndex(items).near_many(docs, 0.8)
+    assert len(want) >= (20 if size == 10 else 60)
+    assert {(k, i) for k, i, _ in got} <= want and len(got) >= 0.9 * len(want)
+    assert all(s >= 0.8 for _, _, s in got)
+
+
+def test_near_leaks_in_tables(spark):
+    q = " ".join(f"word{i}" for i in range(40))
+    swapped = q.replace("word9 ", "other ").replace("word19 ", "more ").replace("word29 ", "next ").replace("word38 ", "last ")
+    rows = {r["doc_id"]: r for r in found(spark, [(1, "before " + q.replace("word20", "other") + " after"), (2, "x " + q), (3, swapped), (4, None), (5, "")], [(5, q), (6, None)], least=0.8).collect()}
+    assert set(rows) == {1, 2} and rows[2]["similarity"] == 1.0 and rows[2]["windows"] == 31 and rows[1]["similarity"] is None and rows[1]["windows"] == 21
+    ends = "first " + " ".join(f"word{i}" for i in range(1, 40))
+    assert found(spark, [(1, ends)], [(5, q)], least=0.8).first()["similarity"] == 35 / 37
 
 
 def test_all_fingerprints_within_radius_are_candidates():
@@ -83,11 +123,12 @@ def test_empty_tables(spark):
 
 def test_water_filling():
     rows = [("a", 0.5, 1, 100), ("b", 0.3, 2, 1000), ("c", 0.2, 3, 1000), ("d", 0.1, 2, 0)]
-    r = mx.water_fill(rows, 1000)
+    r, clamped = mx.water_fill(rows, 1000)
     assert r["a"] == 1.0 and r["d"] == 0.0 and abs(r["b"] * 1000 - 540) < 1e-6 and abs(r["c"] * 1000 - 360) < 1e-6
-    assert mx.water_fill([]) == {} and mx.water_fill([("a", 0.0, 1, 5)]) == {"a": 0.0}
-    full = mx.water_fill([("a", 0.9, 1, 10), ("b", 0.1, 1, 10)], 1000)
-    assert full == {"a": 1.0, "b": 1.0}
+    assert clamped == [["a", "d"]]
+    assert mx.water_fill([]) == ({}, []) and mx.water_fill([("a", 0.0, 1, 5)]).repeats == {"a": 0.0}
+    full = mx.water_fill([("a", 0.9, 1, 10), ("b", 0.1, 1, 500)], 1000)
+    assert full == ({"a": 1.0, "b": 1.0}, [["a"], ["b"]])
 
 
 @pytest.fixture(scope="module")
@@ -100,23 +141,27 @@ def mix(spark):
     return counted, mx.source_sizes(counted, targets)
 
 
-def test_mix_sizes_and_short(mix):
+def test_mix_sizes_and_short(spark, mix):
     counted, sizes = mix
     got = {r["source"]: r for r in sizes.collect()}
     assert got["edit_notes"]["docs"] == 225 and got["logs"]["docs"] == 77 and got["gone"]["tokens"] == 0
     tokens = got["edit_notes"]["tokens"] + got["logs"]["tokens"]
     want = {s for s, r in got.items() if r["tokens"] * r["max_repeats"] < r["target_share"] * tokens}
-    assert {r["source"] for r in mx.short_sources(sizes).collect()} == want and "gone" in want
+    assert {r["source"] for r in mx.short_sources(spark, mx.water_fill(mx.plan_rows(sizes))).collect()} == want and "gone" in want
 
 
 def test_mix_is_seeded_and_capped(spark, mix):
     counted, sizes = mix
-    plan = mx.water_fill(mx.plan_rows(sizes))
+    fill = mx.water_fill(mx.plan_rows(sizes))
+    plan = fill.repeats
     a = {r["doc_id"]: r["times"] for r in mx.sample(counted, plan).collect()}
     b = {r["doc_id"]: r["times"] for r in mx.sample(counted.repartition(3), plan).collect()}
     assert a == b and max(a.values()) <= 2 and not {900, 901} & set(a)
-    rep = {r["source"]: r for r in mx.report(mx.sample(counted, plan), sizes).collect()}
+    rep = {r["source"]: r for r in mx.report(mx.sample(counted, plan), sizes, fill).collect()}
     assert abs(sum(r["actual_share"] for r in rep.values()) - 1) < 1e-9 and rep["gone"]["falls_short"]
+    # the fraction is cut at the tokens wanted, to half a document of at most six words
+    for name in ("edit_notes", "logs"):
+        assert abs(rep[name]["used_tokens"] - plan[name] * rep[name]["tokens"]) <= 6
 
 
 def test_token_counts_of_long_text(spark):
