@@ -76,7 +76,7 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spread(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text"))
 
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -94,7 +94,7 @@ def p7_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _counted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.token_counts(_texts(spark, sf_dir))
+    return mixing.token_counts(_texts(spark, sf_dir).drop("lang"))
 
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:

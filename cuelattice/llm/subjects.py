@@ -2,10 +2,13 @@
 
 Documents are embedded by term weighting and a truncated singular value decomposition; their
 sentences are folded into the same space and assigned to the nearest centroid. Centroids are seeded
-from hand labels and area descriptions, one for each area and language group and one for remarks
+from hand labels and area descriptions, one for each area and language and one for remarks
 that belong to no area, and refined: assignments give new centroids and new term weights (a term
 counts by how concentrated it is on one area) until few sentences change.
 
+Languages are those that the documents' ``lang`` names often enough; a sentence's language is the likeliest by
+its terms, whose rates in each language come from all documents, so wrong and missing names don't matter.
+
 Terms are hashed words and word pairs, so the model's size is fixed by ``DIM`` and ``RANK`` and not
 by the vocabulary. All counts, the decomposition and the refinement run over all documents, in
 passes whose partial sums are matrices of that fixed size.
@@ -20,6 +23,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,15 +40,13 @@ LEAST_SHARE = 0.25
 SMOOTH = 1.0
 #: Labelled documents that seed centroids at most; beyond it a seeded hash picks them.
 SEED_LABELS = 200_000
-GROUPS = 3  # language groups: CJK script, and the two others told apart by their commonest words
+#: Share of the named documents that a language needs to count as one.
+LEAST_LANGUAGE = 0.01
 SEED = 7
 
 _STAMP = re.compile(r"^\W*\[\d\d:\d\d:\d\d\]\s+\w+\s+")
 _MARKUP = re.compile(r"</?[a-z][a-z0-9]{0,8}>|\*\*|`")
 _END = re.compile(r"(?<=[.!])\s+|[。！]")
-_CJK = re.compile(r"[一-鿿]")
-#: Commonest words of German prose; fixed values.
-GERMAN = frozenset("die der das und nicht kommt zu ist den dem des bei auf ein eine wir für mit ohne liegt steht sind im zum von".split())
 
 
 def sentence_words(text: str, *indexes: ItemIndex) -> list[list[str]]:
@@ -97,34 +99,31 @@ def _split(t: str) -> list[list[str]]:
     return out
 
 
-def language_group(ws: list[str]) -> int:
-    """0 other, 1 German, 2 CJK script."""
-    if any(_CJK.match(w) for w in ws):
-        return 2
-    return 1 if sum(w in GERMAN for w in ws) >= 2 else 0
-
-
 def terms(ws: list[str], memo: dict[str, int]) -> list[int]:
     """Hashed words and word pairs; words with digits are left out."""
     import xxhash
 
-    ws = [w for w in ws if not any(c.isdigit() for c in w)]
     out = []
-    for i, w in enumerate(ws):
-        for t in (w,) if i + 1 == len(ws) else (w, f"{w} {ws[i + 1]}"):
+    before = ""
+    for w in ws:
+        if not w.isalpha():
+            continue
+        for t in (f"{before} {w}", w) if before else (w,):
             h = memo.get(t)
             if h is None:
                 if len(memo) > 500_000:
                     memo.clear()
                 h = memo[t] = xxhash.xxh3_64_intdigest(t.encode("utf-8", "surrogatepass")) % DIM
             out.append(h)
+        before = w
     return out
 
 
 def features(docs: DataFrame, items: Iterable[list[tuple[int, str]]]) -> DataFrame:
-    """(doc_id, lens, groups, flat): a document's sentences as packed int32 arrays. Narrow.
+    """(doc_id, lang, lens, flat): a document's sentences as packed int32 arrays. Narrow.
 
-    Documents without words have empty arrays; null texts count as empty. ``items``: blocks of test items
+    Documents without words have empty arrays; null texts count as empty. ``lang`` is trimmed and in lower case, NULL where
+    it is empty, ``und`` or no column of ``docs``. ``items``: blocks of test items
     whose passages don't count.
     """
     shared = [docs.sparkSession.sparkContext.broadcast(block) for block in items]
@@ -132,35 +131,42 @@ def features(docs: DataFrame, items: Iterable[list[tuple[int, str]]]) -> DataFra
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         indexes, memo = [ItemIndex(b.value) for b in shared], {}
         for b in batches:
-            all_ids, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
+            all_ids, langs, texts = (b.column(i).to_pylist() for i in range(3))
             pack = lambda x: np.asarray(x, np.int32).tobytes()
             for lo in range(0, len(all_ids), 500):
                 rows = []
-                for did, ss in zip(all_ids[lo : lo + 500], sentences_of(texts[lo : lo + 500], *indexes)):
+                for did, lang, ss in zip(all_ids[lo : lo + 500], langs[lo : lo + 500], sentences_of(texts[lo : lo + 500], *indexes)):
                     ts = [terms(w, memo) for w in ss]
-                    rows.append((did, pack([len(t) for t in ts]), pack([language_group(w) for w in ss]), pack([h for t in ts for h in t])))
-                ids, *blobs = zip(*rows)
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *[pa.array(x, pa.binary()) for x in blobs]], ["doc_id", "lens", "groups", "flat"])
+                    rows.append((did, lang, pack([len(t) for t in ts]), pack([h for t in ts for h in t])))
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), (pa.int64(), pa.string(), pa.binary(), pa.binary()))], ["doc_id", "lang", "lens", "flat"])
 
-    src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return src.mapInArrow(make, "doc_id bigint, lens binary, groups binary, flat binary")
+    lang = F.lower(F.regexp_replace("lang", r"^\s+|\s+$", "")) if "lang" in docs.columns else F.lit(None).cast("string")
+    lang = F.when(~lang.isin("", "und"), lang).alias("lang")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), lang, F.col("text").cast("string").alias("text")).mapInArrow(make, "doc_id bigint, lang string, lens binary, flat binary")
 
 
 class _Batch:
     """Sentences of a run of documents as flat arrays."""
 
-    def __init__(self, ids, lens, groups, flat) -> None:
+    def __init__(self, ids, lang, lens, flat) -> None:
         get = lambda col: [np.frombuffer(x, np.int32) for x in col]
         ls, fs = get(lens), get(flat)
-        self.ids = np.asarray(ids, dtype=object)
+        self.ids, self.lang = np.asarray(ids, dtype=object), lang
         self.per_doc = np.array([len(x) for x in ls], np.int64)
         self.lens = np.concatenate(ls) if ls else np.zeros(0, np.int32)
-        self.groups = np.concatenate(get(groups)) if ls else np.zeros(0, np.int32)
         self.flat = np.concatenate(fs) if fs else np.zeros(0, np.int32)
         self.doc_of = np.repeat(np.arange(len(ls)), self.per_doc)
         self.sent_of = np.repeat(np.arange(len(self.lens)), self.lens)
         self.doc_of_term = self.doc_of[self.sent_of] if len(self.flat) else np.zeros(0, np.int64)
 
+    def groups(self, rates: np.ndarray) -> np.ndarray:
+        """The language of each sentence: the likeliest by its terms, a little by its document's."""
+        if rates.shape[1] == 1 or not len(self.flat):
+            return np.zeros(len(self.lens), np.int64)
+        own = np.stack([np.bincount(self.sent_of, rates[self.flat, g], minlength=len(self.lens)) for g in range(rates.shape[1])], 1)
+        whole = np.stack([np.bincount(self.doc_of, own[:, g], minlength=len(self.ids)) for g in range(rates.shape[1])], 1)
+        return (own + 0.2 * (whole[self.doc_of] - own)).argmax(1)
+
     def doc_terms(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(document, term, count) of distinct terms."""
         key, tf = np.unique(self.doc_of_term.astype(np.int64) * DIM + self.flat, return_counts=True)
@@ -207,7 +213,8 @@ def _matrix_sum(df: DataFrame, partial, shape: tuple[int, int], slabs: int = 16)
     """Sum over all partitions of a matrix of fixed shape; ``partial`` maps batches to one matrix.
 
     Partial matrices are cut into slabs of rows and added up slab by slab on the executors; the
-    driver gets one matrix, whose size doesn't depend on the data.
+    driver gets one matrix, whose size doesn't depend on the data. Sums run in two levels, so that a task adds
+    as many matrices as the root of the number of partitions.
     """
     rows, cols = shape
     cut = [rows * i // slabs for i in range(slabs + 1)]
@@ -222,6 +229,11 @@ def _matrix_sum(df: DataFrame, partial, shape: tuple[int, int], slabs: int = 16)
             if part.any():
                 yield pa.RecordBatch.from_arrays([pa.array([i], pa.int64()), pa.array([part.tobytes()], pa.binary())], ["slab", "m"])
 
+    def bucketed(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part = TaskContext.get().partitionId() % buckets
+        for b in emit(it):
+            yield b.append_column("bucket", pa.array([part] * b.num_rows, pa.int64()))
+
     def add(key: tuple, it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = None
         for pdf in it:
@@ -231,30 +243,62 @@ def _matrix_sum(df: DataFrame, partial, shape: tuple[int, int], slabs: int = 16)
         yield pd.DataFrame({"slab": [key[0]], "m": [total.astype(np.float32).tobytes()]})
 
     out = np.zeros((rows, cols), np.float32)
-    summed = df.mapInArrow(emit, "slab bigint, m binary").groupBy("slab").applyInPandas(add, "slab bigint, m binary")
+    parts = df._jdf.queryExecution().toRdd().getNumPartitions()
+    buckets = max(1, math.isqrt(parts)) if parts > 64 else 1
+    summed = df.mapInArrow(bucketed, "slab bigint, m binary, bucket bigint")
+    if buckets > 1:
+        summed = summed.groupBy("slab", "bucket").applyInPandas(add, "slab bigint, m binary")
+    summed = summed.groupBy("slab").applyInPandas(add, "slab bigint, m binary")
     for r in summed.collect():
         out[cut[r["slab"]] : cut[r["slab"] + 1]] = np.frombuffer(r["m"], np.float32).reshape(-1, cols)
     return out
 
 
-def term_rates(feat: DataFrame) -> np.ndarray:
-    """Term weights: minus the log of the share of documents with the term, in the language group that uses it most.
+def language_rates(feat: DataFrame) -> np.ndarray:
+    """(DIM, languages): log rate of each term in each language, from the documents that name one.
+
+    Languages that fewer than ``LEAST_LANGUAGE`` of the named documents have are left out; without any there is one column.
+    """
+    named = feat.where("lang is not null").groupBy("lang").agg(F.count("*").alias("n"))
+    total = named.agg(F.sum("n")).first()[0] or 0
+    # at most 1 / LEAST_LANGUAGE rows
+    langs = sorted(r["lang"] for r in named.where(F.col("n") >= LEAST_LANGUAGE * total).collect())
+    if len(langs) < 2:
+        return np.zeros((DIM, 1), np.float32)
+    at = {name: i for i, name in enumerate(langs)}
+
+    def count(it: Iterator[pa.RecordBatch]) -> np.ndarray:
+        m = np.zeros((DIM, len(langs)), np.float64)
+        for b in _batches(it):
+            g = np.array([at.get(x, -1) for x in b.lang], np.int64)[b.doc_of_term]
+            m += np.bincount(b.flat[g >= 0].astype(np.int64) * len(langs) + g[g >= 0], minlength=m.size).reshape(m.shape)
+        return m
+
+    m = _matrix_sum(feat, count, (DIM, len(langs))).astype(np.float64) + 0.5
+    return np.log(m / m.sum(0)).astype(np.float32)
+
+
+def term_rates(feat: DataFrame, rates: np.ndarray) -> np.ndarray:
+    """Term weights: minus the log of the share of documents with the term, in the language that uses it most.
 
     Templates of a language with few documents are thus common, not rare. Terms of one document weigh 0.
     """
+    k = rates.shape[1]
+    shared = feat.sparkSession.sparkContext.broadcast(rates)
 
     def count(it: Iterator[pa.RecordBatch]) -> np.ndarray:
-        m = np.zeros((DIM + 1, GROUPS), np.float64)
+        m = np.zeros((DIM + 1, k), np.float64)
         for b in _batches(it):
-            votes = np.zeros((len(b.ids), GROUPS), np.int64)
-            np.add.at(votes, (b.doc_of, b.groups), 1)
+            votes = np.zeros((len(b.ids), k), np.int64)
+            np.add.at(votes, (b.doc_of, b.groups(shared.value)), 1)
             group = votes.argmax(1)
             d, t, _ = b.doc_terms()
-            np.add.at(m, (t, group[d]), 1)
-            m[DIM] += np.bincount(group[b.per_doc > 0], minlength=GROUPS)
+            m[:DIM] += np.bincount(t * k + group[d], minlength=DIM * k).reshape(DIM, k)
+            m[DIM] += np.bincount(group[b.per_doc > 0], minlength=k)
         return m
 
-    m = _matrix_sum(feat, count, (DIM + 1, GROUPS)).astype(np.float64)
+    m = _matrix_sum(feat, count, (DIM + 1, k)).astype(np.float64)
+    shared.destroy()
     df, n = m[:DIM], np.maximum(m[DIM], 1)
     w = -np.log(np.clip((df / n).max(1), 1e-9, 1))
     w[df.sum(1) < 2] = 0
@@ -268,6 +312,8 @@ def truncated_svd(feat: DataFrame, weight: np.ndarray, rank: int = RANK) -> np.n
 
     def rows_of(b: _Batch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         d, t, tf = b.doc_terms()
+        some = w[t] > 0
+        d, t, tf = d[some], t[some], tf[some]
         v = (1 + np.log(tf)) * w[t]
         norm = np.sqrt(np.bincount(d, v**2, minlength=len(b.ids)))
         return d, t, v / np.maximum(norm[d], 1e-9)
@@ -309,20 +355,26 @@ def _unit(x: np.ndarray) -> np.ndarray:
 class Model:
     """Areas, term vectors and centroids: a fixed size, shipped to every task."""
 
-    def __init__(self, areas: list[str], vectors: np.ndarray, weight: np.ndarray, seeds: list[tuple[int, list[int]]]) -> None:
+    def __init__(self, areas: list[str], vectors: np.ndarray, weight: np.ndarray, seeds: list[tuple[int, list[int]]], rates: np.ndarray) -> None:
         self.areas = areas
+        self.rates = rates
         self.base = weight
         self.vectors = vectors
         self.weight = weight.copy()
-        self.centroids = np.zeros((len(areas) + 1, GROUPS, vectors.shape[1]), np.float32)
+        self.centroids = np.zeros((len(areas) + 1, rates.shape[1], vectors.shape[1]), np.float32)
         self.seeds = seeds
 
     def embed(self, b: _Batch) -> np.ndarray:
-        return _unit(b.sums(b.sent_of, len(b.lens), self.vectors, b.flat, self.weight[b.flat]))
+        w = self.weight[b.flat]
+        some = w > 0
+        return _unit(b.sums(b.sent_of[some], len(b.lens), self.vectors, b.flat[some], w[some]))
 
-    def assign(self, b: _Batch, x: np.ndarray, allow: np.ndarray | None = None) -> np.ndarray:
+    def assign(self, b: _Batch, x: np.ndarray, groups: np.ndarray, allow: np.ndarray | None = None) -> np.ndarray:
         """The nearest centroid of each sentence; the last is no area. A sentence like no centroid is of no area."""
-        sim = np.einsum("sk,csk->sc", x, self.centroids[:, b.groups])
+        sim = np.empty((len(x), len(self.centroids)), np.float32)
+        for g in range(self.centroids.shape[1]):
+            own = groups == g
+            sim[own] = x[own] @ self.centroids[:, g].T
         if allow is not None:
             sim = np.where(allow[b.doc_of], sim, -9)
         out = sim.argmax(1)
@@ -351,7 +403,7 @@ def refine(feat: DataFrame, labelled: DataFrame, labels: dict[int, frozenset[int
     """
     spark = feat.sparkSession
     c = len(model.areas) + 1
-    k = model.vectors.shape[1]
+    k, langs = model.vectors.shape[1], model.rates.shape[1]
     shared_labels = spark.sparkContext.broadcast(labels)  # as small as SEED_LABELS allows
     for i in range(ROUNDS):
         shared = spark.sparkContext.broadcast(model)
@@ -359,43 +411,46 @@ def refine(feat: DataFrame, labelled: DataFrame, labels: dict[int, frozenset[int
         def step(it: Iterator[pa.RecordBatch], shared=shared, i=i) -> np.ndarray:
             m, lab = shared.value, shared_labels.value
             # centroid sums and counts above, class counts of terms below
-            out = np.zeros((c * GROUPS + DIM, max(k + 1, c)), np.float32)
+            out = np.zeros((c * langs + DIM, max(k + 1, c)), np.float32)
             for b in _batches(it):
                 allow, has = _allowed(m, b, lab)
-                x = m.embed(b)
+                x, groups = m.embed(b), b.groups(m.rates)
                 if i == 0:
                     n = allow[:, :-1].sum(1)
                     first = np.where(n == 0, c - 1, allow[:, :-1].argmax(1))
                     cls = first[b.doc_of]
                     keep = (has & (n <= 1))[b.doc_of]
                 else:
-                    cls, keep = m.assign(b, x, allow), np.ones(len(b.lens), bool)
-                slot = cls * GROUPS + b.groups
+                    cls, keep = m.assign(b, x, groups, allow), np.ones(len(b.lens), bool)
+                slot = cls * langs + groups
                 o = np.flatnonzero(keep)
                 o = o[np.argsort(slot[o], kind="stable")]
                 if len(o):
                     starts = np.concatenate([[0], np.flatnonzero(np.diff(slot[o])) + 1])
                     out[slot[o][starts], :k] += np.add.reduceat(x[o], starts, axis=0)
-                    out[: c * GROUPS, k] += np.bincount(slot[o], minlength=c * GROUPS)
+                    out[: c * langs, k] += np.bincount(slot[o], minlength=c * langs)
                     t = keep[b.sent_of]
-                    out[c * GROUPS :, :c] += np.bincount(b.flat[t].astype(np.int64) * c + cls[b.sent_of][t], minlength=DIM * c).reshape(DIM, c)
+                    out[c * langs :, :c] += np.bincount(b.flat[t].astype(np.int64) * c + cls[b.sent_of][t], minlength=DIM * c).reshape(DIM, c)
             return out
 
-        m = _matrix_sum(labelled if i < 2 else feat, step, (c * GROUPS + DIM, max(k + 1, c)))
+        m = _matrix_sum(labelled if i < 2 else feat, step, (c * langs + DIM, max(k + 1, c)))
         shared.destroy()
-        sums, counts = m[: c * GROUPS, :k].reshape(c, GROUPS, k), m[: c * GROUPS, k].reshape(c, GROUPS).sum(1)
-        new = Model(model.areas, model.vectors, model.base, model.seeds)
+        sums, counts = m[: c * langs, :k].reshape(c, langs, k), m[: c * langs, k].reshape(c, langs).sum(1)
+        new = Model(model.areas, model.vectors, model.base, model.seeds, model.rates)
         cents = sums.astype(np.float64)
         if i == 0:
             for area, ts in model.seeds:
-                v = _unit((model.vectors[ts] * model.base[ts, None]).sum(0)) if ts else 0
-                cents[area, 0] += v
+                if ts:
+                    # a description counts in its own language
+                    group = int(model.rates[ts].sum(0).argmax())
+                    cents[area, group] += _unit((model.vectors[ts] * model.base[ts, None]).sum(0))
         new.centroids = _unit(cents).astype(np.float32)
-        by = m[c * GROUPS :, :c].astype(np.float64)
+        by = m[c * langs :, :c].astype(np.float64)
         by = by / np.maximum(counts, 1) * counts.mean()  # rates, as areas differ in size
         p = (by + SMOOTH / c) / (by.sum(1, keepdims=True) + SMOOTH)
         new.weight = model.base * np.maximum(0, 1 + (p * np.log(p)).sum(1) / math.log(c))
         model = new
+    shared_labels.destroy()
     return model
 
 
@@ -409,7 +464,7 @@ def assigned(feat: DataFrame, model: Model, least: float = LEAST_SHARE) -> DataF
         names = np.array([*m.areas, ""], dtype=object)
         for b in _batches(it):
             n = np.zeros((len(b.ids), c), np.int64)
-            np.add.at(n, (b.doc_of, m.assign(b, m.embed(b))), 1)
+            np.add.at(n, (b.doc_of, m.assign(b, m.embed(b), b.groups(m.rates))), 1)
             share = n / np.maximum(n.sum(1, keepdims=True), 1)
             d, s = np.nonzero((share[:, :-1] >= least) & (n[:, :-1] > 0))
             if len(d):
@@ -444,9 +499,10 @@ def fit(docs: DataFrame, labels: DataFrame, areas: DataFrame, items: Iterable[li
     rows = sorted((r[0].strip().lower(), r[1] or "") for r in areas.select("subject", "description").where("subject is not null").collect())
     names = [a for a, _ in rows]
     bits = label_sets(labels, names)
-    weight = term_rates(feat)
+    rates = language_rates(feat)
+    weight = term_rates(feat, rates)
     vectors = truncated_svd(feat, weight)
     memo: dict[str, int] = {}
     seeds = [(i, [t for w in sentence_words(d) for t in terms(w, memo)]) for i, (_, d) in enumerate(rows)]
     labelled = write_out(feat.join(labels.select(F.col("doc_id").cast("long").alias("doc_id")).distinct(), "doc_id", "left_semi"), "p9-labelled")
-    return feat, refine(feat, labelled, bits, Model(names, vectors, weight, seeds))
+    return feat, refine(feat, labelled, bits, Model(names, vectors, weight, seeds, rates))

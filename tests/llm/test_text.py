@@ -175,7 +175,9 @@ def test_sentences():
     index = lk.ItemIndex([(1, "how many windows of item nine survive when margin four is removed twice")])
     text = "# Pass 3\n[10:11:12] WARN The cut is late. <p>Keep the **soup** warm!</p>\n> So how many windows of item nine survive when margin four is removed twice and more"
     assert [" ".join(s) for s in sj.sentence_words(text, index)] == ["the cut is late", "keep the soup warm", "so", "and more"]
-    assert sj.sentence_words("") == [] and sj.language_group(words("汤很好")) == 2 and sj.language_group(words("das ist der Chor")) == 1
+    assert sj.sentence_words("") == []
+    memo = {}
+    assert len(sj.terms(["the", "soup", "x2", "bowl"], memo)) == 5 and set(memo) == {"the", "soup", "the soup", "bowl", "soup bowl"}
 
 
 def corpus(spark, n=240):
@@ -210,6 +212,22 @@ def test_subjects(spark):
     assert not {240, 241, 242} & set(got)
 
 
+def test_languages_come_from_the_documents(spark):
+    lines = {"en": "the soup is on the table", "de": "die Suppe steht auf dem Tisch", "zh": "汤在桌子上面"}
+    rng = random.Random(3)
+    rows = []
+    for i in range(300):
+        true = rng.choice(list(lines))
+        rows.append((i, true, rng.choice([true, true, true, f" {true.upper()} ", None, "und", "", rng.choice(list(lines))]), lines[true]))
+    d = spark.createDataFrame([*((i, la, t) for i, _, la, t in rows), (900, "xx", "one of a kind")], "doc_id long, lang string, text string")
+    feat = sj.write_out(sj.features(d, []), "t")
+    rates = sj.language_rates(feat)
+    assert rates.shape == (sj.DIM, 3)
+    got = {r["doc_id"]: int(sj._Batch([r["doc_id"]], [r["lang"]], [r["lens"]], [r["flat"]]).groups(rates)[0]) for r in feat.where("doc_id < 900").collect()}
+    assert all(got[i] == sorted(lines).index({"de": "de", "en": "en", "zh": "zh"}[true]) for i, true, _, _ in rows)
+    assert sj.language_rates(feat.where("lang is null")).shape == (sj.DIM, 1)
+
+
 def test_subjects_empty(spark):
     d, la, ar, _ = corpus(spark, 8)
     for docs, labels in ((d.limit(0), la), (d, la.limit(0)), (d.limit(0), la.limit(0))):
