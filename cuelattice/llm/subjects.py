@@ -60,42 +60,44 @@ def sentence_words(text: str, *indexes: ItemIndex) -> list[list[str]]:
 
 def sentences_of(texts: list[str], *indexes: ItemIndex) -> list[list[list[str]]]:
     """``sentence_words`` of many texts; test passages are searched for in all of them together."""
-    ts = [folded(_MARKUP.sub("", t)) if t else "" for t in texts]
-    places: dict[int, list[tuple[int, int]]] = {}
+    pieces = [_pieces(folded(_MARKUP.sub("", t))) if t else [] for t in texts]
+    gone: dict[int, list[tuple[int, int]]] = {}
     if any(index.sizes for index in indexes):
-        ws = [_WORD.findall(t) for t in ts]
+        ws = [[w for _, piece in ps for w in piece] for ps in pieces]
         for index in indexes:
             for k, _, at, size in leaked_many(ws, index):
-                places.setdefault(k, []).append((at, size))
-    for k, found in places.items():
-        ts[k] = _without(ts[k], found)
-    return [_split(t) for t in ts]
-
-
-def _without(t: str, places: list[tuple[int, int]]) -> str:
-    """The text with runs of words (position, size) taken out; a sentence ends there."""
-    found = list(_WORD.finditer(t))
-    gone = np.zeros(len(found) + 1, bool)
-    for at, size in places:
-        gone[at : at + size] = True
-    edge = np.flatnonzero(np.diff(np.concatenate([[False], gone]).astype(np.int8)))
-    parts, last = [], 0
-    for lo, hi in zip(edge[::2], edge[1::2]):
-        parts.append(t[last : found[lo].start()])
-        last = found[hi - 1].end()
-    return "\n".join([*parts, t[last:]])
-
-
-def _split(t: str) -> list[list[str]]:
+                gone.setdefault(k, []).append((at, at + size))
+    return [_kept(ps, gone[k]) if k in gone else [p for about, p in ps if about and p] for k, ps in enumerate(pieces)]
+
+
+def _pieces(t: str) -> list[tuple[bool, list[str]]]:
+    """(whether it is a sentence, its words) of the text's sentences, headings and log stamps, in order."""
     out = []
     for line in t.split("\n"):
-        line = _STAMP.sub("", line)
+        if (stamp := _STAMP.match(line)) is not None:
+            out.append((False, _WORD.findall(stamp.group())))
+            line = line[stamp.end() :]
         if line.lstrip().startswith("#"):
+            out.append((False, _WORD.findall(line)))
+        else:
+            out.extend((True, _WORD.findall(s)) for s in _END.split(line))
+    return out
+
+
+def _kept(pieces: list[tuple[bool, list[str]]], spans: list[tuple[int, int]]) -> list[list[str]]:
+    """The sentences without the words in ``spans`` (positions in the whole text); a sentence ends where some are taken out."""
+    out = []
+    gone = np.zeros(sum(len(p) for _, p in pieces) + 1, bool)
+    for a, b in spans:
+        gone[a:b] = True
+    at = 0
+    for about, piece in pieces:
+        own = gone[at : at + len(piece)]
+        at += len(piece)
+        if not about or not piece:
             continue
-        for s in _END.split(line):
-            w = _WORD.findall(s)
-            if w:
-                out.append(w)
+        edges = np.flatnonzero(np.diff(np.concatenate([[True], own, [True]]).astype(np.int8)))
+        out.extend(piece[a:b] for a, b in zip(edges[::2].tolist(), edges[1::2].tolist()))
     return out
 
 

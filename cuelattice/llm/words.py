@@ -8,7 +8,7 @@ import unicodedata
 import numpy as np
 
 _DROP = dict.fromkeys([0x200B, 0x200C, 0x200D, 0x2060, 0xFEFF, 0x00AD])
-_WORD = re.compile(r"[一-鿿]|(?:(?![一-鿿])[^\W_])+")
+_WORD = re.compile(r"[一-鿿]|[^\W_一-鿿]+")
 
 
 def folded(text: str) -> str:
@@ -29,23 +29,22 @@ def spans(text: str) -> tuple[list[str], list[tuple[int, int]]]:
     return [m.group() for m in found], [m.span() for m in found]
 
 
+class _Hashes(dict):
+    def __missing__(self, w: str) -> int:
+        import xxhash
+
+        h = self[w] = xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass"))
+        return h
+
+
 class WordHash:
     """64-bit hashes of words, kept for the words met so far (the memo is emptied when it grows large)."""
 
     def __init__(self, most: int = 500_000) -> None:
-        self.memo: dict[str, int] = {}
+        self.memo = _Hashes()
         self.most = most
 
     def __call__(self, ws: list[str]) -> np.ndarray:
-        import xxhash
-
-        memo = self.memo
-        if len(memo) > self.most:
-            memo.clear()
-        out = np.empty(len(ws), np.uint64)
-        for i, w in enumerate(ws):
-            h = memo.get(w)
-            if h is None:
-                h = memo[w] = xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass"))
-            out[i] = h
-        return out
+        if len(self.memo) > self.most:
+            self.memo.clear()
+        return np.fromiter(map(self.memo.__getitem__, ws), np.uint64, len(ws))
