@@ -176,6 +176,27 @@ def thin(df: DataFrame, keys: Sequence[str], at: str, apart: int, window: int) -
     return d.groupBy(*keys, "stretch").applyInPandas(keep, _kept_schema(df, keys))
 
 
+def merge_boundaries(df: DataFrame, keys: Sequence[str], at: str, value: str, apart: int, window: int) -> DataFrame:
+    """(keys, window, kept): a walk in order of time; a boundary nearer than ``apart`` to the last kept one replaces it if higher.
+
+    Of boundaries at one time the highest counts. Over the whole time line as in ``nms``.
+    """
+    d = df.where(F.col(at).isNotNull() & F.col(value).isNotNull()).groupBy(*keys, at).agg(F.max(value).alias("v"))
+    d = _stretches(d, keys, at, apart, window)
+
+    def keep(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(at)
+        kept: list[tuple[int, int]] = []
+        for x, v in zip(pdf[at].tolist(), pdf["v"].tolist()):
+            if not kept or x - kept[-1][0] >= apart:
+                kept.append((x, v))
+            elif v > kept[-1][1]:
+                kept[-1] = (x, v)
+        return _kept_frame(keys, key, [x for x, _ in kept], window)
+
+    return d.groupBy(*keys, "stretch").applyInPandas(keep, _kept_schema(df, keys))
+
+
 def _kept_frame(keys: Sequence[str], key: tuple, kept: list[int], window: int) -> pd.DataFrame:
     return pd.DataFrame({**{c: [k] * len(kept) for c, k in zip(keys, key)}, "window": [x // window for x in kept], "kept": kept})
 

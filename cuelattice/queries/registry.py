@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import catalogs, more, problems, programs, scoring, sequences
+from . import catalogs, more, problems, programs, scoring, sequences, wider
 
-_MODULES = (problems, sequences, catalogs, scoring, programs, more)
+_MODULES = (problems, sequences, catalogs, scoring, programs, more, wider)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -198,3 +198,54 @@ def test_streaming_commit_and_sessions(spark, tmp_path):
     q = usage.sessions(stream(), ["id"], "at", "5 minutes").writeStream.outputMode("append").format("memory").queryName("sess").trigger(availableNow=True).start()
     q.awaitTermination()
     assert usage.deduplicated(stream(), "id", "at").isStreaming
+
+
+def test_rules_scores_and_gates(spark):
+    from cuelattice.operators import rules
+
+    table = spark.createDataFrame([(2, "b", "cat", 5), (1, "a", "Dog ", 3), (1, "c", "cat", 9), (0, "z", " ", 99), (0, "y", None, 99)], "priority long, category string, needle string, weight long")
+    r = rules.read_rules(table)
+    df = spark.createDataFrame([(1, "A CAT"), (2, "cat and dog"), (3, None), (4, ""), (5, "x" * 100_000 + "dog")], "id long, text string")
+    got = {x["id"]: (x["c"], x["w"]) for x in df.select("id", rules.first_category(F.col("text"), r).alias("c"), rules.risk(F.col("text"), r, F.when(F.col("id") == 4, F.lit(7).cast("long"))).alias("w")).collect()}
+    assert got == {1: ("c", 9), 2: ("a", 9), 3: (None, 0), 4: (None, 7), 5: ("a", 3)}
+    none = rules.read_rules(table.limit(0))
+    assert df.select(rules.first_category(F.col("text"), none).alias("c")).where("c is not null").count() == 0
+    p = spark.createDataFrame([(1.0, None), (0.5, 1.0), (None, None), (0.1, 0.1)], "a double, b double")
+    score = rules.available_score([(F.col("a"), 1), (F.col("b"), 3)], (F.when(F.col("a") < 0.2, F.lit(1.0)), 0.5))
+    assert [x[0] for x in p.select(score).collect()] == [1.0, 0.875, None, 0.0]
+    passed, failed = rules.gate(a=F.col("a") > 0.3, b=F.col("b") > 0.3)
+    assert [tuple(x) for x in p.select(passed, failed).collect()] == [(False, ["b"]), (True, []), (False, ["a", "b"]), (False, ["a", "b"])]
+
+
+def test_merged_boundaries(spark):
+    rng = random.Random(8)
+    rows = [(k, rng.randrange(0, n), rng.randrange(9)) for k, n in (("a", 100_000), ("b", 900_000), (None, 4000)) for _ in range(150)] + [("a", None, 3), ("a", 5, None)]
+    df = spark.createDataFrame(rows, "track string, ms long, v long")
+    want = set()
+    for k in ("a", "b", None):
+        best = {}
+        for _, t, v in (r for r in rows if r[0] == k and r[1] is not None and r[2] is not None):
+            best[t] = max(v, best.get(t, v))
+        kept = []
+        for t in sorted(best):
+            if not kept or t - kept[-1] >= 1500:
+                kept.append(t)
+            elif best[t] > best[kept[-1]]:
+                kept[-1] = t
+        want |= {(k, t // 60_000, t) for t in kept}
+    assert {tuple(r) for r in sequence.merge_boundaries(df, ["track"], "ms", "v", 1500, 60_000).collect()} == want
+    assert sequence.merge_boundaries(df.limit(0), ["track"], "ms", "v", 1500, 60_000).count() == 0
+
+
+def test_curve_windows_cross_slices(spark):
+    rng = random.Random(9)
+    rows = [(i, "ab"[i % 5 == 0], rng.randrange(3000), rng.randrange(50)) for i in range(300)]
+    df = spark.createDataFrame(rows, "id long, track string, at long, v long")
+    for width in (3, 100, 10_000):
+        smooth = {r["id"]: r["smooth"] for r in sequence.moving_average_edge(df, "track", ["at", "id"], "v", 7, width).collect()}
+        change = {r["id"]: r["change"] for r in sequence.level_change(df, "track", ["at", "id"], "v", 4, width).collect()}
+        for k in "ab":
+            line = sorted((a, i, v) for i, t, a, v in rows if t == k)
+            at = lambda j: line[max(0, min(len(line) - 1, j))][2]  # noqa: B023, E731
+            for j, (_, i, _) in enumerate(line):
+                assert smooth[i] == sum(at(j + d) for d in range(-3, 4)) and change[i] == at(j + 4) - at(j - 4)
