@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -19,20 +24,49 @@ def read_json(spark: SparkSession, path: str, schema: T.StructType, strict: bool
     return spark.read.schema(s).option("multiLine", True).option("mode", "PERMISSIVE").json(path)
 
 
+def _files(spark: SparkSession, path: str, glob: str) -> DataFrame:
+    return spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(path)
+
+
 def scan(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
-    """(relative, bytes, modified): files below a folder, their contents not read."""
-    f = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(path)
-    base = path if path.startswith("file:") else f"file:{path}"
-    return f.select(F.regexp_replace("path", "^" + base.rstrip("/").replace(".", r"\.") + "/?", "").alias("relative"), F.col("length").alias("bytes"), F.col("modificationTime").alias("modified"))
+    """(relative, path, bytes, modified): files below a folder of any store, their contents not read."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    base = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(p).toString().rstrip("/") + "/"
+    # a local store's paths come with one slash or three
+    base, own = (re.sub("^file:/+", "file:/", base), F.regexp_replace("path", "^file:/+", "file:/"))
+    return _files(spark, path, glob).select(F.substring(own, len(base) + 1, 1 << 30).alias("relative"), "path", F.col("length").alias("bytes"), F.col("modificationTime").alias("modified"))
 
 
 def fingerprints(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
-    """(path, full, sampled): SHA-256 of whole contents, and of size with first, middle and last chunk."""
-    f = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(path)
-    c, n = F.col("content"), F.col("length")
-    mid = F.greatest(F.lit(1).cast("long"), F.floor((n - CHUNK) / 2).cast("long") + 1).cast("int")
-    sample = F.concat(n.cast("string").cast("binary"), F.substring(c, 1, CHUNK), F.substring(c, mid, F.lit(CHUNK)), F.substring(c, F.greatest(F.lit(1).cast("long"), n - CHUNK + 1).cast("int"), F.lit(CHUNK)))
-    return f.select("path", F.sha2(c, 256).alias("full"), F.sha2(sample, 256).alias("sampled"))
+    """(path, full): SHA-256 of whole contents."""
+    return _files(spark, path, glob).select("path", F.sha2("content", 256).alias("full"))
+
+
+def sampled_fingerprints(spark: SparkSession, path: str, glob: str = "*", chunk: int = CHUNK) -> DataFrame:
+    """(path, sampled): SHA-256 of the size and of the first, middle and last ``chunk`` bytes; no more is read.
+
+    A file of up to three chunks is read whole.
+    """
+
+    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        for b in batches:
+            out = []
+            for name in b.column(0).to_pylist():
+                store, inner = fs.FileSystem.from_uri(re.sub("^file:/+", "file:///", name))
+                with store.open_input_file(inner) as f:
+                    n = f.size()
+                    h = hashlib.sha256(str(n).encode())
+                    places = [(0, n)] if n <= 3 * chunk else [(0, chunk), ((n - chunk) // 2, chunk), (n - chunk, chunk)]
+                    for at, size in places:
+                        f.seek(at)
+                        h.update(f.read(size))
+                out.append(h.hexdigest())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.string())], ["path", "sampled"])
+
+    return _files(spark, path, glob).select("path").mapInArrow(digest, "path string, sampled string")
 
 
 def publish(df: DataFrame, root: str, version: int) -> str:
@@ -64,7 +98,8 @@ def latest(spark: SparkSession, root: str) -> DataFrame | None:
 
 def forget(spark: SparkSession, root: str, keep: int = 3) -> list[int]:
     """Drop all but the newest ``keep`` versions; gives the dropped ones."""
-    old = versions(spark, root)[:-keep]
+    all_ = versions(spark, root)
+    old = all_[: max(0, len(all_) - keep)]
     for v in old:
         drop_path(spark, f"{root}/v={v}")
     return old

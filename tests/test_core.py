@@ -176,11 +176,21 @@ def test_files(spark, tmp_path):
         assert "AssertionError" not in repr(e)
     assert {r["relative"] for r in files.scan(spark, str(tmp_path / "in"), "*.json").collect()} == {"a.json", "b.json"}
     assert files.fingerprints(spark, str(tmp_path / "in")).select("full").distinct().count() == 2
+    big = bytearray(range(256)) * 20
+    for name, at in (("a", None), ("b", 2_000), ("c", 2_600), ("d", 5_119)):
+        data = bytearray(big)
+        if at is not None:
+            data[at] ^= 1
+        (tmp_path / "big").mkdir(exist_ok=True)
+        (tmp_path / "big" / name).write_bytes(data)
+    got = {r["path"][-1]: r["sampled"] for r in files.sampled_fingerprints(spark, str(tmp_path / "big"), chunk=500).collect()}
+    # a change outside the three samples isn't seen
+    assert got["a"] == got["b"] and len({got["a"], got["c"], got["d"]}) == 3
     root = str(tmp_path / "out")
     assert files.latest(spark, root) is None
     for v in range(1, 5):
         files.publish(spark.range(v), root, v)
-    assert files.latest(spark, root).count() == 4 and files.forget(spark, root, 2) == [1, 2] and files.versions(spark, root) == [3, 4]
+    assert files.latest(spark, root).count() == 4 and files.forget(spark, root, 2) == [1, 2] and files.versions(spark, root) == [3, 4] and files.forget(spark, root, 5) == []
     cache = spark.createDataFrame([(1, 0.0), (2, 90_000.0), (3, 200_000.0)], "k long, cached_at double")
     assert [r["k"] for r in files.fresh(cache, F.lit(100_000.0)).collect()] == [2]
 
