@@ -31,8 +31,8 @@ from ..session import write_out
 from .leakage import ItemIndex, leaked_many
 from .words import _WORD, folded
 
-DIM = 1 << 14
-RANK = 96
+DIM = 1 << 15
+RANK = 128
 OVERSAMPLE = 16
 POWER_PASSES = 3
 ROUNDS = 6
@@ -335,11 +335,14 @@ def truncated_svd(feat: DataFrame, weight: np.ndarray, rank: int = RANK) -> np.n
                 if last:
                     out += y.T @ y
                     continue
-                edges = np.concatenate([[0], np.flatnonzero(np.diff(d)) + 1, [len(d)]]).tolist()
-                v32 = v.astype(np.float32)
-                for lo, hi in zip(edges[:-1], edges[1:]):
-                    if hi > lo:  # the terms of one document differ
-                        out[t[lo:hi]] += v32[lo:hi, None] * y[d[lo]]
+                # blocks of documents as small dense matrices over the terms they have
+                cut = np.searchsorted(d, np.arange(0, len(b.ids) + 64, 64))
+                for n, (lo, hi) in enumerate(zip(cut[:-1].tolist(), cut[1:].tolist())):
+                    if hi > lo:
+                        own, at = np.unique(t[lo:hi], return_inverse=True)
+                        block = np.zeros(len(own) * 64, np.float32)
+                        block[at * 64 + d[lo:hi] - 64 * n] = v[lo:hi]  # the terms of one document differ
+                        out[own] += block.reshape(-1, 64)[:, : len(y) - 64 * n] @ y[64 * n : 64 * n + 64]
             return out
 
         m = _matrix_sum(feat, step, (q.shape[1], q.shape[1]) if last else q.shape)
