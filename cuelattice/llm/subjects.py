@@ -36,6 +36,7 @@ RANK = 128
 OVERSAMPLE = 16
 POWER_PASSES = 3
 ROUNDS = 6
+SETTLED = 0.01  # of the cosine
 LEAST_SHARE = 0.25
 SMOOTH = 1.0
 #: Labelled documents that seed centroids at most; beyond it a seeded hash picks them.
@@ -404,7 +405,7 @@ def refine(feat: DataFrame, labelled: DataFrame, labels: dict[int, frozenset[int
 
     ``labels``: document to its areas. Sentences of labelled documents stay within
     their labels or no area; the first two rounds use them alone. In the first, a document with one
-    label gives it to all its sentences.
+    label gives it to all its sentences. Rounds end when no centroid turns by more than ``SETTLED``, after ``ROUNDS`` at most.
     """
     spark = feat.sparkSession
     c = len(model.areas) + 1
@@ -454,7 +455,10 @@ def refine(feat: DataFrame, labelled: DataFrame, labels: dict[int, frozenset[int
         by = by / np.maximum(counts, 1) * counts.mean()  # rates, as areas differ in size
         p = (by + SMOOTH / c) / (by.sum(1, keepdims=True) + SMOOTH)
         new.weight = model.base * np.maximum(0, 1 + (p * np.log(p)).sum(1) / math.log(c))
+        turned = 1 - (new.centroids * model.centroids).sum(2)[np.abs(new.centroids).sum(2) > 0]
         model = new
+        if i > 2 and turned.max(initial=0) < SETTLED:
+            break
     shared_labels.destroy()
     return model
 

@@ -153,7 +153,8 @@ def test_single_hash_lists_and_split_parts(spark, monkeypatch):
     rng = np.random.default_rng(2)
     v = np.unique(rng.integers(0, 1 << 63, 20_000, dtype=np.uint64))
     crowd = flips(np.full(1500, v[7]), 2, 3)
-    both = np.unique(np.concatenate([v, flips(v[:600], 7, 4), crowd]))
+    far = flips(v[:600], 7, 4)
+    both = np.unique(np.concatenate([v, far, crowd]))
     monkeypatch.setattr(lf, "ROOT_AIM", 500)  # crowded parts are cut into blocks
     df = spark.createDataFrame([(int(x), 1) for x in both.view(np.int64)], "v bigint, n int")
     got = [tuple(r) for r in lf.close_values(df, len(both)).collect()]
@@ -161,6 +162,8 @@ def test_single_hash_lists_and_split_parts(spark, monkeypatch):
     q, w = np.nonzero(np.triu(np.bitwise_count(both[:, None] ^ both) <= fp.MAX_BITS, 1))
     want = {tuple(sorted(p)) for p in zip(both[q].view(np.int64).tolist(), both[w].view(np.int64).tolist())}
     assert set(got) <= want and len(got) >= 0.99 * len(want)
+    full = {tuple(sorted(p)) for p in zip(v[:600].view(np.int64).tolist(), far.view(np.int64).tolist())}
+    assert len(full & set(got)) >= 0.99 * 600
 
 
 def test_large_node_gets_its_own_forest(monkeypatch):
