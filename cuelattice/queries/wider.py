@@ -236,9 +236,21 @@ def lazy_migration(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.groupBy("state").agg(F.count("*").alias("n"), F.min("digest").alias("first"))
 
 
+def bounded_fine_set(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K2, Q8: the best clips of each author, three for each passed one and two for each scene, 16 to 64 if there are so many."""
+    c = table(spark, sf_dir, "catalog_entry").where("author is not null").select("author", "entry_id", F.col("quality.scene_category").alias("scene"), F.coalesce("quality.passed", F.lit(False)).alias("ok"), F.coalesce(norm.scaled(F.col("quality.overall_score")), zero()).alias("score"))
+    scenes = c.where("scene is not null").select("author", "scene").distinct().groupBy("author").agg(F.count("*").alias("scenes"))
+    size = c.groupBy("author").agg(F.sum(F.col("ok").cast("long")).alias("k")).join(scenes, "author", "left")
+    most = F.least(F.lit(64).cast("long"), F.greatest(F.lit(16).cast("long"), F.col("k") * 3, F.coalesce("scenes", zero()) * 2))
+    # a window group limit keeps 64 at most before the sizes are known
+    w = Window.partitionBy("author").orderBy(F.desc("score"), "entry_id")
+    top = c.withColumn("r", F.row_number().over(w).cast("long")).where("r <= 64").join(size.select("author", most.alias("most")), "author").where("r <= most")
+    return top.groupBy("author").agg(F.count("*").alias("n"), F.sum("score").alias("score"), F.max("r").alias("last"))
+
+
 QUERIES = {f.__name__: f for f in (
     keyword_category, keyword_risk, region_rollup, corpus_rollup, sequence_consistency, merged_boundaries, section_labels, sample_times, boundary_by_priority, key_shots, meter_estimate,
-    downbeat_phrases, capped_rises, alignment_weights, curve_points, beat_period, source_windows, material_sufficiency, clip_relevance, lazy_migration,
+    downbeat_phrases, capped_rises, alignment_weights, curve_points, beat_period, source_windows, material_sufficiency, clip_relevance, lazy_migration, bounded_fine_set,
 )}
 
 _R = "floor(({0}) * {1}.0 + 0.5) / {1}.0"
@@ -307,6 +319,9 @@ SQL = {
         CASE WHEN fingerprint.duration_seconds > 0 AND NOT isnan(fingerprint.duration_seconds) THEN CAST(floor(fingerprint.duration_seconds * 1000.0 + 0.5) AS BIGINT) END AS d, CASE WHEN NOT isnan(pre_score) THEN pre_score END AS s FROM candidate_batch),
       p AS (SELECT candidate_id, CASE WHEN len(q) > 0 THEN len(list_filter(q, lambda w: list_contains(t, w))) / len(q) END AS a, CASE WHEN d IS NOT NULL THEN greatest(0.0::DOUBLE, least(1.0::DOUBLE, d / 5000.0::DOUBLE, (60000 - d) / 35000.0::DOUBLE)) END AS b, s, d FROM c)
       SELECT candidate_id, floor(greatest(0.0, least(1.0, (coalesce(a * 0.5::DOUBLE, 0) + coalesce(b * 0.2::DOUBLE, 0) + coalesce(s * 0.3::DOUBLE, 0)) / nullif((CASE WHEN a IS NULL THEN 0 ELSE 0.5::DOUBLE END) + (CASE WHEN b IS NULL THEN 0 ELSE 0.2::DOUBLE END) + (CASE WHEN s IS NULL THEN 0 ELSE 0.3::DOUBLE END), 0) - CASE WHEN d < 2000 THEN 0.1::DOUBLE ELSE 0 END)) * 1000.0 + 0.5) / 1000.0 AS score FROM p""",
+    "bounded_fine_set": """WITH c AS (SELECT author, entry_id, quality.scene_category AS scene, coalesce(quality.passed, false) AS ok, coalesce(CAST(floor(quality.overall_score * 1000.0 + 0.5) AS BIGINT), 0) AS score FROM catalog_entry WHERE author IS NOT NULL),
+      s AS (SELECT author, least(64, greatest(16, count_if(ok) * 3, count(DISTINCT scene) * 2)) AS most FROM c GROUP BY 1), r AS (SELECT *, row_number() OVER (PARTITION BY author ORDER BY score DESC, entry_id) AS r FROM c)
+      SELECT author, count(*) AS n, sum(score)::BIGINT AS score, max(r) AS last FROM r JOIN s USING (author) WHERE r <= most GROUP BY 1""",
     "lazy_migration": """WITH c AS (SELECT entry_id, coalesce(CAST(floor(quality.overall_score * 1000.0 + 0.5) AS BIGINT), 0) AS score, author, epoch_us(recorded_at) AS us FROM catalog_entry),
       o AS (SELECT *, coalesce(us < (SELECT min(us) + (max(us) - min(us)) // 2 FROM c), true) AS old FROM c), r AS (SELECT *, row_number() OVER (PARTITION BY old ORDER BY score DESC, entry_id) AS k FROM o),
       x AS (SELECT CASE WHEN old AND k <= 50 THEN 'migrated' WHEN old THEN 'stale' ELSE 'current' END AS state, CASE WHEN old AND k <= 50 THEN sha256(concat_ws('|', coalesce(author, ''), score::VARCHAR)) END AS digest FROM r)
