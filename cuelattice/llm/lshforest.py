@@ -22,18 +22,25 @@ Hash values stand once in the forest, however many records carry them. Value pai
 records are expanded to record pairs; records that meet only over *heavy* values (carried by very
 many records) meet by their profile of heavy values and by neighbouring durations, so that no
 group is ever expanded into all its pairs and no link is lost.
+
+Around a value that very many records carry lie its slightly changed copies, all of them close to each other, so that
+pairs of distinct values would grow with the square of their number. Values within ``ZONE_BITS`` of such a
+*centre* make up the zone, and pairs of two zone values are left out: two alike records share a pair with at most one
+end in the zone unless both have three fifths of their hashes in it. Records that have are also linked among
+themselves, with all their pairs. Pairs leave a task in blocks, so its memory doesn't grow with their number.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from itertools import chain
 from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -47,6 +54,9 @@ NODE_AIM = 512  # values a node may hold on average: the shortest prefix that is
 NODE_MAX = 8192
 ROOT_AIM = 500_000  # values in one task
 ROOT_LEAST = 3  # root bits at least, so that small inputs keep several tasks busy
+PAIRS_OUT = 200_000  # pairs that a task holds before it gives them out
+ZONE_BITS = 10  # of a zone value from its centre
+MOST_CENTRES = 32  # the most frequent; the surroundings of others are searched pair by pair
 SEED = 20_240_607
 #: Logarithm of the ratio of the longest to the shortest duration of a cell: under half of what may differ.
 CELL = -0.495 * math.log(1 - fp.MAX_PERCENT / 100)
@@ -119,16 +129,20 @@ def restored(values: np.ndarray, order: np.ndarray) -> np.ndarray:
 
 def close_pairs(keys: np.ndarray, depth: int, rng_seed: int = SEED) -> tuple[np.ndarray, np.ndarray]:
     """Pairs (x, y) of sorted distinct signatures within ``MAX_BITS`` that share a prefix of ``depth`` bits."""
+    found = list(_close_blocks(keys, depth, rng_seed))
+    return tuple(np.concatenate([keys[:0], *(f[i] for f in found)]) for i in (0, 1))
+
+
+def _close_blocks(keys: np.ndarray, depth: int, rng_seed: int = SEED) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The pairs of ``close_pairs``, some at a time."""
     if len(keys) < 2:
-        return keys[:0], keys[:0]
-    node = keys >> np.uint64(64 - depth) if depth else np.zeros(len(keys), np.uint64)
+        return
+    node = _node(keys, depth)
     starts = np.concatenate([[0], np.flatnonzero(np.diff(node)) + 1, [len(keys)]])
     sizes = np.diff(starts)
-    xs, ys = [], []
     large = sizes > NODE_MAX
     for i in np.flatnonzero(large):
-        x, y = _forest_within(keys[starts[i] : starts[i + 1]], depth, rng_seed + 1)
-        xs.append(x), ys.append(y)
+        yield from _forest_within(keys[starts[i] : starts[i + 1]], depth, rng_seed + 1)
     if large.any():
         keep = ~np.repeat(large, sizes)
         keys, node = keys[keep], node[keep]
@@ -141,51 +155,121 @@ def close_pairs(keys: np.ndarray, depth: int, rng_seed: int = SEED) -> tuple[np.
         hit = np.flatnonzero(np.bitwise_count(keys[off:] ^ keys[:-off]) <= fp.MAX_BITS)
         hit = hit[node[hit] == node[hit + off]]
         if len(hit):
-            xs.append(keys[hit]), ys.append(keys[hit + off])
-    if not xs:
-        return keys[:0], keys[:0]
-    return np.concatenate(xs), np.concatenate(ys)
+            yield keys[hit], keys[hit + off]
+
 
+def _node(keys: np.ndarray, depth: int) -> np.ndarray:
+    return keys >> np.uint64(64 - depth) if depth else np.zeros(len(keys), np.uint64)
 
-def _forest_within(keys: np.ndarray, depth: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
-    """A large node as a forest over its remaining bits, to a recall of one in a thousand missed."""
+
+def _forest_within(keys: np.ndarray, depth: int, seed: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of a large node by a forest over its remaining bits, to a recall of one in two thousand missed, each pair once.
+
+    Where values lie so close that the trees would compare as many pairs as there are, all are compared once instead.
+    """
     rest = 64 - depth
     more = max(1, math.ceil(math.log2(len(keys) / NODE_AIM)))
-    if more > rest - fp.MAX_BITS:  # too few bits left to tell values apart: compare all in blocks
-        more = 0
-    p = math.comb(rest - fp.MAX_BITS, more) / math.comb(rest, more) if more else 1.0
-    trees = 1 if not more else math.ceil(math.log(0.001) / math.log(1 - p))
+    if more > rest - fp.MAX_BITS:  # too few bits left to tell values apart: compare all
+        yield from _all_blocks(keys)
+        return
+    p = math.comb(rest - fp.MAX_BITS, more) / math.comb(rest, more)
+    trees = math.ceil(math.log(0.0005) / math.log(1 - p)) if p < 1 else 1
     rng = np.random.default_rng(seed)
-    found = []
-    for _ in range(trees):
+    masks: list[int] = []  # pairs that share the prefix in an earlier tree were given out there
+    for u in range(trees):
         order = np.concatenate([63 - np.arange(depth), rng.permutation(rest)]).astype(np.uint64)
         turned = np.sort(permuted(keys, order))
-        if more:
-            x, y = close_pairs(turned, depth + more, seed + 1)
-        else:
-            x, y = _all_close(turned)
-        found.append(np.sort(np.stack([restored(x, order), restored(y, order)], 1), 1))
-    pairs = np.unique(np.concatenate(found), axis=0)
-    return pairs[:, 0], pairs[:, 1]
+        if not u and trees * (np.unique(_node(turned, depth + more), return_counts=True)[1] ** 2).sum() >= len(keys) ** 2:
+            yield from _all_blocks(keys)
+            return
+        for x, y in _close_blocks(turned, depth + more, seed + 1):
+            a, b = restored(x, order), restored(y, order)
+            new = _none_shared(a ^ b, masks)
+            yield np.minimum(a, b)[new], np.maximum(a, b)[new]
+        masks.append(sum(1 << int(p) for p in order[: depth + more]))
 
 
-def _all_close(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    xs, ys = [keys[:0]], [keys[:0]]
+def _none_shared(diff: np.ndarray, masks: list[int]) -> np.ndarray:
+    """Whether pairs that differ in the bits ``diff`` differ in some bit of each mask."""
+    new = np.ones(len(diff), bool)
+    for m in masks:
+        new &= (diff & np.uint64(m)) != 0
+    return new
+
+
+def _all_blocks(keys: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     for off in range(1, len(keys)):
         hit = np.flatnonzero(np.bitwise_count(keys[off:] ^ keys[:-off]) <= fp.MAX_BITS)
-        xs.append(keys[hit]), ys.append(keys[hit + off])
-    return np.concatenate(xs), np.concatenate(ys)
+        yield keys[hit], keys[hit + off]
+
+
+def _all_close(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    found = list(_all_blocks(keys))
+    return tuple(np.concatenate([keys[:0], *(f[i] for f in found)]) for i in (0, 1))
+
+
+def _bridges(left: np.ndarray, right: np.ndarray, depth: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of a signature of ``left`` and one of ``right``, sorted, within ``MAX_BITS`` that share a prefix of ``depth`` bits."""
+    to, at = _node(right, depth), _node(left, depth)
+    lo, hi = np.searchsorted(to, at, "left"), np.searchsorted(to, at, "right")
+    for i in np.flatnonzero(lo < hi):
+        near = right[lo[i] : hi[i]]
+        y = near[np.bitwise_count(near ^ left[i]) <= fp.MAX_BITS]
+        if len(y):
+            yield np.full(len(y), left[i]), y
+
+
+def _gathered(blocks: Iterator[tuple[np.ndarray, np.ndarray]]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The pairs in blocks of ``PAIRS_OUT`` or somewhat more."""
+    held, size = [], 0
+    for block in blocks:
+        held.append(block)
+        size += len(block[0])
+        if size >= PAIRS_OUT:
+            yield tuple(np.concatenate(x) for x in zip(*held))
+            held, size = [], 0
+    if size:
+        yield tuple(np.concatenate(x) for x in zip(*held))
+
+
+def _around(v: np.ndarray, centres: list[int], bits: int) -> np.ndarray:
+    """Which of ``v`` lie within ``bits`` of a centre."""
+    out = np.zeros(len(v), bool)
+    for c in centres:
+        out |= np.bitwise_count(v ^ np.uint64(c % (1 << 64))) <= bits
+    return out
+
+
+def _in_zone(v: Column, centres: list[int]) -> Column:
+    """Whether a hash lies within ``ZONE_BITS`` of a centre."""
+    out = F.lit(False)
+    for c in centres:
+        out = out | (F.bit_count(v.bitwiseXOR(F.lit(c).cast("long"))) <= ZONE_BITS)
+    return out
+
+
+def zone_centres(counts: DataFrame) -> list[int]:
+    """Values, as signed numbers, with more than ``HEAVY`` records, the most frequent first, none in the zone of another.
+
+    ``counts``: (v, k). Which values are chosen changes what is compared, never what is found.
+    """
+    out: list[int] = []
+    for r in counts.where(F.col("k") > fp.HEAVY).orderBy(F.desc("k"), "v").limit(4096).collect():
+        if len(out) < MOST_CENTRES and not _around(np.array([r["v"]]).view(np.uint64), out, ZONE_BITS)[0]:
+            out.append(r["v"])
+    return out
 
 
 def _block_of(v: np.ndarray, blocks: int) -> np.ndarray:
     return ((v * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)) % np.uint64(blocks)
 
 
-def close_values(values: DataFrame, n_values: int, target: float = TARGET_RECALL) -> DataFrame:
+def close_values(values: DataFrame, n_values: int, target: float = TARGET_RECALL, centres: list[int] = ()) -> DataFrame:
     """(va, vb), va < vb as signed numbers: distinct hash values within ``MAX_BITS``, each pair once.
 
     ``values``: (v, n), distinct values with the length of the shortest list that has them. Each value is shuffled once
-    for each of its copies, packed with its batch into byte strings by copy and root part.
+    for each of its copies, packed with its batch into byte strings by copy and root part. Pairs of two values in
+    the zone of ``centres`` are left out.
     """
     plan = plan_forest(n_values, target)
     orders = tree_orders(plan)
@@ -246,18 +330,20 @@ def close_values(values: DataFrame, n_values: int, target: float = TARGET_RECALL
         part, i, j = (k.as_py() for k in key)
         t, many = part >> roots, split.get(part, 1)
         v = np.concatenate([np.frombuffer(x.as_buffer(), np.uint64) for b in it for x in b.column("vals")])
+        zone = _around(v, centres, ZONE_BITS)
+        dense, v = v[zone], v[~zone]
+        edge = v[_around(v, centres, ZONE_BITS + fp.MAX_BITS)]
         for u, order in enumerate(orders[t]):
-            x, y = close_pairs(np.sort(permuted(v, order)), plan.depth)
-            a, b = restored(x, order), restored(y, order)
-            diff = a ^ b
-            new = np.ones(len(a), bool)
-            for m in [m for row in masks[:t] for m in row] + masks[t][:u]:
-                new &= (diff & np.uint64(m)) != 0
-            if many > 1 and i != j:  # pairs of one block come out where it meets itself
-                new &= _block_of(a, many) != _block_of(b, many)
-            a, b = a[new].view(np.int64), b[new].view(np.int64)
-            if len(a):
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["va", "vb"])
+            before = [m for row in masks[:t] for m in row] + masks[t][:u]
+            bridges = _bridges(permuted(edge, order), np.sort(permuted(dense, order)), plan.depth)
+            for x, y in _gathered(chain(_close_blocks(np.sort(permuted(v, order)), plan.depth), bridges)):
+                a, b = restored(x, order), restored(y, order)
+                new = _none_shared(a ^ b, before)
+                if many > 1 and i != j:  # pairs of one block come out where it meets itself
+                    new &= _block_of(a, many) != _block_of(b, many)
+                a, b = a[new].view(np.int64), b[new].view(np.int64)
+                if len(a):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["va", "vb"])
 
     packed = values.select("v", F.col("n").cast("long").alias("n")).mapInArrow(scatter, "part bigint, i int, j int, vals binary")
     return packed.groupBy("part", "i", "j").applyInArrow(search, "va bigint, vb bigint")
@@ -269,11 +355,27 @@ def content_links(reps: DataFrame) -> DataFrame:
     ``reps``: written-out (id, ms, hashes), one row per distinct (ms, hashes).
     """
     flat = reps.where("ms is not null and size(hashes) > 0")
+    post, counts = _postings(flat)
+    centres = zone_centres(counts)
+    links = _links(flat, post, counts, centres)
+    if not centres:
+        return links
+    members = flat.select("id", F.size("hashes").alias("n"), F.explode("hashes").alias("v")).where(_in_zone(F.col("v"), centres))
+    crowded = members.groupBy("id", "n").agg(F.count("*").alias("c")).where(F.col("c") * 5 >= F.col("n") * 3)
+    own = write_out(flat.join(crowded, "id", "left_semi"), "forest-crowded")
+    return links.unionByName(_links(own, *_postings(own))) if own.take(1) else links
+
+
+def _postings(flat: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(id, ms, n, v) of each record and hash, and (v, k, n) of each hash: its records and the length of the shortest list with it."""
     post = write_out(flat.select("id", "ms", F.size("hashes").alias("n"), F.explode(F.array_distinct("hashes")).alias("v")), "forest-postings")
-    counts = post.groupBy("v").agg(F.count("*").alias("k"), F.min("n").alias("n"))
-    n_values = counts.count()
-    pairs = close_values(counts.select("v", "n"), n_values)
-    same = counts.where("k > 1").select(F.col("v").alias("va"), F.col("v").alias("vb"))
+    return post, write_out(post.groupBy("v").agg(F.count("*").alias("k"), F.min("n").alias("n")), "forest-counts")
+
+
+def _links(flat: DataFrame, post: DataFrame, counts: DataFrame, centres: list[int] = ()) -> DataFrame:
+    """Links of all alike records but those alike by pairs of zone values alone."""
+    pairs = close_values(counts.select("v", "n"), counts.count(), centres=centres)
+    same = counts.where((F.col("k") > 1) & ~_in_zone(F.col("v"), centres)).select(F.col("v").alias("va"), F.col("v").alias("vb"))
     pairs = pairs.select("va", "vb").unionByName(same)
     weighed = pairs.join(counts.select(F.col("v").alias("va"), F.col("k").alias("ka")), "va").join(counts.select(F.col("v").alias("vb"), F.col("k").alias("kb")), "vb")
     weighed = write_out(weighed, "forest-values")
@@ -287,27 +389,29 @@ def content_links(reps: DataFrame) -> DataFrame:
     met = met.join(lists.select(F.col("id").alias("a"), F.col("hashes").alias("ha")), "a").join(lists.select(F.col("id").alias("b"), F.col("hashes").alias("hb")), "b")
     links = fp.verified(met, ("a", "b"))
     heavy = weighed.where(F.col("ka") * F.col("kb") > fp.HEAVY).select("va", "vb")
-    return links.unionByName(_profile_links(flat, write_out(heavy, "forest-heavy")))
+    dense = counts.where(_in_zone(F.col("v"), centres)).select("v")
+    return links.unionByName(_profile_links(flat, write_out(heavy, "forest-heavy"), dense, centres))
 
 
-def _profile_links(flat: DataFrame, heavy: DataFrame) -> DataFrame:
-    """Links of records that are alike by heavy values alone.
+def _profile_links(flat: DataFrame, heavy: DataFrame, dense: DataFrame, centres: list[int]) -> DataFrame:
+    """Links of records that are alike by heavy values alone, or by heavy pairs and pairs of zone values.
 
     A record's profile is its length and the multiset of its hashes that take part in a heavy
-    pair; only records with at least three fifths heavy members can need this path. Two profiles that pair
+    pair or lie in the zone (``dense``); only records with at least three fifths heavy members can need this path. Two profiles that pair
     up in enough members make all their records alike whose durations fit. Durations are cut into
     cells so narrow that all within one fit; a cell's records link to its first one, and cells
     are linked by their nearest ends. That connects the same groups as all pairs would, and
     the tables that are joined have one row a profile and cell.
     """
-    zone = heavy.select(F.explode(F.array("va", "vb")).alias("v")).distinct()
+    loaded = heavy.select(F.explode(F.array("va", "vb")).alias("v"))
+    zone = loaded.unionByName(dense).distinct()
     member = flat.select("id", "ms", F.size("hashes").alias("n"), F.explode("hashes").alias("v")).join(zone, "v")
     prof = member.groupBy("id", "ms", "n").agg(F.array_sort(F.collect_list("v")).alias("z")).where(F.size("z") * 5 >= F.col("n") * 3)
     cell = F.floor(F.log(F.col("ms").cast("double")) / F.lit(CELL)).cast("long")
     prof = write_out(prof.withColumn("key", F.sha2(F.to_json(F.struct("n", "z")), 256)).withColumn("cell", cell), "forest-profiles")
     kinds = prof.groupBy("key").agg(F.first("n").alias("n"), F.first("z").alias("z"))
     two = heavy.where("va <> vb")
-    pairs = two.unionByName(two.select(F.col("vb").alias("va"), F.col("va").alias("vb"))).unionByName(zone.select(F.col("v").alias("va"), F.col("v").alias("vb")))
+    pairs = two.unionByName(two.select(F.col("vb").alias("va"), F.col("va").alias("vb"))).unionByName(loaded.distinct().where(~_in_zone(F.col("v"), centres)).select(F.col("v").alias("va"), F.col("v").alias("vb")))
     vals = kinds.select("key", "n", F.explode(F.array_distinct("z")).alias("v"))
     met = vals.select(F.col("key").alias("x"), F.col("n").alias("na"), F.col("v").alias("va")).join(pairs, "va").join(vals.select(F.col("key").alias("y"), F.col("n").alias("nb"), F.col("v").alias("vb")), "vb")
     met = met.where(F.least("na", "nb") * 5 >= F.greatest("na", "nb") * 3).select("x", "y", "na", "nb").distinct()

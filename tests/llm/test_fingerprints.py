@@ -104,6 +104,48 @@ def test_third_of_rows_alike_by_popular_hashes(spark, monkeypatch):
     assert pairs_of(spark, rows) == closure([r[0] for r in recs], [(a[0], b[0]) for a, b in itertools.combinations(recs, 2) if alike(a, b)])
 
 
+def test_crowd_around_a_popular_hash(spark, monkeypatch):
+    """Close values around a popular one aren't paired with each other, yet no group is lost."""
+    monkeypatch.setattr(fp, "HEAVY", 50)
+    paired, write_out = [], lf.write_out
+
+    def counted(df, name, *more):
+        out = write_out(df, name, *more)
+        if name == "forest-values":
+            paired.append(out.count())
+        return out
+
+    monkeypatch.setattr(lf, "write_out", counted)
+    rng = random.Random(6)
+    centre = 1 << 63
+    some = lambda: rng.getrandbits(64)
+    near = lambda v, most: v ^ sum(1 << b for b in rng.sample(range(64), rng.randrange(1, most + 1)))
+    row = lambda i, lists, s: (i, (None, [f"{v:016x}" for v in lists], s), None, 1, "x")
+    rows = [row(i, [centre, some(), some()], 10.0) for i in range(60)]
+    rows += [row(100 + i, [near(centre, 4), some(), some()], 10.0) for i in range(500)]
+    for i in range(40):  # copies that share a zone value and one other, or values at the zone's edge
+        a, b = some(), near(centre, 12)
+        rows += [row(1000 + 10 * i, [centre if i % 2 else b, a, some()], 10.0), row(1001 + 10 * i, [near(centre, 3) if i % 2 else near(b, 7), near(a, 7), some()], 10.5)]
+    for i in range(12):  # alike by zone values alone
+        rows.append(row(2000 + i, [near(centre, 3), near(centre, 5), some()], 4.0 * 1.2 ** (i // 3)))
+    recs = [parsed(r) for r in rows]
+    want = closure([r[0] for r in recs], [(a[0], b[0]) for a, b in itertools.combinations(recs, 2) if alike(a, b)])
+    assert len(want) > 40 and pairs_of(spark, rows) == want
+    assert sum(paired) < 2000  # more than 100,000 with the crowd's own pairs
+
+
+def test_pairs_leave_in_blocks(monkeypatch):
+    """However close the values, a task holds few pairs at once, each of them once."""
+    monkeypatch.setattr(lf, "NODE_MAX", 100)
+    monkeypatch.setattr(lf, "PAIRS_OUT", 1000)
+    keys = np.unique(flips(np.full(400, 1 << 40, dtype=np.uint64), 3, 5))
+    blocks = list(lf._gathered(lf._close_blocks(keys, 0)))
+    got = [p for x, y in blocks for p in zip(x.tolist(), y.tolist())]
+    want = set(zip(*(x.tolist() for x in lf._all_close(keys))))
+    assert len(got) == len(set(got)) and set(got) <= want and len(got) >= 0.99 * len(want)
+    assert max(len(x) for x, _ in blocks) < 1000 + len(keys)
+
+
 def test_empty_and_alone(spark):
     assert pairs_of(spark, []) == set()
     rows, _ = collection(5, 1)
