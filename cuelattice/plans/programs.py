@@ -1,6 +1,6 @@
 """Programs that are sequential within a plan: slot walks, diversified order, assignment, evidence.
 
-Plans run side by side as grouped functions; inside one plan each step depends on the one before.
+Plans run side by side as grouped functions, assignments as one pass over sorted plans; inside one plan each step depends on the one before.
 Their inputs are bounded per plan by construction (a track's distinct times, a batch's candidates, candidate pools), and
 all scoring that doesn't depend on earlier choices is done in columns before.
 """
@@ -8,9 +8,11 @@ all scoring that doesn't depend on earlier choices is done in columns before.
 from __future__ import annotations
 
 import heapq
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -100,34 +102,56 @@ def assign(options: DataFrame, max_reuse: int = 2, gap: int = 2) -> DataFrame:
 
     ``options``: (plan, slot, source, score). A source may be used ``max_reuse`` times and not within
     ``gap`` slots of its last use; unused sources are preferred. Of equals the smaller source wins.
-    A slot none can fill keeps NULL and the reason of its best option. All options of a slot count;
-    a plan's options are read at once.
+    A slot none can fill keeps NULL and the reason of its best option. All options of a slot count.
+    Options are sorted by plan, slot and rank within partitions of whole plans and read once in that order, many plans
+    in one pass, so a task holds the sources that one plan has used and a batch of rows.
     """
-    o = options.where("plan is not null and slot is not null and source is not null and score is not null").groupBy("plan", "slot", "source").agg(F.max("score").alias("score"))
+    o = options.where("plan is not null and slot is not null and source is not null and score is not null").select(*(F.col(c).cast("long").alias(c) for c in ("plan", "slot", "source", "score")))
+    o = o.repartition("plan").groupBy("plan", "slot", "source").agg(F.max("score").alias("score"))
 
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         used: dict[int, int] = {}
         last: dict[int, int] = {}
-        out = []
-        for slot, g in pdf.sort_values(["slot", "score", "source"], ascending=[True, False, True]).groupby("slot", sort=True):
-            pick, why = None, None
-            fit = []
-            for source, score in g[["source", "score"]].itertuples(index=False, name=None):
-                reason = "max_reuse" if used.get(source, 0) >= max_reuse else "repeat_gap" if source in last and slot - last[source] <= gap else None
+        plan = slot = fit = fresh = why = None
+        out: list[tuple] = []
+
+        def settle() -> None:
+            pick = fresh or fit
+            if pick:
+                used[pick[0]] = used.get(pick[0], 0) + 1
+                last[pick[0]] = slot
+            out.append((plan, slot, *(pick or (None, None)), None if pick else why))
+
+        def rows() -> pa.RecordBatch:
+            cols = zip(*out) if out else [()] * 5
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, [pa.int64()] * 4 + [pa.string()])], ["plan", "slot", "source", "score", "reason"])
+
+        for batch in batches:
+            for p, s, source, score in zip(*(batch.column(i).to_numpy().tolist() for i in range(4))):
+                if p != plan or s != slot:
+                    if plan is not None:
+                        settle()
+                    if p != plan:
+                        used.clear()
+                        last.clear()
+                    plan, slot, fit, fresh, why = p, s, None, None, None
+                if fresh:
+                    continue
+                reason = "max_reuse" if used.get(source, 0) >= max_reuse else "repeat_gap" if source in last and s - last[source] <= gap else None
                 if reason is None:
-                    fit.append((source, score))
+                    fit = fit or (source, score)
+                    if source not in used:
+                        fresh = (source, score)
                 elif why is None:
                     why = reason
-            if fit:
-                fresh = [f for f in fit if f[0] not in used]
-                pick = (fresh or fit)[0]
-                used[pick[0]] = used.get(pick[0], 0) + 1
-                last[pick[0]] = slot
-            out.append((key[0], int(slot), int(pick[0]) if pick else None, int(pick[1]) if pick else None, None if pick else why))
-        d = pd.DataFrame(out, columns=["plan", "slot", "source", "score", "reason"])
-        return d.astype({"source": "Int64", "score": "Int64"})
-
-    return o.groupBy("plan").applyInPandas(run, "plan bigint, slot bigint, source bigint, score bigint, reason string")
+            yield rows()
+            out.clear()
+        if plan is not None:
+            settle()
+            yield rows()
+
+    ranked = o.sortWithinPartitions("plan", "slot", F.desc("score"), "source").select("plan", "slot", "source", "score")
+    return ranked.mapInArrow(run, "plan bigint, slot bigint, source bigint, score bigint, reason string")
 
 
 def evidence(frames: DataFrame, budget: int = 24) -> DataFrame:

@@ -141,6 +141,37 @@ def test_assignment_rules(spark):
     assert all(used.count(s) <= 2 for s in (1, 2)) and all(r["reason"] for r in rows if r["source"] is None)
 
 
+def test_assignment_of_many_plans(spark):
+    """Plans that end within and across batches keep their own state; they are read in one pass, not called one by one."""
+    rng = random.Random(8)
+    rows = [(p, s, rng.randrange(4), rng.randrange(5)) for p in range(60) for s in rng.sample(range(9), rng.randrange(1, 8)) for _ in range(rng.randrange(1, 5))]
+    df = spark.createDataFrame(rows + [(None, 1, 1, 1), (1, None, 1, 1), (1, 1, None, 1), (1, 1, 1, None)], "plan long, slot long, source long, score long")
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        found = programs.assign(df)
+        got = sorted(map(tuple, found.collect()), key=lambda r: r[:2])
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    want = []
+    for p in range(60):
+        picks = []
+        for s in sorted({r[1] for r in rows if r[0] == p}):
+            best = {}
+            for r in rows:
+                if r[:2] == (p, s):
+                    best[r[2]] = max(r[3], best.get(r[2], 0))
+            order = sorted(best, key=lambda x: (-best[x], x))
+            uses = {x: [t for t, y in picks if y == x] for x in order}
+            reason = {x: "max_reuse" if len(u) >= 2 else "repeat_gap" if u and s - u[-1] <= 2 else None for x, u in uses.items()}
+            fit = [x for x in order if reason[x] is None]
+            pick = next((x for x in fit if not uses[x]), fit[0] if fit else None)
+            want.append((p, s, pick, best.get(pick), None if fit else reason[order[0]]))
+            picks += [(s, pick)] * bool(fit)
+    assert got == want and any(r[4] == "max_reuse" for r in want) and any(r[4] == "repeat_gap" for r in want)
+    assert "FlatMapGroups" not in found._jdf.queryExecution().toString()
+
+
 def test_diversified_order_front_loads(spark):
     c = spark.createDataFrame([(1, i, 900 - i, "s" if i < 4 else f"x{i}", "a") for i in range(8)], "task long, id long, score long, scene string, author string")
     rows = sorted(programs.diversified_order(c, "task").collect(), key=lambda r: r["position"])
